@@ -89,7 +89,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             end_run = _DIGITS.match(text, at).end()
             if at >= end_ip and (m := _IP.match(text, at)):
                 end_ip = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
                     found[1].append(m.span())
             if at >= end_card and (m := _CARD.match(text, at)):
                 end_card = m.end()
