@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, pii, secrets
+from . import fingerprints, matroska, mixing, pii, quality, secrets
 from .common import table
 
 
+def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -22,8 +30,12 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scans, op5_pii, op6_matroska)}
+    return {f.__name__: f for f in (op2_multiset_fingerprints, op3_source_mixing, op4_secret_scans, op5_pii, op6_matroska, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
