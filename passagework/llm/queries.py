@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, matroska, mixing, packing, pii, quality, secrets
+from . import fingerprints, jaccard, matroska, mixing, packing, pii, quality, secrets
 from .common import table
 
 
@@ -34,12 +34,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprints, op3_source_mixing, op4_secret_scans, op5_pii, op6_matroska, op8_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op2_multiset_fingerprints, op3_source_mixing, op4_secret_scans, op5_pii, op6_matroska, op8_best_fit_packing, op9_jaccard_join, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
