@@ -16,6 +16,7 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -31,7 +32,10 @@ from .common import written
 
 LENGTH, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 0, 16384, 3, 3, 12, 6
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 500_000
+#: Words and letter runs whose ids a worker keeps.
+_CACHE_WORDS = 600_000
+#: Marks that the vocabulary's splitting keeps apart from letters before them.
+_CLOSING = b".,*#$%&!|;:?"
 _SUBBATCH = 1 << 21
 
 Packing = list[tuple[int, ...]]
@@ -39,45 +43,78 @@ _encoders: dict[str, Callable[[list[bytes]], list[np.ndarray]]] = {}
 
 
 def encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """Ids of UTF-8 texts. White space parts words for this vocabulary, so ids are looked up by
-    word, and the tokenizer only sees words that the bounded cache lacks."""
+    """Ids of UTF-8 texts. White space parts words for this vocabulary, and the marks that close
+    a word part from its letters, so ids are looked up by word and then by its letters, in two
+    bounded caches, and the tokenizer only sees what both lack."""
     if path in _encoders:
         return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
+    for token, i in tokenizer.get_vocab().items():
+        closes[i] = token.endswith("</w>")
     place: dict[bytes, int] = {}
-    state = {"flat": np.zeros(0, np.uint32), "start": np.zeros(0, np.int64), "size": np.zeros(0, np.int64)}
+    parts: dict[bytes, bytes] = {}
+    flat, start, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = lambda ids: np.array(ids, np.uint32).tobytes()
+
+    def learn_parts(missing: set[bytes]) -> None:
+        foreign, rest = [], []
+        for x in missing:
+            if x.isalpha():  # ASCII letters are the model's own alphabet
+                parts[x] = packed([t.id for t in tokenizer.model.tokenize(x.decode())])
+            elif x.decode().isalpha():
+                foreign.append(x)
+            else:
+                rest.append(x)
+        for i in range(0, len(foreign), 500):
+            own = foreign[i : i + 500]
+            ids = np.array(tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
+            cut = np.split(ids, np.flatnonzero(closes[ids])[:-1] + 1)
+            if len(cut) == len(own):
+                parts.update((x, c.tobytes()) for x, c in zip(own, cut, strict=True))
+            else:
+                rest += own
+        for x, e in zip(rest, tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            parts[x] = packed(e.ids)
 
     def learn(missing: list[bytes]) -> None:
-        got = tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-        new = [np.array(e.ids, np.uint32) for e in got]
-        size = np.array([len(x) for x in new], np.int64)
-        at = len(state["flat"]) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        for i, w in enumerate(missing, len(place)):
-            place[w] = i
-        state["flat"] = np.concatenate([state["flat"], *new])
-        state["start"] = np.concatenate([state["start"], at.astype(np.int64)])
-        state["size"] = np.concatenate([state["size"], size])
+        nonlocal flat, start, size
+        cut = []
+        for w in missing:
+            letters = w.rstrip(_CLOSING)
+            whole = letters == w or not letters or not (letters.isalpha() or letters.decode().isalpha())
+            cut.append((w,) if whole else (letters, w[len(letters) :]))
+        if len(parts) > _CACHE_WORDS:
+            parts.clear()
+        if new := {x for own in cut for x in own}.difference(parts):
+            learn_parts(new)
+        ids = [b"".join(map(parts.__getitem__, own)) for own in cut]
+        place.update(zip(missing, range(len(place), len(place) + len(missing)), strict=True))
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        start = np.concatenate([start, len(flat) + np.cumsum(n) - n])
+        size = np.concatenate([size, n])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(ids), np.uint32)])
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
+        nonlocal flat, start, size
         words = [t.lower().split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        if missing := set(flat).difference(place):
+        every = list(chain.from_iterable(words))
+        if missing := set(every).difference(place):
             if len(place) + len(missing) > _CACHE_WORDS:
                 place.clear()
-                state.update(flat=np.zeros(0, np.uint32), start=np.zeros(0, np.int64), size=np.zeros(0, np.int64))
-                missing = set(flat)
+                flat, start, size = flat[:0], start[:0], size[:0]
+                missing = set(every)
             learn(sorted(missing))
-        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        size = state["size"][at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        pos = np.repeat(state["start"][at] - (ends - size), size) + np.arange(total)
-        out = state["flat"][pos]
+        at = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+        n = size[at]
+        ends = np.cumsum(n)
+        pos = np.repeat(start[at] - (ends - n), n) + np.arange(int(n.sum()))
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
-        return np.split(out, bounds[1:-1])
+        return np.split(flat[pos], bounds[1:-1])
 
     _encoders[path] = encode
     return encode
