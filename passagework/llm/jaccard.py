@@ -41,12 +41,12 @@ from .words import mix, shingle_sets
 
 WORDS, THRESHOLD = 5, Fraction(3, 4)
 #: Slots of the table of shingle counts, whatever the input.
-SLOTS = 1 << 18
-_SLOT_CHUNK = 1 << 13
+SLOTS = 1 << 22
+_SLOT_CHUNK = 1 << 17
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
 BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 4_000_000
-#: Segments with more holders than this are met in blocks of this size.
-BLOCK_HOLDERS = 2048
+#: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
+FEW_HOLDERS, BLOCK_HOLDERS = 24, 2048
 _BAND = 16 / 9
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,10 +103,10 @@ def apart_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
 
 
-def segments(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def segments(s: np.ndarray, commonness: np.ndarray) -> np.ndarray:
     """Signatures of the segments on which a set takes part in the join."""
     out = []
-    slots = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    slots = commonness[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
     for k, d in bands_of(len(s)):
         m = 2 * (d + 1)
         at = (mix(s ^ np.uint64((k + 1) * 0x51ED270B)) % np.uint64(m)).astype(np.int64)
@@ -115,7 +115,7 @@ def segments(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
         content = np.zeros(m, np.uint64)
         content[place] = np.bitwise_xor.reduceat(mix(s[order] + _SPREAD), first)
         # The rarest shingle of a segment ranks it; an empty one is the commonest of all.
-        rank = np.full(m, np.iinfo(np.int64).max)
+        rank = np.full(m, 256, np.int64)
         rank[place] = np.minimum.reduceat(slots[order], first)
         chosen = np.lexsort((np.arange(m), content, rank))[: d + 1]
         out.append(mix(content[chosen] + mix(chosen.astype(np.uint64) * _SPREAD + np.uint64(k))))
@@ -137,11 +137,12 @@ def _measured(docs: DataFrame) -> DataFrame:
     """Per row (doc_id, n, set, sketch), and rows (slot chunk, counts) per task, in one pass."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint32)
         for b in batches:
             sets = _sets(blobs(b))
             if some := [s for s in sets if len(s)]:
-                counts += np.bincount((np.concatenate(some) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                at, n = np.unique(np.concatenate(some) & np.uint64(SLOTS - 1), return_counts=True)
+                counts[at.astype(np.int64)] += n.astype(np.uint32)
             n = len(sets)
             yield pa.record_batch(
                 [
@@ -184,7 +185,8 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     half and the position of its set. A set is sent once per block, so copies that a task holds
     together count once.
     """
-    table = docs.sparkSession.sparkContext.broadcast(counts)  # SLOTS numbers
+    # Quarter powers of two are fine enough to rank by: SLOTS bytes.
+    table = docs.sparkSession.sparkContext.broadcast((4 * np.log2(1 + counts)).astype(np.uint8))
 
     def flush(sets: list[tuple[int, int]], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate(held)
@@ -320,18 +322,30 @@ def components(links: DataFrame) -> DataFrame:
         roots = nxt.select("set", F.col("next").alias("root"))
 
 
-def _across(holders: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a segment, lie in different components, and whose sizes
-    and sketches allow a link.
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, set, n, root, k) of the segments whose k holders lie in several components."""
+    placed = shared.join(roots, "set", "left").select("sig", "set", "n", F.coalesce("root", "set").alias("root"))
+    spread = placed.groupBy("sig").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return placed.join(spread.where("lo <> hi").select("sig", "k"), "sig")
 
-    ``holders``: (sig, set, n, sketch, root). A segment with many holders is dealt in blocks by
-    pairs of parts, so that no task holds more than two parts of it.
+
+def _few(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within segments of at most FEW_HOLDERS holders."""
+    own = mixed.where(F.col("k") <= FEW_HOLDERS)
+    side = lambda c: own.select("sig", F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}"))
+    met = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _sized("n_a", "n_b"))
+    return met.select("a", "b").distinct()
+
+
+def _many(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within segments of more holders, whose sizes and
+    sketches allow a link.
+
+    A segment is dealt in blocks by pairs of parts, so that no task holds more than two parts.
     """
-    spread = holders.groupBy("sig").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("k") / BLOCK_HOLDERS)
-    placed = holders.join(spread.select("sig", parts.alias("parts")), "sig").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    own = mixed.where(F.col("k") > FEW_HOLDERS).withColumn("parts", F.ceil(F.col("k") / BLOCK_HOLDERS)).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
-    tiles = placed.withColumn("tile", F.explode(pair)).select("sig", "tile.p", "tile.q", "part", "set", "n", "sketch", "root")
+    tiles = own.join(known.select("set", "sketch"), "set").withColumn("tile", F.explode(pair)).select("sig", "tile.p", "tile.q", "part", "set", "n", "sketch", "root")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "ascending"), ("set", "ascending")])
@@ -384,8 +398,9 @@ def classes(docs: DataFrame) -> DataFrame:
     first = shared.join(pivot, "sig").select("a", F.col("set").alias("b")).where("a <> b").distinct()
     links = written(_verified(texts, written(sketched(first))))
     roots = components(links)
-    holders = shared.join(known, "set").select("sig", "set", known["n"], "sketch").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    more = written(_verified(texts, written(_across(holders))))
+    mixed = written(_mixed(shared, roots))
+    across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known))).distinct()
+    more = written(_verified(texts, written(across)))
     if not more.isEmpty():
         roots = components(links.union(more))
     least = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
