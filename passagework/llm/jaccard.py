@@ -14,7 +14,7 @@ those of both. Ranks use counts of shingles over all documents, kept in a table
 they decide how much work is done, never what is found.
 
 Candidate pairs pass a size test, then a test of narrow parity sketches, and are then verified on
-the sets. Copies of one set are a single class throughout. Candidates meet in two rounds: first
+the sets. Copies of one set are a single class throughout. Candidates meet in rounds: first
 each holder of a segment meets the segment's least holder, which links groups of near copies by
 as many pairs as documents; then holders that are still in different components meet each other,
 in blocks.
@@ -46,7 +46,9 @@ _SLOT_CHUNK = 1 << 17
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
 BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 4_000_000
 #: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
-FEW_HOLDERS, BLOCK_HOLDERS = 24, 2048
+FEW_HOLDERS, BLOCK_HOLDERS = 24, 512
+#: Rounds in which a holder meets only the nearest one of another component, before all meet.
+NEAREST_ROUNDS = 1
 _BAND = 16 / 9
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,9 +87,9 @@ def band_floor(k: int) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Narrow parity sketch: the power of two of bits that is at least twice the set's size."""
+    """Narrow parity sketch: the power of two of bits that is at least four times the set's size."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < 4 * len(s):
         bits *= 2
     flips = np.bincount((mix(s * _SPREAD) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -337,9 +339,9 @@ def _few(mixed: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def _many(mixed: DataFrame, known: DataFrame) -> DataFrame:
+def _many(mixed: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different components within segments of more holders, whose sizes and
-    sketches allow a link.
+    sketches allow a link; with ``nearest`` only the pairs of each holder and its nearest.
 
     A segment is dealt in blocks by pairs of parts, so that no task holds more than two parts.
     """
@@ -355,6 +357,7 @@ def _many(mixed: DataFrame, known: DataFrame) -> DataFrame:
         width = min(map(len, raw))
         rows = np.array([_folded(x, width) for x in raw])
         a, b = [], []
+        best, mate = np.full(len(n), 1 << 40), np.full(len(n), -1)
         for i in range(len(n) - 1):
             hi = int(np.searchsorted(n, n[i] * THRESHOLD.denominator // THRESHOLD.numerator, side="right"))
             j = np.arange(i + 1, hi)
@@ -362,11 +365,22 @@ def _many(mixed: DataFrame, known: DataFrame) -> DataFrame:
             if p != q:
                 j = j[part[j] != part[i]]
             if len(j):
-                far = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1)
+                far = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1).astype(np.int64)
                 limit = (n[j] + n[i]) * (THRESHOLD.denominator - THRESHOLD.numerator) // (THRESHOLD.denominator + THRESHOLD.numerator)
-                near = j[far <= limit]
-                a += [name[i]] * len(near)
-                b += name[near].tolist()
+                ok = far <= limit
+                j, far = j[ok], far[ok]
+                if not nearest:
+                    a += [name[i]] * len(j)
+                    b += name[j].tolist()
+                elif len(j):
+                    closer = far < best[j]
+                    best[j[closer]], mate[j[closer]] = far[closer], i
+                    k = int(far.argmin())
+                    if far[k] < best[i]:
+                        best[i], mate[i] = far[k], j[k]
+        if nearest:
+            i = np.flatnonzero(mate >= 0)
+            a, b = name[i], name[mate[i]]
         x, y = np.minimum(a, b), np.maximum(a, b)
         return pa.table({"a": pa.array(x.astype(np.int64)), "b": pa.array(y.astype(np.int64))})
 
@@ -398,11 +412,24 @@ def classes(docs: DataFrame) -> DataFrame:
     first = shared.join(pivot, "sig").select("a", F.col("set").alias("b")).where("a <> b").distinct()
     links = written(_verified(texts, written(sketched(first))))
     roots = components(links)
-    mixed = written(_mixed(shared, roots))
-    across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known))).distinct()
-    more = written(_verified(texts, written(across)))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    for k in range(NEAREST_ROUNDS + 1):
+        mixed = written(_mixed(shared, roots))
+        if nearest := k < NEAREST_ROUNDS and not mixed.where(F.col("k") > FEW_HOLDERS).isEmpty():
+            across = sketched(_many(mixed, known, True))
+        else:
+            across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known, False))).distinct()
+        more = written(_verified(texts, written(across)))
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
+        elif nearest:  # merging has come to rest; what is left meets in full
+            across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known, False))).distinct()
+            more = written(_verified(texts, written(across)))
+            if not more.isEmpty():
+                roots = components(links.union(more))
+            break
+        if not nearest:
+            break
     least = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     first_doc = least.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = least.join(first_doc, "root").select("set", "component_id")
