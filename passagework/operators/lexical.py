@@ -17,10 +17,16 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def tokens_of(texts: DataFrame, key: str) -> DataFrame:
+    """(key, dl, term) of every token. The length is taken before the tokens are exploded, else
+    each token's row would split its text anew."""
+    cut = texts.select(key, words(F.col("text")).alias("w"))
+    return cut.select(key, F.size("w").cast("double").alias("dl"), "w").select(key, "dl", F.explode("w").alias("term"))
+
+
 def postings(texts: DataFrame, key: str) -> DataFrame:
     """(key, term, tf, dl): term and document frequencies are sums over it."""
-    w = words(F.col("text"))
-    rows = texts.select(key, F.size(w).cast("long").alias("dl"), F.explode(w).alias("term"))
+    rows = tokens_of(texts, key).select(key, F.col("dl").cast("long").alias("dl"), "term")
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -36,7 +42,7 @@ def bm25(texts: DataFrame, key: str, terms: DataFrame, query: str) -> DataFrame:
     w = words(F.col("text"))
     length = texts.select(F.size(w).cast("double").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = F.broadcast(terms.select("term").distinct()) if terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else terms.select("term").distinct()
-    tokens = texts.select(key, F.size(w).cast("double").alias("dl"), F.explode(w).alias("term")).join(asked, "term", "left_semi")
+    tokens = tokens_of(texts, key).join(asked, "term", "left_semi")
     tf = tokens.groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(length)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -1,0 +1,6 @@
+"""Named plans and their SQL."""
+
+from . import corpus, retrieval, scoring
+
+QUERIES = corpus.QUERIES | retrieval.QUERIES | scoring.QUERIES
+SQL = corpus.SQL | retrieval.SQL | scoring.SQL
