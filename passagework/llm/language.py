@@ -45,6 +45,7 @@ def _slots(text: bytes) -> np.ndarray:
     if len(a) < 3:
         return np.zeros(0, np.int64)
     v = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
+    v = v[v != 0x202020]  # blanks tell nothing
     return ((v * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)).astype(np.int64)
 
 

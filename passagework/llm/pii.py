@@ -6,9 +6,9 @@ email, address, account or telephone number there and validates it. A text witho
 passed by in one scan.
 
 Base kinds are ``email``, ``ip``, ``card`` and ``phone`` with fixed grammars, each leftmost and
-non-overlapping within its kind. The method adds ``iban`` (a country code and check digits that
-hold modulo 97), ``login`` (``scheme://user:password@host``) and ``account`` (8 to 17 digits after
-an identifier cue), where no base span overlaps.
+non-overlapping within its kind. The method adds ``login`` (``scheme://user:password@host``, which
+may hold an email's span) and, where no base span overlaps, ``iban`` (a country code and check
+digits that hold modulo 97) and ``account`` (8 to 17 digits after an identifier cue).
 
 Defined cases: a null text counts as empty in ``spans`` and stays null when redacted; repeated
 rows each give their row; empty tables give empty results; other columns pass through ``redact``
