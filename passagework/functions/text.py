@@ -51,7 +51,7 @@ def roman(s: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def token_count(text: Column) -> Column:

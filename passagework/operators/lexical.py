@@ -19,14 +19,17 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 def tokens_of(texts: DataFrame, key: str) -> DataFrame:
     """(key, dl, term) of every token. The length is taken before the tokens are exploded, else
-    each token's row would split its text anew."""
+    each token's row would split its text anew; an outer explode because a plain one has the
+    optimizer test the tokens of each text first, which splits it again. Callers join on terms,
+    so the row without a term that an empty text gives is dropped there.
+    """
     cut = texts.select(key, words(F.col("text")).alias("w"))
-    return cut.select(key, F.size("w").cast("double").alias("dl"), "w").select(key, "dl", F.explode("w").alias("term"))
+    return cut.select(key, F.size("w").cast("double").alias("dl"), "w").select(key, "dl", F.explode_outer("w").alias("term"))
 
 
 def postings(texts: DataFrame, key: str) -> DataFrame:
     """(key, term, tf, dl): term and document frequencies are sums over it."""
-    rows = tokens_of(texts, key).select(key, F.col("dl").cast("long").alias("dl"), "term")
+    rows = tokens_of(texts, key).select(key, F.col("dl").cast("long").alias("dl"), "term").where("term is not null")
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -44,7 +47,8 @@ def bm25(texts: DataFrame, key: str, terms: DataFrame, query: str) -> DataFrame:
     asked = F.broadcast(terms.select("term").distinct()) if terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else terms.select("term").distinct()
     tokens = tokens_of(texts, key).join(asked, "term", "left_semi")
     tf = tokens.groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading tf here keeps both branches alike, so that its shuffle is made once and used twice.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     stats = df.join(F.broadcast(length)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = tf.join(small(stats), "term").select("term", key, weight.alias("w"))

@@ -24,7 +24,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     inner = F.slice(t.words(F.col("text")), 2, F.greatest(F.size(t.words(F.col("text"))) - 2, F.lit(1)))
     b = b.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(t.words(F.col("body")))).alias("anchor"))
+    held = docs.select("doc_id", F.explode_outer(F.array_distinct(t.words(F.col("body")))).alias("anchor"))
     pairs = held.join(b.select("item_id", "anchor"), "anchor").select("doc_id", "item_id")
     found = pairs.join(docs, "doc_id").join(b.select("item_id", "text"), "item_id").where(F.expr("instr(body, text) > 0"))
     start = (F.expr("instr(body, text)") - 1).cast("long")
