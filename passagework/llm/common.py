@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, columns_bytes: str = "64m") -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage, so an executor lost later repeats nothing before this point.
@@ -36,15 +36,21 @@ def written(df: DataFrame, columns_bytes: str = "64m") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``: a task holds Python copies of one part only."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def per_batch(
     df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """Apply ``f`` to each Arrow batch of ``df``."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
+        for b in slices(batches):
+            yield f(b)
 
     return df.mapInArrow(go, schema)
 

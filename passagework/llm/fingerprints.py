@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .words import mix, word_hashes
 
 DENSE, LEVELS, LANES, GRAM = 32, 8, 64, 3
@@ -131,7 +132,7 @@ def _ranged(docs: DataFrame, parts: int) -> DataFrame:
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.array(limits, np.int64)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id")
             v = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             part = len(at) - np.searchsorted(at, v, side="left")
@@ -166,7 +167,7 @@ def scan(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
+        for b in slices(batches):
             yield from zip(*(b.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text")), strict=True)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 SLOTS = 1 << 14
 MAX_LANGUAGES = 400
@@ -54,7 +54,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list[bytes]] = {}
             for t, k in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("lang").to_pylist(), strict=True):
                 by.setdefault(k, []).append(t)
@@ -92,7 +92,7 @@ def pages_as_records(pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, text, markup, suffix, path, host, domain) of (page_id, url, html)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             html = [x or "" for x in b.column("html").to_pylist()]
             declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in html]
             yield pa.record_batch(
@@ -126,7 +126,7 @@ def _text_evidence(records: DataFrame, model: np.ndarray) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = held.value
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = _slots(t or b"")

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 LENGTH, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 0, 16384, 3, 3, 12, 6
 TOKENIZER = "word_bpe_49k.json"
 #: Words and letter runs whose ids a worker keeps.
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 400_000
 #: Marks that the vocabulary's splitting keeps apart from letters before them.
 _CLOSING = b".,*#$%&!|;:?"
 _SUBBATCH = 1 << 21
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             ids, raw = b.column("doc_id").to_pylist(), [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
             for a, z, own in parts(raw):
                 rows = []
