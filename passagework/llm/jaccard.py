@@ -22,7 +22,7 @@ in blocks.
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; repeated rows are copies; rows of one doc_id
 with different texts are told apart until the last step, where each row gets its own component's
-smallest doc_id; an empty table gives an empty result; other columns of the input are ignored.
+smallest doc_id; a null doc_id is no smallest one unless its component has no other; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, written
+from .common import blobs, slices, written
 from .words import mix, shingle_sets
 
 WORDS, THRESHOLD = 5, Fraction(3, 4)
@@ -44,9 +44,11 @@ WORDS, THRESHOLD = 5, Fraction(3, 4)
 SLOTS = 1 << 22
 _SLOT_CHUNK = 1 << 17
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
-BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 4_000_000
+BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 1_500_000
 #: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
 FEW_HOLDERS, BLOCK_HOLDERS = 24, 512
+#: So many of a holder's first segments tell whether two holders meet in an earlier one.
+FIRST_SEGMENTS = 8
 #: Rounds in which a holder meets only the nearest one of another component, before all meet.
 NEAREST_ROUNDS = 1
 _BAND = 16 / 9
@@ -140,7 +142,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
-        for b in batches:
+        for b in slices(batches):
             sets = _sets(blobs(b))
             if some := [s for s in sets if len(s)]:
                 at, n = np.unique(np.concatenate(some) & np.uint64(SLOTS - 1), return_counts=True)
@@ -215,7 +217,7 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         sets, held, n = [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for s in _sets(blobs(b)):
                 if len(s) and (name := (_digest(s), len(s))) not in seen:
                     seen.add(name)
@@ -270,7 +272,7 @@ def _close(pairs: DataFrame) -> DataFrame:
     """Pairs (a, n_a, sketch_a, b, n_b, sketch_b) whose sketches allow a link."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols = [b.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")]
             ok = [apart_at_least(x, y) <= most_apart(n, m) for n, m, x, y in zip(*cols, strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
@@ -278,21 +280,23 @@ def _close(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(go, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set names whose sets are linked, by the sets themselves."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(set, shingles) of (set, text), for the texts that have that set."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = _sets(blobs(b))
-            yield pa.record_batch([b.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "shingles"])
+        for b in slices(batches):
+            held = [(k, s.tobytes()) for k, s in zip(b.column("set").to_pylist(), _sets(blobs(b)), strict=True) if len(s) and _digest(s) == k]
+            yield pa.record_batch([pa.array([k for k, _ in held], pa.int64()), pa.array([s for _, s in held], pa.binary())], names=["set", "shingles"])
+
+    return texts.mapInArrow(go, "set long, shingles binary")
 
-    # One document of each set that is in a pair; its text is read again and moves no further.
-    texts = docs.join(wanted, "set", "left_semi").select("set", "text").mapInArrow(go, "set long, shingles binary")
-    both = pairs.join(texts.withColumnsRenamed({"set": "a", "shingles": "sa"}), "a").join(texts.withColumnsRenamed({"set": "b", "shingles": "sb"}), "b")
+
+def _verified(shingled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set names whose sets are linked, by the sets themselves."""
+    both = pairs.join(shingled.withColumnsRenamed({"set": "a", "shingles": "sa"}), "a").join(shingled.withColumnsRenamed({"set": "b", "shingles": "sb"}), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -344,10 +348,13 @@ def _many(mixed: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
     sketches allow a link; with ``nearest`` only the pairs of each holder and its nearest.
 
     A segment is dealt in blocks by pairs of parts, so that no task holds more than two parts.
+    Two holders that are known to meet in an earlier segment don't meet again.
     """
-    own = mixed.where(F.col("k") > FEW_HOLDERS).withColumn("parts", F.ceil(F.col("k") / BLOCK_HOLDERS)).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    large = mixed.where(F.col("k") > FEW_HOLDERS)
+    low = large.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_SEGMENTS).alias("low"))  # D + 1 segments at most
+    own = large.withColumn("parts", F.ceil(F.col("k") / BLOCK_HOLDERS)).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
-    tiles = own.join(known.select("set", "sketch"), "set").withColumn("tile", F.explode(pair)).select("sig", "tile.p", "tile.q", "part", "set", "n", "sketch", "root")
+    tiles = own.join(known.select("set", "sketch").join(low, "set"), "set").withColumn("tile", F.explode(pair)).select("sig", "tile.p", "tile.q", "part", "set", "n", "sketch", "root", "low")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "ascending"), ("set", "ascending")])
@@ -356,6 +363,8 @@ def _many(mixed: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
         raw = group["sketch"].to_pylist()
         width = min(map(len, raw))
         rows = np.array([_folded(x, width) for x in raw])
+        sig = group["sig"][0].as_py()
+        before = np.array([(x + [sig] * FIRST_SEGMENTS)[:FIRST_SEGMENTS] for x in group["low"].to_pylist()], np.int64)
         a, b = [], []
         best, mate = np.full(len(n), 1 << 40), np.full(len(n), -1)
         for i in range(len(n) - 1):
@@ -369,6 +378,10 @@ def _many(mixed: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
                 limit = (n[j] + n[i]) * (THRESHOLD.denominator - THRESHOLD.numerator) // (THRESHOLD.denominator + THRESHOLD.numerator)
                 ok = far <= limit
                 j, far = j[ok], far[ok]
+                earlier = before[i][before[i] < sig]
+                if len(earlier) and len(j):
+                    new = ~np.isin(before[j], earlier).any(axis=1)
+                    j, far = j[new], far[new]
                 if not nearest:
                     a += [name[i]] * len(j)
                     b += name[j].tolist()
@@ -402,7 +415,9 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = written(_shared(_entries(rows, counts, buckets)))
     held = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     known = written(held.join(shared.select("set").distinct(), "set", "left_semi"))
-    texts = rows.join(known.select("doc", "set"), rows["doc_id"] == F.col("doc")).select("set", "text")
+    # Only sets that share a segment can be in a pair: their shingles are made and moved once.
+    texts = rows.join(known.select("doc", "set"), rows["doc_id"].eqNullSafe(F.col("doc"))).select("set", "text")
+    shingled = written(_shingled(texts))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         side = lambda c: known.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -410,7 +425,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     pivot = shared.groupBy("sig").agg(F.min("set").alias("a"))
     first = shared.join(pivot, "sig").select("a", F.col("set").alias("b")).where("a <> b").distinct()
-    links = written(_verified(texts, written(sketched(first))))
+    links = written(_verified(shingled, written(sketched(first))))
     roots = components(links)
     for k in range(NEAREST_ROUNDS + 1):
         mixed = written(_mixed(shared, roots))
@@ -418,13 +433,13 @@ def classes(docs: DataFrame) -> DataFrame:
             across = sketched(_many(mixed, known, True))
         else:
             across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known, False))).distinct()
-        more = written(_verified(texts, written(across)))
+        more = written(_verified(shingled, written(across)))
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
         elif nearest:  # merging has come to rest; what is left meets in full
             across = sketched(_few(mixed)).unionByName(sketched(_many(mixed, known, False))).distinct()
-            more = written(_verified(texts, written(across)))
+            more = written(_verified(shingled, written(across)))
             if not more.isEmpty():
                 roots = components(links.union(more))
             break

@@ -290,6 +290,20 @@ def test_join_loses_no_link(spark, edge, empty):
     assert jaccard.digest(empty).count() == 0 and jaccard.distinct_documents(empty).count() == 0
 
 
+def test_null_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([(None, text, "a"), (None, text + " more", None), (5, text, "a"), (5, "other words", "a")], "doc_id long, text string, source string")
+    got = collections.Counter(tuple(r) for r in jaccard.digest(rows).collect())
+    assert got == {(None, 6, 5): 1, (None, 7, 5): 1, (5, 6, 5): 1, (5, 1, 5): 1}
+    assert jaccard.distinct_documents(rows).count() >= 1
+    lost = jaccard.digest(rows.where("doc_id is null")).collect()
+    assert [tuple(r) for r in sorted(lost, key=lambda r: r["n_shingles"])] == [(None, 6, None), (None, 7, None)]
+    assert fingerprints.scan(rows).count() == mixing.digest(rows).count() == matroska.digest(matroska.store(rows)).count() == 4
+    assert sum(r["length"] > 0 for r in packing.digest(rows).collect()) == 4
+    scored = quality.scored(rows, spark.createDataFrame([(5, 1), (None, 0)], "doc_id long, quality int")).collect()
+    assert len(scored) == 4 and all(not r["held_out"] for r in scored if r["doc_id"] is None)
+
+
 def test_many_holders_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW_HOLDERS", 2)
     monkeypatch.setattr(jaccard, "BLOCK_HOLDERS", 8)
