@@ -33,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blobs, slices, written
@@ -138,7 +138,10 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, set, sketch), and rows (slot chunk, counts) per task, in one pass."""
+    """Per row (doc_id, n, set, sketch) and the key if it has one, and rows (slot chunk, counts)
+    per task, in one pass."""
+    keyed = ["key"] if "key" in docs.columns else []
+    names = ["doc_id", "n", "set", "sketch", "chunk", "counts", *keyed]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
@@ -152,18 +155,19 @@ def _measured(docs: DataFrame) -> DataFrame:
                 [
                     b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else 0 for s in sets], pa.int64()),
                     pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    *(b.column(c) for c in keyed),
                 ],
-                names=["doc_id", "n", "set", "sketch", "chunk", "counts"],
+                names=names,
             )
         chunks = range(SLOTS // _SLOT_CHUNK)
         blob = [zlib.compress(counts[c * _SLOT_CHUNK : (c + 1) * _SLOT_CHUNK].astype("<u4").tobytes(), 1) for c in chunks]
         k = len(blob)
         yield pa.record_batch(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(chunks, pa.int32()), pa.array(blob, pa.binary())],
-            names=["doc_id", "n", "set", "sketch", "chunk", "counts"],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(chunks, pa.int32()), pa.array(blob, pa.binary()), *(pa.nulls(k, pa.string()) for _ in keyed)],
+            names=names,
         )
 
-    return docs.mapInArrow(go, "doc_id long, n long, set long, sketch binary, chunk int, counts binary")
+    return docs.mapInArrow(go, "doc_id long, n long, set long, sketch binary, chunk int, counts binary" + (", key string" if keyed else ""))
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
@@ -400,16 +404,18 @@ def _many(mixed: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
     return tiles.groupBy("sig", "p", "q").applyInArrow(meet, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set, component_id) per row of (doc_id, text).
+def classes(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, set, component_id, root) per row of (doc_id, text), and its ``key``.
 
     ``set`` names the class of documents with equal sets; component_id is the least doc_id
-    reachable by links, the document's own where there are none.
+    reachable by links, the document's own where there are none; ``root`` names the component,
+    and is null for a row without words.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = written(_measured(rows))
+    kept_key = ["key"] if key is not None else []
+    measured = written(_measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")) if kept_key else rows))
     counts = _counts(measured)
-    own = measured.where("chunk is null").select("doc_id", "n", "set", "sketch")
+    own = measured.where("chunk is null").select("doc_id", "n", "set", "sketch", *kept_key)
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(total) * 6 // 10 // BUCKET_ENTRIES))
     shared = written(_shared(_entries(rows, counts, buckets)))
@@ -447,9 +453,10 @@ def classes(docs: DataFrame) -> DataFrame:
             break
     least = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     first_doc = least.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = least.join(first_doc, "root").select("set", "component_id")
-    empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("set"), F.col("doc_id").alias("component_id"))
-    return own.where("n > 0").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id").unionByName(empty)
+    named = least.join(first_doc, "root").select("set", "component_id", "root")
+    none = F.lit(None).cast("long")
+    empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), none.alias("set"), F.col("doc_id").alias("component_id"), none.alias("root"), *kept_key)
+    return own.where("n > 0").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root", *kept_key).unionByName(empty)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -458,11 +465,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component: that of the least doc_id."""
-    found = classes(docs)
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return out.withColumn("__first", first).where("__first = 1").drop("__first")
+    """The rows of ``docs``, one of each component: that of the least doc_id, of several texts of
+    that id the one with the least hash. Every row without words stays."""
+    text = F.col("text").cast("string")
+    key = F.sha2(text, 256)
+    found = classes(docs, key).where("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key", "copies")).alias("r"))
+    kept = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.key").alias("__key"), F.col("r.copies").alias("__copies")))
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    rest = docs.where(~wordless).withColumn("__text_key", key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    out = rest.join(kept.where("__copies = 1"), same, "left_semi")
+    if not (several := kept.where("__copies > 1")).isEmpty():  # rows alike in id and text: any one of them
+        out = out.unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
+    return out.drop("__text_key").unionByName(docs.where(wordless))

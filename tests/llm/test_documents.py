@@ -304,6 +304,20 @@ def test_null_ids(spark):
     assert len(scored) == 4 and all(not r["held_out"] for r in scored if r["doc_id"] is None)
 
 
+def test_one_row_of_each_component_survives(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [
+        (None, text, "a"), (None, text + " more", "b"), (5, text, "c"), (5, "other words", "d"), (None, "unlinked one", "e"), (None, "unlinked two", "f"),
+        (7, "said twice", "g"), (7, "said twice", "g"), (None, "lost twice", "h"), (None, "lost twice", "h"), (8, None, "i"), (8, None, "i"), (None, " \t\x0b\n", "j"), (None, "", "k"),
+    ]
+    docs = lambda own: spark.createDataFrame(own, "doc_id long, text string, source string")
+    kept = jaccard.distinct_documents(docs(rows)).collect()
+    assert collections.Counter(tuple(r)[2] for r in kept) == {"c": 1, "d": 1, "e": 1, "f": 1, "g": 1, "h": 1, "i": 2, "j": 1, "k": 1}
+    # One null id that stands for itself lets no linked copy of another component back in.
+    few = [(None, "alone here", "a"), (1, text, "b"), (None, text, "c")]
+    assert sorted(r["source"] for r in jaccard.distinct_documents(docs(few)).collect()) == ["a", "b"]
+
+
 def test_many_holders_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW_HOLDERS", 2)
     monkeypatch.setattr(jaccard, "BLOCK_HOLDERS", 8)
