@@ -87,10 +87,11 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     A text of fewer words gives its whole sequence as one shingle; without words, none.
     """
     h, bounds = word_hashes(texts)
-    rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    n = max(0, len(h) - k + 1)
+    rolled = np.zeros(n, np.uint64)
     for j in range(k):
         m = np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
-        rolled += h[j : len(h) - k + 1 + j] * m
+        rolled += h[j : j + n] * m
     rolled = mix(rolled + np.uint64(k))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -30,6 +30,16 @@ def test_word_hashes(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_few_words(n):
+    long = b"a b c d e f g h i j"
+    for texts in ([b" ".join([b"w%d" % i for i in range(n)])], [b"w%d" % i for i in range(n)], [b"", b"w0 " * n, b""]):
+        alone = words.shingle_sets(texts, 5)
+        beside = words.shingle_sets([*texts, long], 5)
+        assert [x.tolist() for x in alone] == [x.tolist() for x in beside[:-1]]
+        assert [len(x) for x in alone] == [len(set(zip(*(t.split()[j:] for j in range(5))))) if len(t.split()) >= 5 else bool(t.split()) for t in texts]
+
+
 def test_long_texts_hash_alike():
     part = b"some words and more words "
     h, bounds = words.word_hashes([part * 120_000, part])
