@@ -9,53 +9,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries held by a task at once; more are answered in as many passes over each batch.
-MAX_QUERIES = 10_000
+#: Queries of a block, and vectors of a corpus block; a task holds one of each and their product.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
 
 
 def wrong_dimension(vectors: DataFrame, column: str, n: int) -> DataFrame:
     return vectors.where(F.col(column).isNull() | (F.size(column) != n))
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, scope: str | None, size: int) -> DataFrame:
+    """(ids, vectors, scopes): unit vectors in blocks of at most ``size`` rows, one block a row.
+
+    ``scopes`` is an array of the scope's values, empty without one. Rows without a vector are left out.
+    """
+    kind = rows.schema[scope].dataType.simpleString() if scope else "int"
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                v = np.array(b.column("vector").flatten()).reshape(b.num_rows, -1).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                scopes = pa.array([b.column("scope").to_pylist()], pa.list_(b.schema.field("scope").type)) if scope else pa.array([[]], pa.list_(pa.int32()))
+                yield pa.record_batch([pa.array([b.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), scopes], names=["ids", "vectors", "scopes"])
+
+    held = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    held = held.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), *([F.col(scope).alias("scope")] if scope else []))
+    return held.mapInArrow(go, f"ids binary, vectors binary, scopes array<{kind}>")
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None = None, include_self: bool = False) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` most similar corpus rows of each query.
 
     ``queries``: query_id, vector (and the ``scope`` column). ``corpus``: vec_id, embedding (and
-    scope): only rows of a query's scope count. Each batch of the corpus is multiplied with the
-    matrix of all queries and gives on only its own best k per query, so what is shuffled grows
-    with batches and queries, not with their product with rows. Similarity is rounded to 6
-    places; ties fall to the smaller vec_id.
+    scope): only rows of a query's scope count; a null scope is nobody's. Queries and corpus are
+    cut into blocks, every block of queries meets every block of the corpus in one matrix product,
+    and each meeting gives on only its own best k per query, so what is shuffled grows with blocks
+    and queries, not with their product with rows. Neither side is collected, so their numbers have
+    no limit. Similarity is rounded to 6 places; ties fall to the smaller vec_id.
     """
-    q = queries.limit(MAX_QUERIES + 1).collect()
-    if len(q) > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries; ask in parts")
-    ids = np.array([r["query_id"] for r in q], np.int64)
-    m = np.array([r["vector"] for r in q], np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(q) else 1
-    within = np.array([r[scope] for r in q]) if scope else None
-    table = corpus.sparkSession.sparkContext.broadcast((ids, m, within))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, within = table.value
         for b in batches:
-            keep = b.column("embedding").is_valid()
-            b = b.filter(keep)
-            if not b.num_rows or not len(ids):
-                continue
-            v = np.array(b.column("embedding").flatten()).reshape(b.num_rows, -1).astype(np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            own = b.column("vec_id").to_numpy()
-            sim = np.round(m @ v.T, 6)
-            if not include_self:
-                sim[ids[:, None] == own[None, :]] = -np.inf
-            if within is not None:
-                sim[within[:, None] != np.array(b.column(scope).to_pylist())[None, :]] = -np.inf
-            out = [(int(ids[i]), int(own[j]), float(sim[i, j])) for i in range(len(ids)) for j in np.lexsort((own, -sim[i]))[:k] if sim[i, j] > -np.inf]
-            if out:
-                a, c, s = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "similarity"])
-
-    columns = ["vec_id", "embedding", *([scope] if scope else [])]
-    best = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), *columns[1:]).mapInArrow(go, "query_id long, vec_id long, similarity double")
+            for row in range(b.num_rows):
+                ids, own = (np.frombuffer(b.column(c)[row].as_buffer(), "<i8") for c in ("ids", "own"))
+                m, v = (np.frombuffer(b.column(c)[row].as_buffer(), np.float64).reshape(n, -1) for c, n in (("vectors", len(ids)), ("held", len(own))))
+                sim = np.round(m @ v.T, 6)
+                if not include_self:
+                    sim[ids[:, None] == own[None, :]] = -np.inf
+                if scope:
+                    code: dict = {}
+                    mine, theirs = (np.array([-1 - side if x is None else code.setdefault(x, len(code)) for x in b.column(c)[row].as_py()]) for side, c in enumerate(("scopes", "within")))
+                    sim[mine[:, None] != theirs[None, :]] = -np.inf
+                best = [np.lexsort((own, -x))[:k] for x in sim]
+                best = [j[x[j] > -np.inf] for j, x in zip(best, sim, strict=True)]
+                of = np.repeat(np.arange(len(ids)), [len(j) for j in best])
+                if len(of):
+                    to = np.concatenate(best)
+                    yield pa.record_batch([pa.array(ids[of]), pa.array(own[to]), pa.array(sim[of, to])], names=["query_id", "vec_id", "similarity"])
+
+    # Dealt once: the tasks of the corpus read the blocks of queries, not the table they come from.
+    asked = _blocks(queries, "query_id", "vector", scope, QUERY_BLOCK).repartition(F.xxhash64("ids"))
+    held = _blocks(corpus, "vec_id", "embedding", scope, CORPUS_BLOCK).toDF("own", "held", "within")
+    best = held.crossJoin(asked).mapInArrow(go, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

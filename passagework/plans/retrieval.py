@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _probes(e: DataFrame) -> DataFrame:
     return p.select(F.col("x.vec_id").alias("query_id"), F.col("x.embedding").alias("vector"), "label")
 
 
+def _every(e: DataFrame) -> DataFrame:
+    """The queries of the ``_every`` plans: all rows whose id is divisible by 20."""
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+
+
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return vector.top_k(_probes(e), e, 5)
@@ -28,17 +35,35 @@ def knn_scoped_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return vector.top_k(_probes(e), e, 5, scope="label")
 
 
-def knn_probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
+def _verdicts(e: DataFrame, p: DataFrame) -> DataFrame:
     """CLEAN WIN if the first and four of five neighbours have the probe's label, and so on."""
-    e = table(spark, sf, "embeddings")
-    p = _probes(e)
-    near = vector.top_k(p, e, 5).join(e.select("vec_id", F.col("label").alias("found")), "vec_id").join(F.broadcast(p.select("query_id", "label")), "query_id")
+    near = vector.top_k(p, e, 5).join(e.select("vec_id", F.col("label").alias("found")), "vec_id").join(lexical.small(p.select("query_id", "label")), "query_id")
     hit = (F.col("found") == F.col("label")).cast("int")
     g = near.groupBy("query_id", "label").agg(F.sum(hit).alias("hits"), F.max(F.when(F.col("rank") == 1, hit)).alias("first"))
     verdict = F.when((F.col("first") == 1) & (F.col("hits") >= 4), "CLEAN WIN").when(F.col("first") == 1, "PARTIAL").otherwise("MISS")
     return g.select("query_id", "label", F.col("hits").cast("long").alias("hits"), verdict.alias("verdict"))
 
 
+def knn_probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return _verdicts(e, _probes(e))
+
+
+def knn_topk_every(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return vector.top_k(_every(e), e, 5)
+
+
+def knn_scoped_every(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return vector.top_k(_every(e), e, 5, scope="label")
+
+
+def knn_verdict_every(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return _verdicts(e, _every(e))
+
+
 def vector_dim_check(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -61,31 +86,47 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _lexical(spark, sf, _asked(spark, sf), TOP)
 
 
-def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+def _hybrid(spark: SparkSession, sf: str, p: DataFrame, n: int | None) -> DataFrame:
+    """Vector arm of the probes ``p``, lexical arm of the first ``n`` tokens of their documents or of all."""
     e, docs = table(spark, sf, "embeddings"), table(spark, sf, "documents")
-    p = _probes(e)
     v = vector.top_k(p, e, POOL).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    asked = docs.join(F.broadcast(p.select(F.col("query_id").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("query_id"), "text")
-    x = _lexical(spark, sf, lexical.query_terms(asked, "query_id", 8), POOL)
+    asked = docs.join(lexical.small(p.select(F.col("query_id").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("query_id"), "text")
+    x = _lexical(spark, sf, lexical.query_terms(asked, "query_id", n), POOL)
     fused = fusion.two_arms(v, x, ["query_id", "doc_id"], 0.5).withColumn("rrf", F.round("rrf", 9))
     return fusion.ranked(fused, "query_id", "doc_id", "rrf", TOP).select("query_id", "doc_id", "rrf", "rank")
 
 
-def rrf_multi_query(spark: SparkSession, sf: str) -> DataFrame:
-    lists = [_lexical(spark, sf, _asked(spark, sf, first), POOL).withColumn("variant", F.lit(k)) for k, first in enumerate((1, 5))]
-    fused = fusion.many_queries(lists[0].unionByName(lists[1]), "query_id", "variant", "doc_id").withColumn("rrf", F.round("rrf", 9))
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, _probes(table(spark, sf, "embeddings")), 8)
+
+
+def rrf_hybrid_every(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, _every(table(spark, sf, "embeddings")), None)
+
+
+def _fused(spark: SparkSession, sf: str, variants: list[DataFrame]) -> DataFrame:
+    lists = [_lexical(spark, sf, terms, POOL).withColumn("variant", F.lit(k)) for k, terms in enumerate(variants)]
+    fused = fusion.many_queries(reduce(DataFrame.unionByName, lists), "query_id", "variant", "doc_id").withColumn("rrf", F.round("rrf", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first_seen", "doc_id")
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP).select("query_id", "doc_id", "rrf", "rank")
 
 
-def parent_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    top = _lexical(spark, sf, _asked(spark, sf), POOL).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+def rrf_multi_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, [_asked(spark, sf, first) for first in (1, 5)])
+
+
+def _parents(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
+    top = _lexical(spark, sf, terms, POOL).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return fusion.distinct_parents(top, "query_id", ["source"]).select("query_id", "source", "doc_id", "rank")
 
 
-def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
+def parent_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return _parents(spark, sf, _asked(spark, sf))
+
+
+def _reranked(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
     """A wide lexical pool, then the reranker on that pool alone."""
-    pool = _lexical(spark, sf, _asked(spark, sf), POOL).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
+    pool = _lexical(spark, sf, terms, POOL).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     rows = pool.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(lexical.small(b), "query_id")
     scored = rows.select("query_id", "doc_id", "first_rank", F.round(providers.overlap_score(F.col("question"), F.col("text")), 6).alias("rerank"))
@@ -93,15 +134,22 @@ def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return _reranked(spark, sf, _asked(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 PROBES = "probes AS (SELECT min(vec_id) AS query_id, label FROM embeddings GROUP BY label)"
 
 
-def knn(k: int, scope: bool = False) -> str:
+EVERY = "probes AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+def knn(k: int, scope: bool = False, probes: str = PROBES) -> str:
     same = "AND e.label = p.label" if scope else ""
-    return f"""{PROBES},
+    return f"""{probes},
 sims AS (SELECT p.query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM probes p JOIN embeddings q ON q.vec_id = p.query_id JOIN embeddings e ON e.vec_id <> p.query_id {same}),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM sims QUALIFY rank <= {k})"""
 
@@ -143,3 +191,11 @@ r AS (SELECT b.query_id, b.doc_id, b.rank AS first_rank, q.w, list_distinct(rege
 s AS (SELECT query_id, doc_id, first_rank, round(len(list_intersect(w, t))::DOUBLE / len(w), 6) AS rerank FROM r)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank)::BIGINT AS rank FROM s QUALIFY rank <= {TOP}""",
 }
+
+# The same over all queries; the statements above stay as they are.
+SQL |= {
+    "knn_topk_every": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
+    "knn_scoped_every": f"WITH {knn(5, True, EVERY)} SELECT * FROM near",
+    "knn_verdict_every": SQL["knn_probe_verdict"].replace(PROBES, EVERY),
+    "rrf_hybrid_every": SQL["rrf_hybrid"].replace(PROBES, EVERY).replace(f"({TOK})[1:8]", TOK),
+}

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,27 @@ def test_top_k_scoped_and_empty(spark):
     assert vector.top_k(q.limit(0), e, 5).count() == 0
 
 
+def test_top_k_deals_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 11)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)] + [(60, None, "a"), (61, v[0].tolist(), None)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3)
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    u = np.array([*v, v[0]], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    at, label = [*range(60), 61], [r[2] for r in rows if r[1] is not None]
+    for scope in (None, "label"):
+        want = []
+        for i, x in enumerate(np.round(u @ u.T, 6)):
+            own = [j for j in range(61) if j != i and (not scope or label[i] == label[j] and label[i])]
+            want += [(at[i], at[j], float(x[j]), r) for r, j in enumerate(sorted(own, key=lambda j: (-x[j], at[j]))[:4], 1)]
+        assert sorted(tuple(r) for r in vector.top_k(q, e, 4, scope=scope).collect()) == sorted(want)
+    many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    assert vector.top_k(many, e.where("vec_id < 3").withColumn("embedding", F.slice("embedding", 1, 2)), 2).count() == 20_100
+
+
 def test_replace_partitions_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "chunks")
     a = spark.createDataFrame([("v1", 1, 0, [1.0]), ("v1", 2, 0, [1.0])], "chunking_version string, source_id int, chunk_index int, embedding array<double>")
