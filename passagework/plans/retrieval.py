@@ -77,6 +77,14 @@ def _asked(spark: SparkSession, sf: str, first: int = 1, n: int = 8) -> DataFram
     return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(words(F.col("text")), first, n)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
+def _whole(spark: SparkSession, sf: str, head: int = 0, tail: int = 0) -> DataFrame:
+    """Terms of all tokens of each passage, without ``head`` tokens at its start and ``tail`` at its end."""
+    w = words(F.col("text"))
+    cut = F.slice(w, 1 + head, F.greatest(F.size(w) - head - tail, F.lit(0))) if head or tail else w
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.explode(cut).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
 def _lexical(spark: SparkSession, sf: str, terms: DataFrame, pool: int) -> DataFrame:
     s = lexical.bm25(table(spark, sf, "documents"), "doc_id", terms, "query_id").withColumn("score", F.round("score", 6))
     return fusion.ranked(s, "query_id", "doc_id", "score", pool)
@@ -115,6 +123,15 @@ def rrf_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf, [_asked(spark, sf, first) for first in (1, 5)])
 
 
+def rrf_multi_query_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole question, and it without its first word, its last, and both."""
+    return _fused(spark, sf, [_whole(spark, sf, *ends) for ends in ((0, 0), (1, 0), (0, 1), (1, 1))])
+
+
+def bm25_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _lexical(spark, sf, _whole(spark, sf), TOP)
+
+
 def _parents(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
     top = _lexical(spark, sf, terms, POOL).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return fusion.distinct_parents(top, "query_id", ["source"]).select("query_id", "source", "doc_id", "rank")
@@ -124,6 +141,10 @@ def parent_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return _parents(spark, sf, _asked(spark, sf))
 
 
+def parent_dedupe_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _parents(spark, sf, _whole(spark, sf))
+
+
 def _reranked(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
     """A wide lexical pool, then the reranker on that pool alone."""
     pool = _lexical(spark, sf, terms, POOL).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
@@ -138,7 +159,11 @@ def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return _reranked(spark, sf, _asked(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+def rerank_lexical_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _reranked(spark, sf, _whole(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, bm25_topk_whole, rrf_multi_query_whole, parent_dedupe_whole, rerank_lexical_whole, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 PROBES = "probes AS (SELECT min(vec_id) AS query_id, label FROM embeddings GROUP BY label)"
@@ -170,6 +195,10 @@ def asked(first: int = 1, n: int = 8) -> str:
     return f"SELECT item_id AS query_id, unnest(({TOK})[{first}:{first + n - 1}]) AS term FROM benchmark"
 
 
+def whole(head: int = 0, tail: int = 0) -> str:
+    return f"SELECT item_id AS query_id, unnest(tk[{1 + head}:len(tk) - {tail}]) AS term FROM (SELECT item_id, {TOK} AS tk FROM benchmark)"
+
+
 SQL = {
     "knn_topk": f"WITH {knn(5)} SELECT * FROM near",
     "knn_scoped_by_label": f"WITH {knn(5, True)} SELECT * FROM near",
@@ -192,10 +221,18 @@ s AS (SELECT query_id, doc_id, first_rank, round(len(list_intersect(w, t))::DOUB
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank)::BIGINT AS rank FROM s QUALIFY rank <= {TOP}""",
 }
 
-# The same over all queries; the statements above stay as they are.
+# The same over all queries and whole questions; the statements above stay as they are.
+_variants = ((0, 0), (1, 0), (0, 1), (1, 1))
 SQL |= {
     "knn_topk_every": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
     "knn_scoped_every": f"WITH {knn(5, True, EVERY)} SELECT * FROM near",
     "knn_verdict_every": SQL["knn_probe_verdict"].replace(PROBES, EVERY),
     "rrf_hybrid_every": SQL["rrf_hybrid"].replace(PROBES, EVERY).replace(f"({TOK})[1:8]", TOK),
+    "bm25_topk_whole": f"WITH {bm25('b', whole(), TOP)} SELECT query_id, doc_id, score, rank FROM b",
+    "rrf_multi_query_whole": f"""WITH {', '.join(bm25(f'v{i}', whole(*ends), POOL) for i, ends in enumerate(_variants))},
+u AS ({' UNION ALL '.join(f'SELECT query_id, doc_id, rank, {i} AS variant FROM v{i}' for i in range(len(_variants)))}),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(variant * 1000000 + rank) AS seen FROM u GROUP BY 1, 2)
+SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, doc_id)::BIGINT AS rank FROM f QUALIFY rank <= {TOP}""",
+    "parent_dedupe_whole": SQL["parent_dedupe"].replace(asked(), whole()),
+    "rerank_lexical_whole": SQL["rerank_lexical"].replace(asked(), whole()),
 }

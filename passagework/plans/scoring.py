@@ -53,13 +53,13 @@ def gold_missing_anti(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").join(gold(spark, sf).select("item_id").distinct(), "item_id", "left_anti").select("item_id")
 
 
-def _golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _golden(spark: SparkSession, sf: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     g = gold(spark, sf)
     n = g.groupBy(F.col("item_id").alias("question")).agg(F.count("*").alias("spans"))
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("question") % 6 + 1).cast("int"))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question")).join(n, "question", "left")
     items = items.select("question", category.alias("category"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"))
-    ranks = retrieval._lexical(spark, sf, retrieval._asked(spark, sf), 20)
+    ranks = retrieval._lexical(spark, sf, terms or retrieval._asked(spark, sf), 20)
     hits = ranks.join(g, (ranks["query_id"] == g["item_id"]) & (ranks["doc_id"] == g["doc_id"])).select(F.col("item_id").alias("question"), g["doc_id"].alias("span"), "rank")
     return items, hits
 
@@ -74,8 +74,25 @@ def mrr(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.reciprocal_rank(hits, items).withColumn("rr", F.round("rr", 6))
 
 
+def recall_at_k_whole(spark: SparkSession, sf: str) -> DataFrame:
+    items, hits = _golden(spark, sf, retrieval._whole(spark, sf))
+    return evaluate.recall(hits, items).withColumn("recall", F.round("recall", 6))
+
+
+def mrr_whole(spark: SparkSession, sf: str) -> DataFrame:
+    items, hits = _golden(spark, sf, retrieval._whole(spark, sf))
+    return evaluate.reciprocal_rank(hits, items).withColumn("rr", F.round("rr", 6))
+
+
 def eval_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    items, hits = _golden(spark, sf)
+    return _rolled_up(*_golden(spark, sf))
+
+
+def eval_rollup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _rolled_up(*_golden(spark, sf, retrieval._whole(spark, sf)))
+
+
+def _rolled_up(items: DataFrame, hits: DataFrame) -> DataFrame:
     wide = evaluate.recall(hits, items).groupBy("question", "category").agg(*(F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"r{k}") for k in (1, 5, 20)))
     rows = wide.join(evaluate.reciprocal_rank(hits, items).drop("category"), "question")
     means = [F.round(F.avg(c), 6).alias(c) for c in ("r1", "r5", "r20", "rr")]
@@ -264,7 +281,7 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return replay.sessions(table(spark, sf, "events")).select("user_id", F.unix_micros(F.col("session_start").cast("timestamp")).alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (span_gold, span_covers, gold_overlap_semi, gold_missing_anti, recall_at_k, mrr, eval_rollup, nan_mean, refusal_matrix, judge_rollup, ab_delta, router_confusion, input_guard, output_guard, citation_ids, claims_coerce, prompt_render, xml_escape, fewshot_messages, ab_pivot, cost_by_model, cost_rollup, tool_counts, consulted_first, terminal_cut, cost_cap, rate_schedule, fallback_first_ok, prompt_versions, events_hourly, event_sessions)}
+QUERIES = {f.__name__: f for f in (recall_at_k_whole, mrr_whole, eval_rollup_whole, span_gold, span_covers, gold_overlap_semi, gold_missing_anti, recall_at_k, mrr, eval_rollup, nan_mean, refusal_matrix, judge_rollup, ab_delta, router_confusion, input_guard, output_guard, citation_ids, claims_coerce, prompt_render, xml_escape, fewshot_messages, ab_pivot, cost_by_model, cost_rollup, tool_counts, consulted_first, terminal_cut, cost_cap, rate_schedule, fallback_first_ok, prompt_versions, events_hourly, event_sessions)}
 
 GOLD = "gold AS (SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::BIGINT AS span_start, (instr(d.text, b.text) - 1 + length(b.text))::BIGINT AS span_end FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0)"
 _case = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES))
@@ -327,3 +344,6 @@ SELECT doc_id, issues = '' AS ok, abstained, issues FROM i""",
     "events_hourly": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k",
 }
+
+# The same over whole questions; the statements above stay as they are.
+SQL |= {f"{name}_whole": SQL[name].replace(retrieval.asked(), retrieval.whole()) for name in ("recall_at_k", "mrr", "eval_rollup")}
