@@ -150,24 +150,41 @@ def input_guard(spark: SparkSession, sf: str) -> DataFrame:
     return _questions(spark, sf).select("conv_id", "turn", guards.input_guard(F.col("question")).alias("g")).select("conv_id", "turn", "g.ok", "g.rule")
 
 
-def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that cite, cite twice, cite a foreign id, abstain or do none of these."""
+def _answers(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Answers that cite, cite twice, cite a foreign id, abstain or do none of these: the start of
+    a document's text or the whole of it, and a tail."""
     i = F.col("doc_id")
     s = i.cast("string")
     tail = (
         F.when(i % 5 == 0, F.concat(F.lit(" ["), s, F.lit("]."))).when(i % 5 == 1, F.concat(F.lit(" ["), s, F.lit("] ["), s, F.lit("]")))
         .when(i % 5 == 2, F.concat(F.lit(" ["), (i + 7).cast("string"), F.lit("] ["), s, F.lit("]"))).when(i % 5 == 3, " The sources do not mention this.").otherwise("")
     )
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), tail).alias("answer"), F.array(i, i + 1).alias("allowed"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.col("text") if whole else F.substring("text", 1, 60), tail).alias("answer"), F.array(i, i + 1).alias("allowed"))
 
 
-def output_guard(spark: SparkSession, sf: str) -> DataFrame:
-    g = _answers(spark, sf).select("doc_id", guards.output_guard(F.col("answer"), F.col("allowed")).alias("g"))
+def _guarded(answers: DataFrame) -> DataFrame:
+    g = answers.select("doc_id", guards.output_guard(F.col("answer"), F.col("allowed")).alias("g"))
     return g.select("doc_id", "g.ok", "g.abstained", F.array_join("g.issues", ";").alias("issues"))
 
 
+def output_guard(spark: SparkSession, sf: str) -> DataFrame:
+    return _guarded(_answers(spark, sf))
+
+
+def output_guard_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _guarded(_answers(spark, sf, True))
+
+
+def _cited(answers: DataFrame) -> DataFrame:
+    return answers.select("doc_id", F.posexplode(guards.citations(F.col("answer"))).alias("at", "cited")).select("doc_id", F.col("at").cast("long").alias("at"), "cited")
+
+
 def citation_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark, sf).select("doc_id", F.posexplode(guards.citations(F.col("answer"))).alias("at", "cited")).select("doc_id", F.col("at").cast("long").alias("at"), "cited")
+    return _cited(_answers(spark, sf))
+
+
+def citation_ids_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _cited(_answers(spark, sf, True))
 
 
 def claims_coerce(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +298,7 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return replay.sessions(table(spark, sf, "events")).select("user_id", F.unix_micros(F.col("session_start").cast("timestamp")).alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k_whole, mrr_whole, eval_rollup_whole, span_gold, span_covers, gold_overlap_semi, gold_missing_anti, recall_at_k, mrr, eval_rollup, nan_mean, refusal_matrix, judge_rollup, ab_delta, router_confusion, input_guard, output_guard, citation_ids, claims_coerce, prompt_render, xml_escape, fewshot_messages, ab_pivot, cost_by_model, cost_rollup, tool_counts, consulted_first, terminal_cut, cost_cap, rate_schedule, fallback_first_ok, prompt_versions, events_hourly, event_sessions)}
+QUERIES = {f.__name__: f for f in (recall_at_k_whole, mrr_whole, eval_rollup_whole, output_guard_whole, citation_ids_whole, span_gold, span_covers, gold_overlap_semi, gold_missing_anti, recall_at_k, mrr, eval_rollup, nan_mean, refusal_matrix, judge_rollup, ab_delta, router_confusion, input_guard, output_guard, citation_ids, claims_coerce, prompt_render, xml_escape, fewshot_messages, ab_pivot, cost_by_model, cost_rollup, tool_counts, consulted_first, terminal_cut, cost_cap, rate_schedule, fallback_first_ok, prompt_versions, events_hourly, event_sessions)}
 
 GOLD = "gold AS (SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::BIGINT AS span_start, (instr(d.text, b.text) - 1 + length(b.text))::BIGINT AS span_end FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0)"
 _case = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES))
@@ -345,5 +362,6 @@ SELECT doc_id, issues = '' AS ok, abstained, issues FROM i""",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k",
 }
 
-# The same over whole questions; the statements above stay as they are.
+# The same over whole questions and whole texts; the statements above stay as they are.
 SQL |= {f"{name}_whole": SQL[name].replace(retrieval.asked(), retrieval.whole()) for name in ("recall_at_k", "mrr", "eval_rollup")}
+SQL |= {f"{name}_whole": SQL[name].replace("substring(text, 1, 60)", "text") for name in ("output_guard", "citation_ids")}

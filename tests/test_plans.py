@@ -40,6 +40,15 @@ def test_plan_equals_sql(spark, sql, name):
     assert got == want
 
 
+def test_answers_are_whole_texts(spark, tmp_path):
+    long = "plain words and more of them " * 4
+    rows = [(4, long + "[17] end"), (9, long + "there is no evidence here"), (14, long)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in plans.QUERIES["citation_ids_whole"](spark, str(tmp_path)).collect()] == [(4, 0, 17)]
+    found = {r["doc_id"]: (r["ok"], r["abstained"], r["issues"]) for r in plans.QUERIES["output_guard_whole"](spark, str(tmp_path)).collect()}
+    assert found == {4: (False, False, "cites-unconsulted-chunks:17"), 9: (True, True, ""), 14: (False, False, "no-citation")}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries())
