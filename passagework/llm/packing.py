@@ -10,6 +10,8 @@ as few bins as its token sum allows stops at once.
 Pieces of one length are interchangeable, so a packing is kept as lengths only; pieces are put in
 their places once the best packing of each block is known.
 
+Special tokens that a text holds get their own ids, as by the tokenizer's default; none is added.
+
 Defined cases: a null or empty text is the end id alone; repeated rows each give their pieces; an
 empty table gives an empty result; other columns of the input are ignored.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -40,10 +43,12 @@ _SUBBATCH = 1 << 21
 
 Packing = list[tuple[int, ...]]
 _encoders: dict[str, Callable[[list[bytes]], list[np.ndarray]]] = {}
+#: Ids of a vocabulary's special tokens.
+_specials: dict[str, dict[bytes, int]] = {}
 
 
 def encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """Ids of UTF-8 texts. White space parts words for this vocabulary, and the marks that close
+    """Ids of UTF-8 texts, special tokens read as plain text. White space parts words for this vocabulary, and the marks that close
     a word part from its letters, so ids are looked up by word and then by its letters, in two
     bounded caches, and the tokenizer only sees what both lack."""
     if path in _encoders:
@@ -52,7 +57,9 @@ def encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    # Words are looked up in lower case and in parts; ``text_encoder`` cuts special tokens out before.
     tokenizer.encode_special_tokens = True
+    _specials[path] = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
     closes = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
     for token, i in tokenizer.get_vocab().items():
         closes[i] = token.endswith("</w>")
@@ -120,6 +127,24 @@ def encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
     return encode
 
 
+def text_encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """Ids of UTF-8 texts as the tokenizer gives them with ``add_special_tokens=False`` alone:
+    special tokens part a text, and what lies between them is encoded by itself."""
+    encode, special = encoder(path), _specials[path]
+    if not special:
+        return encode
+    marks = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + b")")
+
+    def go(texts: list[bytes]) -> list[np.ndarray]:
+        if not any(x in t for t in texts for x in special):
+            return encode(texts)
+        cut = [marks.split(t) for t in texts]  # plain parts at even places, special tokens between
+        plain = iter(encode([x for own in cut for x in own[::2]]))
+        return [np.concatenate([np.array([special[x]], np.uint32) if i % 2 else next(plain) for i, x in enumerate(own)]) for own in cut]
+
+    return go
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids in pieces."""
     if tokenizer is None:
@@ -137,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
         yield at, len(raw), raw[at:]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = text_encoder(tokenizer)
         for b in slices(batches):
             ids, raw = b.column("doc_id").to_pylist(), [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
             for a, z, own in parts(raw):

@@ -235,6 +235,23 @@ def test_tokens_of_odd_words():
     assert [x.tolist() for x in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_as_by_default(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tk = Tokenizer.from_file(path)  # untouched
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "a", "don", "'t", " ", "\n", "é", "e\u0301", ".", "Word", "7"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400))]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [320, 49407, 321]
+    assert [x.tolist() for x in packing.text_encoder(path)([t.encode() for t in texts])] == want
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=60), st.integers(0, 10**6))
 @settings(max_examples=60, deadline=None)
 def test_evolution_keeps_every_piece(items, seed):
