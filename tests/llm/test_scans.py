@@ -143,3 +143,14 @@ def test_licences(spark, docs, edge, empty):
     plain = licenses.scan(docs.limit(40), model).count()
     model.cues = sorted({r["w"] for r in docs.limit(40).select(F.explode(licenses.words_of(F.col("text"))).alias("w")).distinct().collect()})
     assert licenses.scan(docs.limit(40), model).count() == plain
+
+
+def test_common_notices_stay_known(spark, docs):
+    """A third of the documents holds each phrase of every family, and each is found as before."""
+    known = [(family, t) for family, own in licenses.PHRASES.items() for t in own if family != licenses.NONE]
+    notices = F.lit("\n" + "\n".join(t for _, t in known))
+    rows = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", notices)).otherwise(F.col("text")))
+    asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(known)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licenses.scan(asked, licenses.fit(rows)).collect()}
+    wrong = [t for i, (family, t) in enumerate(known) if got.get(i) != (family, family != licenses.UNKNOWN)]
+    assert not wrong, f"{len(wrong)} of {len(known)}: {wrong}"
