@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a local one only where Spark itself is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("passagework.scratch.dir", None)
     if not at:
-        at = spark.conf.get("passagework.scratch.dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("passagework.scratch.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("passagework.scratch.dir", at)
     return at
 
 
@@ -36,11 +38,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows``: a task holds Python copies of one part only."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes of strings, a longer
+    row alone: a task holds Python copies of one part only."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        held = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(held), 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+            stop = min(at + rows, max(fits, at + 1), b.num_rows)
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def per_batch(

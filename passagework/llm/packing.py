@@ -12,8 +12,9 @@ their places once the best packing of each block is known.
 
 Special tokens that a text holds get their own ids, as by the tokenizer's default; none is added.
 
-Defined cases: a null or empty text is the end id alone; repeated rows each give their pieces; an
-empty table gives an empty result; other columns of the input are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text gives as many pieces as it
+needs, encoded as one batch of its own; repeated rows each give their pieces; a null doc_id stays
+null in its pieces; pieces of equal length take each other's places by arrival; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,18 +30,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import blobs, slices, written
 
 LENGTH, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 0, 16384, 3, 3, 12, 6
 TOKENIZER = "word_bpe_49k.json"
-#: Words and letter runs whose ids a worker keeps.
-_CACHE_WORDS = 400_000
+#: Letter runs whose ids a worker keeps, in each of two generations.
+_CACHE_WORDS = 250_000
 #: Marks that the vocabulary's splitting keeps apart from letters before them.
-_CLOSING = b".,*#$%&!|;:?"
-_SUBBATCH = 1 << 21
+_CLOSING = ".,*#$%&!|;:?"
+#: Bytes of texts that are encoded together.
+_SUBBATCH = 1 << 23
+#: Most tasks of an epoch; each evolves whole islands.
+_TASKS = 4096
 
 Packing = list[tuple[int, ...]]
 _encoders: dict[str, Callable[[list[bytes]], list[np.ndarray]]] = {}
@@ -47,81 +53,106 @@ _encoders: dict[str, Callable[[list[bytes]], list[np.ndarray]]] = {}
 _specials: dict[str, dict[bytes, int]] = {}
 
 
+def _simple_letters() -> str:
+    """Letters up to U+024F that normalising and lower-casing turn into one letter each: only a run
+    of these is sure to be one part for the vocabulary's splitting, whatever mark follows."""
+    one = lambda c: unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha()
+    return "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and one(c))
+
+
+_SIMPLE = _simple_letters()
+
+
+class _Cache:
+    """Packed ids by key, in two generations: keys in use survive, the others go."""
+
+    def __init__(self, most: int, learn: Callable[[list[bytes]], list[bytes]]):
+        self.most, self.learn = most, learn
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct keys; those not held are learnt together."""
+        young, old = self.young.get, self.old.get
+        out = [young(k) or old(k) for k in keys]
+        missing = [k for k, v in zip(keys, out, strict=True) if v is None]
+        if missing:
+            found = iter(self.learn(missing))
+            out = [next(found) if v is None else v for v in out]
+        if len(self.young) + len(keys) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update(zip(keys, out, strict=True))
+        return out
+
+
 def encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """Ids of UTF-8 texts, special tokens read as plain text. White space parts words for this vocabulary, and the marks that close
-    a word part from its letters, so ids are looked up by word and then by its letters, in two
-    bounded caches, and the tokenizer only sees what both lack."""
+    """Ids of UTF-8 texts, special tokens read as plain text.
+
+    White space parts words for this vocabulary, so each distinct word of a batch is encoded once.
+    Most words are simple letters and marks that close them: their letters are encoded in lower
+    case, many at a time, and kept from batch to batch. Every other word goes to the tokenizer as
+    it is (case matters there: some letters and marks compose in one case only).
+    """
     if path in _encoders:
         return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    # Words are looked up in lower case and in parts; ``text_encoder`` cuts special tokens out before.
+    # ``text_encoder`` cuts special tokens out before.
     tokenizer.encode_special_tokens = True
     _specials[path] = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+    # Runs of lower-case simple letters are normal and parted by blanks alone.
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     closes = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
     for token, i in tokenizer.get_vocab().items():
         closes[i] = token.endswith("</w>")
-    place: dict[bytes, int] = {}
-    parts: dict[bytes, bytes] = {}
-    flat, start, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    packed = lambda ids: np.array(ids, np.uint32).tobytes()
-
-    def learn_parts(missing: set[bytes]) -> None:
-        foreign, rest = [], []
-        for x in missing:
-            if x.isalpha():  # ASCII letters are the model's own alphabet
-                parts[x] = packed([t.id for t in tokenizer.model.tokenize(x.decode())])
-            elif x.decode().isalpha():
-                foreign.append(x)
-            else:
-                rest.append(x)
-        for i in range(0, len(foreign), 500):
-            own = foreign[i : i + 500]
-            ids = np.array(tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
-            cut = np.split(ids, np.flatnonzero(closes[ids])[:-1] + 1)
-            if len(cut) == len(own):
-                parts.update((x, c.tobytes()) for x, c in zip(own, cut, strict=True))
-            else:
-                rest += own
-        for x, e in zip(rest, tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False), strict=True):
-            parts[x] = packed(e.ids)
-
-    def learn(missing: list[bytes]) -> None:
-        nonlocal flat, start, size
-        cut = []
-        for w in missing:
-            letters = w.rstrip(_CLOSING)
-            whole = letters == w or not letters or not (letters.isalpha() or letters.decode().isalpha())
-            cut.append((w,) if whole else (letters, w[len(letters) :]))
-        if len(parts) > _CACHE_WORDS:
-            parts.clear()
-        if new := {x for own in cut for x in own}.difference(parts):
-            learn_parts(new)
-        ids = [b"".join(map(parts.__getitem__, own)) for own in cut]
-        place.update(zip(missing, range(len(place), len(place) + len(missing)), strict=True))
-        n = np.array([len(x) // 4 for x in ids], np.int64)
-        start = np.concatenate([start, len(flat) + np.cumsum(n) - n])
-        size = np.concatenate([size, n])
-        flat = np.concatenate([flat, np.frombuffer(b"".join(ids), np.uint32)])
+    whole = lambda own: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([x.decode() for x in own], add_special_tokens=False)]
+
+    def letters(own: list[bytes]) -> list[bytes]:
+        out, runs = [], [own[i : i + 500] for i in range(0, len(own), 500)]
+        for run, e in zip(runs, plain.encode_batch_fast([b" ".join(r).decode().lower() for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends, raw = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist(), ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *ends], ends)] if len(ends) == len(run) else whole(run)
+        return out
+
+    by_letters, by_word = _Cache(_CACHE_WORDS, letters), _Cache(_CACHE_WORDS // 4, whole)
+    only_simple = f"^[{_SIMPLE}]+$"
+
+    def table(keys: pa.Array, ids: Callable[[list[bytes]], list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of the distinct keys, and each key's place among them."""
+        coded = keys.dictionary_encode()
+        return ids(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy().astype(np.int64)
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal flat, start, size
-        words = [t.lower().split() for t in texts]
-        every = list(chain.from_iterable(words))
-        if missing := set(every).difference(place):
-            if len(place) + len(missing) > _CACHE_WORDS:
-                place.clear()
-                flat, start, size = flat[:0], start[:0], size[:0]
-                missing = set(every)
-            learn(sorted(missing))
-        at = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
-        n = size[at]
-        ends = np.cumsum(n)
-        pos = np.repeat(start[at] - (ends - n), n) + np.arange(int(n.sum()))
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
-        return np.split(flat[pos], bounds[1:-1])
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        core = pc.ascii_rtrim(distinct, characters=_CLOSING)
+        simple = pc.match_substring_regex(core, only_simple)
+        # A word is two parts: letters and marks, or itself and nothing.
+        first, one = table(pc.ascii_lower(core.filter(simple)), by_letters)
+        mark = pc.utf8_ltrim(distinct.filter(simple), characters=_SIMPLE)
+        second, two = table(mark, by_word)
+        third, three = table(distinct.filter(pc.invert(simple)), by_word)
+        at, ok = np.zeros((len(distinct), 2), np.int64), simple.to_numpy(zero_copy_only=False)
+        nothing = len(first) + len(second) + len(third)
+        at[ok, 0], at[ok, 1] = one, len(first) + two
+        at[~ok, 0], at[~ok, 1] = len(first) + len(second) + three, nothing
+        ids = [*first, *second, *third, b""]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        spread = lambda begin, n: np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        flat = flat[spread(start[at.reshape(-1)], size[at.reshape(-1)])]  # of the distinct words in order
+        size = size[at].sum(axis=1)
+        start = np.cumsum(size) - size
+        of = coded.indices.to_numpy()
+        n = size[of]
+        bounds = np.concatenate([[0], np.cumsum(n)])[words.offsets.to_numpy()]
+        return np.split(flat[spread(start[of], n)], bounds[1:-1])
 
     _encoders[path] = encode
     return encode
@@ -152,33 +183,22 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
 
         tokenizer = public_tokenizers.path(TOKENIZER)
 
-    def parts(raw: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
-        at, size = 0, 0
-        for i, t in enumerate(raw):
-            size += len(t)
-            if size > _SUBBATCH:
-                yield at, i + 1, raw[at : i + 1]
-                at, size = i + 1, 0
-        yield at, len(raw), raw[at:]
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(tokenizer)
-        for b in slices(batches):
-            ids, raw = b.column("doc_id").to_pylist(), [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
-            for a, z, own in parts(raw):
-                rows = []
-                for k, tokens in zip(ids[a:z], encode(own) if own else [], strict=True):
-                    tokens = np.append(tokens, np.uint32(END)).astype("<u4")
-                    rows += [
-                        (k, j, s, len(cut := tokens[s : s + length]), zlib.crc32(cut.tobytes()))
-                        for j, s in enumerate(range(0, len(tokens), length))
-                    ]
-                if rows:
-                    k, j, s, n, c = zip(*rows, strict=True)
-                    yield pa.record_batch(
-                        [pa.array(k, pa.int64()), pa.array(j, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                        names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                    )
+        for b in slices(batches, 4000, _SUBBATCH):
+            rows = []
+            for k, tokens in zip(b.column("doc_id").to_pylist(), encode(blobs(b)), strict=True):
+                tokens = np.append(tokens, np.uint32(END)).astype("<u4")
+                rows += [
+                    (k, j, s, len(cut := tokens[s : s + length]), zlib.crc32(cut.tobytes()))
+                    for j, s in enumerate(range(0, len(tokens), length))
+                ]
+            if rows:
+                k, j, s, n, c = zip(*rows, strict=True)
+                yield pa.record_batch(
+                    [pa.array(k, pa.int64()), pa.array(j, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(go, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -330,8 +350,10 @@ def pack(cut: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: int
 
         return go
 
+    # Islands are few bytes and much work: they are dealt by number, which AQE leaves as it is.
+    tasks = min(n * islands, _TASKS)
     for number in range(epochs):
-        state = state.groupBy("block", "island").applyInArrow(epoch(number), schema)
+        state = state.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(epoch(number), schema)
     best = state.withColumn("bins", F.size(F.filter("packing", lambda x: x == 0)))
     best = best.groupBy("block").agg(F.min_by("packing", F.struct("bins", F.col("island"), F.xxhash64("packing"))).alias("packing"))
 

@@ -1,11 +1,13 @@
 """Fingerprints, mixing, media, packing, near duplicates and quality."""
 
 import collections
+import functools
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,3 +393,43 @@ def test_quality_edges(spark, edge, empty):
     assert quality.scored(empty, labels).count() == 0
     none = quality.scored(edge, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and quality.keep(edge, labels.limit(0)).count() == 0
+
+
+def test_ids_of_every_code_point():
+    """Alone, in words, before closing marks and in the other case, by the untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tk, encode = Tokenizer.from_file(path), packing.text_encoder(path)
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"{c} a{c}, {c}b. x{c}y! {c.upper()}; {c.lower()}" for c in points[i : i + 20_000]]
+        assert [x.tolist() for x in encode([t.encode() for t in texts])] == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+
+
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "J̌", "'s", ",", ". ", "\x1c", " ", "word"]), st.text(max_size=6)), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_text(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    assert packing.text_encoder(path)([text.encode("utf8", "replace")])[0].tolist() == _tokenizer(path).encode(text.encode("utf8", "replace").decode(), add_special_tokens=False).ids
+
+
+@functools.cache
+def _tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def test_slices_by_bytes():
+    from passagework.llm.common import slices
+
+    b = pa.record_batch([pa.array([1, 2, 3, 4, 5]), pa.array(["x" * 50, None, "y" * 500, "z" * 40, ""])], names=["doc_id", "text"])
+    assert [p.num_rows for p in slices(iter([b]), 10, 100)] == [2, 1, 2]
+    assert [p.num_rows for p in slices(iter([b]), 2, 10_000)] == [2, 2, 1]
