@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,23 @@ def per_batch(
     return df.mapInArrow(go, schema)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def clear_of(spans: Iterable[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
+    """Those of ``spans`` (start, end, ...), by start, that overlap neither ``taken`` nor one kept before."""
+    taken = sorted(taken)
+    starts, tops, kept, end = [a for a, _ in taken], list(accumulate((b for _, b in taken), max)), [], 0
+    for x in spans:
+        before = bisect_left(starts, x[1])  # of those that start before its end the furthest end counts
+        if x[0] >= end and not (before and tops[before - 1] > x[0]):
+            kept.append(x)
+            end = x[1]
+    return kept
+
+
 def texts(b: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as Python strings, null as empty."""
     return [x or "" for x in b.column(column).to_pylist()]

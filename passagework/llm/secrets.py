@@ -9,8 +9,9 @@ is a token shaped like an issued credential (a known issuer prefix, or a long mi
 lower case and digits) that overlaps no base span; it is reported only where the corpus shows it
 to be owner-specific.
 
-Defined cases: a null text counts as empty and gives a row without spans; null owners and
-repositories each count as one value; repeated rows each give their row; an empty table gives an
+Defined cases: a null text counts as empty and gives a row without spans; a null doc_id stays null;
+a very long text is searched whole, in time that grows with its length; null owners and
+repositories each count as one value; of overlapping issued tokens the first stays; repeated rows each give their row; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts, written
+from .common import clear_of, per_batch, texts, written
 
 # The patterns of the base kinds and of issued tokens.
 ASSIGN = re.compile(
@@ -44,6 +45,10 @@ KINDS = ("assign", "access", "hex", "owned")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: A string held by this many distinct owners or more is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is one that its owners hold in this many repositories each, on average, or more.
+EXAMPLE_REPOS = 50
+#: Parts in which the uses of one string meet its counts.
+SALTS = 16
 
 _CANDIDATE = "array<struct<kind:int,start:int,end:int,hash:binary>>"
 
@@ -85,12 +90,9 @@ def extra_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     taken = [(s, e) for _, s, e, _ in base]
     out = []
     for pattern in (ISSUED, MIXED):
-        for m in pattern.finditer(text):
-            if pattern is MIXED and not _mixed(m[0]):
-                continue
-            if all(m.end() <= s or m.start() >= e for s, e in taken):
-                taken.append(m.span())
-                out.append((3, m.start(), m.end(), m[0]))
+        found = clear_of(((*m.span(), m[0]) for m in pattern.finditer(text) if pattern is ISSUED or _mixed(m[0])), taken)
+        taken += [(s, e) for s, e, _ in found]
+        out += [(3, s, e, v) for s, e, v in found]
     return out
 
 
@@ -139,18 +141,22 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row per input row: (doc_id, found, live) with every candidate's ownership counts.
 
     ``found`` has (kind, start, end, owners, repos, live); an ``owned`` candidate that isn't live
-    is left out, base candidates always stay.
+    is left out, base candidates always stay. Live is a string of few owners, and of few
+    repositories each.
     """
     rows = written(candidates(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()))
-    one = rows.select("row", F.posexplode("found").alias("at", "c")).select(
-        "row", "at", F.col("c.kind").alias("kind"), F.col("c.start").alias("start"),
-        F.col("c.end").alias("end"), F.col("c.hash").alias("hash"),
+    one = rows.select("row", F.explode("found").alias("c")).select(
+        "row", F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"),
+        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    judged = one.join(ownership(rows), "hash").withColumn("live", F.col("owners") < example_owners)
+    # A string copied into a third of all rows is met in SALTS parts, each by a copy of its counts.
+    owned = ownership(rows).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos * F.col("owners"))
+    judged = one.join(owned, ["hash", "salt"]).withColumn("live", live)
     kept = judged.where((F.col("kind") < 3) | F.col("live"))
     listed = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("found")
