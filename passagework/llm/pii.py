@@ -10,7 +10,9 @@ non-overlapping within its kind. The method adds ``login`` (``scheme://user:pass
 may hold an email's span) and, where no base span overlaps, ``iban`` (a country code and check
 digits that hold modulo 97) and ``account`` (8 to 17 digits after an identifier cue).
 
-Defined cases: a null text counts as empty in ``spans`` and stays null when redacted; repeated
+Defined cases: a null text counts as empty in ``spans`` and stays null when redacted; a null doc_id
+stays null; a very long text is searched whole, in time that grows with its length; of overlapping
+account numbers the first stays; repeated
 rows each give their row; empty tables give empty results; other columns pass through ``redact``
 and are ignored by ``scan``.
 """
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import clear_of, per_batch, texts
 
 KINDS = ("email", "ip", "card", "phone", "iban", "login", "account")
 # Cues before account numbers.
@@ -120,15 +122,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             cues.append(last + 1)
     if cues or found[2] or end_run:
         taken = [x for k in range(4) for x in found[k]]
-        clear = lambda s, e: all(e <= a or s >= b for a, b in taken)
-        for m in _IBAN.finditer(text) if end_run else ():
-            if clear(*m.span()) and iban_holds(m[0]):
-                found[4].append(m.span())
-                taken.append(m.span())
-        for c in cues:
-            if (m := _ACCOUNT.match(text, c)) and clear(*m.span(1)):
-                found[6].append(m.span(1))
-                taken.append(m.span(1))
+        found[4] = clear_of((m.span() for m in _IBAN.finditer(text) if iban_holds(m[0])) if end_run else (), taken)
+        found[6] = clear_of((m.span(1) for c in cues if (m := _ACCOUNT.match(text, c))), taken + found[4])
     return [(k, s, e) for k, own in enumerate(found) for s, e in sorted(own)]
 
 
