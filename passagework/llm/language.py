@@ -7,10 +7,13 @@ the whole corpus. These four tables are grouped sums of the texts' own posterior
 share is taken out of its host's and domain's sums before they are used on it. The posterior is
 the normalised product.
 
-Defined cases: a null text counts as empty and gives no text evidence; a null host, declaration,
-suffix or path is a value of its own that carries no evidence beyond its counts; repeated rows
-each give their row; without labelled text the query fails with a message; an empty table of
-records gives an empty result; other columns of the input are ignored.
+Defined cases: a null text counts as empty and gives no text evidence; a null doc_id or page_id stays
+null; a null host, declaration, suffix or path is a value of its own that carries no evidence beyond
+its counts; null or empty markup is an empty page, and of malformed markup what opens and never closes
+is text; a very long text or page is read whole, in time that grows with its length; of equally likely
+languages the first in code point order is said; repeated rows each give their row; without labelled
+text every language is null (``train`` alone stops with a message, also beyond MAX_LANGUAGES); an empty
+table of records gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import once, slices, written
 
 SLOTS = 1 << 14
 MAX_LANGUAGES = 400
@@ -31,13 +34,18 @@ MAX_LANGUAGES = 400
 EVIDENCE = 60.0
 #: Weight, in records, of the level above in a host's or domain's prior; of evenness in a likelihood.
 KAPPA, FLAT = 5.0, 2.0
+#: Parts in which the records of one host, domain or suffix meet their sums.
+SALTS = 16
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[128:] = np.arange(128, 256)
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|head|footer)\b.*?</\1\s*>|<div class=.?ad\b.*?</div>", re.DOTALL | re.IGNORECASE)
+# Parts of a page that are no text, by how they open and close.
+_OPENS = re.compile(r"<(!--)|<(script|style|nav|head|footer)\b|<(div) class=.?ad\b", re.IGNORECASE)
+_CLOSES = {"!--": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style", "nav", "head", "footer", "div")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_HTML = re.compile(r"<html\b[^>]*", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
 def _slots(text: bytes) -> np.ndarray:
@@ -85,7 +93,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
 
 def visible(html: str) -> str:
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html))
+    """The text of a page in one pass: hidden parts and tags become blanks; what opens a part that
+    never closes, or a tag, is text."""
+    parts, at, open_ended = [], 0, set()
+    for m in _OPENS.finditer(html):
+        kind = (m[1] or m[2] or m[3]).lower()
+        if m.start() < at or kind in open_ended:
+            continue
+        if close := _CLOSES[kind].search(html, m.end()):
+            parts += [html[at : m.start()], " "]
+            at = close.end()
+        else:
+            open_ended.add(kind)  # nothing later closes either
+    text = "".join([*parts, html[at:]])
+    last = text.rfind(">") + 1  # before it every tag closes
+    return _TAG.sub(" ", text[:last]) + text[last:]
+
+
+def declared(html: str) -> str | None:
+    """The language that the page's first html tag names."""
+    tag = _HTML.search(html)
+    m = tag and _LANG.search(tag[0])
+    return m[1].lower() if m else None
 
 
 def pages_as_records(pages: DataFrame) -> DataFrame:
@@ -94,9 +123,8 @@ def pages_as_records(pages: DataFrame) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             html = [x or "" for x in b.column("html").to_pylist()]
-            declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in html]
             yield pa.record_batch(
-                [b.column("page_id"), b.column("url"), pa.array([visible(x) for x in html], pa.string()), pa.array(declared, pa.string())],
+                [b.column("page_id"), b.column("url"), pa.array([visible(x) for x in html], pa.string()), pa.array([declared(x) for x in html], pa.string())],
                 names=["page_id", "url", "text", "markup"],
             )
 
@@ -144,42 +172,50 @@ def _text_evidence(records: DataFrame, model: np.ndarray) -> DataFrame:
 
 
 def _normal(logs: Column) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = once(logs, lambda a: once(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, y: t + y)
+    return once(e, lambda a: once(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
-def _each(k: int, f) -> Column:
-    return F.array(*(f(i) for i in range(k)))
+def _with_sums(out: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``out`` with ``key_sum``, the languages' sums over all ``rows`` of their key, and ``key_sum_n``.
+
+    A key that a third of the rows share meets its sums in SALTS parts.
+    """
+    sums = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)))
+    side = sums.select(F.col(key).alias("_key"), F.col("n").alias(f"{key}_sum_n"), F.array(*(F.col(f"s{i}") for i in range(k))).alias(f"{key}_sum"))
+    if key in ("markup", "path"):  # two or three letters: 18,278 values and null at most
+        return out.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    side = side.withColumn("_part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return out.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))).drop("_key", "_part")
 
 
 def identify(records: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """(doc_id, page_id, lang, probability, text_lang, markup, host) of every record."""
     k = len(languages)
-    rows = written(_text_evidence(records, model).withColumn("p", _normal(F.col("ll"))))
-    sums = lambda *key: rows.groupBy(*key).agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)))
-    packed = lambda t, key, name: t.select(*key, F.col("n").alias(f"{name}_n"), _each(k, lambda i: F.col(f"s{i}")).alias(name))
-    whole = sums().first()
+    part = F.pmod(F.xxhash64("doc_id", "page_id", "ll"), F.lit(SALTS)).cast("int")
+    rows = written(_text_evidence(records, model).withColumns({"p": _normal(F.col("ll")), "part": part}))
+    whole = rows.agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k))).first()
     n = whole["n"] or 0
-    base = [((whole[f"s{i}"] or 0.0) + 1.0) / (n + k) for i in range(k)]
+    base = F.array(*(F.lit(((whole[f"s{i}"] or 0.0) + 1.0) / (n + k)) for i in range(k)))
     out = rows
     for key in ("markup", "suffix", "path", "host", "domain"):
-        side = packed(sums(key), [F.col(key).alias(f"{key}_key")], f"{key}_sum")
-        out = out.join(side, F.col(key).eqNullSafe(F.col(f"{key}_key"))).drop(f"{key}_key")
+        out = _with_sums(out, rows, key, k)
 
-    def prior(i: int) -> Column:
-        own = F.col("p")[i]
-        domain = (F.col("domain_sum")[i] - own + KAPPA * base[i]) / (F.col("domain_sum_n") - 1 + KAPPA)
-        return (F.col("host_sum")[i] - own + KAPPA * domain) / (F.col("host_sum_n") - 1 + KAPPA)
+    def prior(i: Column) -> Column:
+        own = F.get("p", i)
+        domain = (F.get("domain_sum", i) - own + KAPPA * F.get("base", i)) / (F.col("domain_sum_n") - 1 + KAPPA)
+        return (F.get("host_sum", i) - own + KAPPA * domain) / (F.col("host_sum_n") - 1 + KAPPA)
 
-    def share(key: str, i: int) -> Column:
+    def share(key: str, i: Column) -> Column:
         """log P(value | language) up to what all languages share: its lift over the corpus."""
-        lift = (F.col(f"{key}_sum")[i] - F.col("p")[i] + FLAT * base[i]) / ((F.col(f"{key}_sum_n") - 1 + FLAT) * base[i])
+        lift = (F.get(f"{key}_sum", i) - F.get("p", i) + FLAT * F.get("base", i)) / ((F.col(f"{key}_sum_n") - 1 + FLAT) * F.get("base", i))
         return F.when(F.col(key).isNull(), F.lit(0.0)).otherwise(F.log(F.greatest(lift, F.lit(1e-9))))
 
-    logs = _each(k, lambda i: F.col("ll")[i] + F.log(F.greatest(prior(i), F.lit(1e-9))) + share("markup", i) + share("suffix", i) + share("path", i))
+    logs = F.transform("ll", lambda x, i: x + F.log(F.greatest(prior(i), F.lit(1e-9))) + share("markup", i) + share("suffix", i) + share("path", i))
+    # Of equal languages the first in code point order.
     best = lambda a: F.element_at(F.array(*map(F.lit, languages)), F.array_position(a, F.array_max(a)).cast("int"))
-    return out.withColumn("post", _normal(logs)).select(
+    return out.withColumn("base", base).withColumn("post", _normal(logs)).select(
         "doc_id", "page_id", best(F.col("post")).alias("lang"), F.array_max("post").alias("probability"),
         F.when(F.array_min("ll") < 0, best(F.col("ll"))).alias("text_lang"), "markup", "host",
     )
@@ -187,5 +223,8 @@ def identify(records: DataFrame, languages: list[str], model: np.ndarray) -> Dat
 
 def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Languages of all documents (doc_id) and all pages (page_id)."""
-    languages, model = train(docs)
-    return identify(documents_as_records(docs).unionByName(pages_as_records(pages)), languages, model)
+    records = documents_as_records(docs).unionByName(pages_as_records(pages))
+    if docs.where("text is not null and lang is not null").isEmpty():
+        none = F.lit(None).cast("string")
+        return records.select("doc_id", "page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "markup", "host")
+    return identify(records, *train(docs))

@@ -1,8 +1,10 @@
 """Secrets, personal data, licences and languages."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from passagework.llm import language, licenses, pii, secrets
 
+from passagework.llm.common import clear_of
+
 from .conftest import SF, TEXTS
 
 
@@ -154,3 +158,83 @@ def test_common_notices_stay_known(spark, docs):
     got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licenses.scan(asked, licenses.fit(rows)).collect()}
     wrong = [t for i, (family, t) in enumerate(known) if got.get(i) != (family, family != licenses.UNKNOWN)]
     assert not wrong, f"{len(wrong)} of {len(known)}: {wrong}"
+
+
+def _seconds(f, text):
+    best = math.inf
+    for _ in range(3):
+        start = time.process_time()
+        f(text)
+        best = min(best, time.process_time() - start)
+    return best
+
+
+LONG_TEXTS = {
+    "issued tokens": (lambda t: secrets.extra_spans(t, secrets.base_spans(t)), lambda n: " ".join(f"aB3dE6gH9jK2mN5pQ8sT1vW4x{i:05d}" for i in range(n))),
+    "assignments": (lambda t: secrets.extra_spans(t, secrets.base_spans(t)), lambda n: "token = abcdefgh1 aB3dE6gH9jK2mN5pQ8sT1vW4x " * n),
+    "account cues": (pii.spans, lambda n: "account no: 12345678 at 4111 1111 1111 1111\n" * n),
+    "at-signs": (pii.spans, lambda n: "a@b.co@c.de+1 (212) 555 " * n),
+    "unclosed scripts": (language.visible, lambda n: "<script " * n),
+    "unclosed comments": (language.visible, lambda n: "<!-- <nav> <style> </b> " * n),
+    "open brackets": (language.visible, lambda n: "<" * 10 * n),
+    "html tags": (language.declared, lambda n: "<html " * 10 * n),
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_time_grows_with_the_text(name):
+    f, text = LONG_TEXTS[name]
+    assert _seconds(f, text(20_000)) < 20 * _seconds(f, text(2_000)) + 0.05  # 100 times if it were the square
+
+
+def test_visible_text():
+    page = "a<script>x</script >b<!-- c --><p>d</p><div class='ad'>e</div><NAV>f</nav>g<style>h"
+    assert language.visible(page).split() == ["a", "b", "d", "g", "h"]
+    assert language.visible("1 < 2 and <b>3</b> <").split() == ["1", "3", "<"]
+    assert language.declared("<p><HTML class=a lang = 'DE-at'><html lang=fr>") == "de" and language.declared("<htm lang=de>") is None
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12))
+def test_clear_of(found, taken):
+    found, taken = sorted((a, a + n) for a, n in found), [(a, a + n) for a, n in taken]
+    want = []
+    for s, e in found:
+        if all(e <= a or s >= b for a, b in taken + want):
+            want.append((s, e))
+    assert clear_of(found, taken) == want
+
+
+def test_scans_without_ids(spark, docs):
+    notice = "Licensed under the MIT License."
+    rows = spark.createDataFrame([(None, f"mail a@b.co token = abcdefgh9\n{notice}", "en", "a"), (None, None, None, None), (7, notice, "en", "a"), (7, notice, "en", "a")], "doc_id long, text string, lang string, source string")
+    found = licenses.scan(rows, licenses.fit(docs)).collect()
+    assert sorted((str(r["doc_id"]), r["paragraph"], r["family"]) for r in found) == [("7", 0, "MIT"), ("7", 0, "MIT"), ("None", 1, "MIT")]
+    assert sorted(r["n_assign"] for r in secrets.digest(secrets.scan(rows)).collect()) == [0, 0, 0, 1]
+    assert sorted(r["n_email"] for r in pii.digest(pii.scan(rows)).collect()) == [0, 0, 0, 1]
+    pages = spark.createDataFrame([(None, None, None), (1, "", ""), (2, "not an address", "<html lang=fr><p>x"), (2, "not an address", "<html lang=fr><p>x")], "page_id long, url string, html string")
+    got = language.digest(rows, pages).collect()
+    assert len(got) == 8 and all(r["lang"] == "en" for r in got)
+    none = language.digest(rows.where("lang is null"), pages).collect()
+    assert len(none) == 5 and all(r["lang"] is None and r["probability"] is None for r in none)
+
+
+def test_equal_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(1, "same words", "b", None), (2, "same words", "a", None)], "doc_id long, text string, lang string, source string")
+    got = language.digest(docs, spark.createDataFrame([], "page_id long, url string, html string")).collect()
+    assert {r["text_lang"] or r["lang"] for r in got} == {"a"}
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names, model = language.train(docs.where("doc_id % 2 = 0"))
+    rest = docs.where("doc_id % 2 = 1 and n_chars > 40")
+    got = language.identify(language.documents_as_records(rest), names, model).join(rest.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert got.where("lang = truth").count() >= 0.98 * got.count()
+
+
+def test_ten_times_the_languages(spark):
+    """The normalised sum over k languages takes work in proportion to k."""
+    rng = random.Random(5)
+    logs = spark.createDataFrame([([rng.uniform(-9, 0) for _ in range(300)],) for _ in range(400)], "ll array<double>")
+    p = logs.select(language._normal(F.col("ll")).alias("p")).collect()
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in p)
