@@ -5,55 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE, trimmed
+
 MAX_QUESTION = 2000
-# Word boundaries are ASCII on purpose, so that accented letters don't shift them.
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# Rules of the input check, first match wins; a sentence ends at a point, question or
+# exclamation mark. Word bounds and blanks are those of ``pattern``.
 INJECTIONS = {
-    "ignore-instructions": _B + r"(ignore|disregard|forget)\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instructions|prompts?|rules)",
-    "reveal-prompt": _B + r"(reveal|show|print|repeat)\s+(me\s+)?(your|the)\s+(system\s+)?prompt",
-    "role-change": _B + r"you\s+are\s+now" + _E,
-    "system-tag": r"</?(system|assistant|instructions?)>",
-    "pretend": _B + r"pretend\s+(to\s+be|you\s+are)",
-    "jailbreak": r"jailbreak|developer\s+mode",
+    "override-instructions": r"\b(ignore|disregard|forget)\b[^.?!]*\b(previous|prior|above|all|the|your)\b[^.?!]*\b(instructions?|prompts?|rules?|context)\b",
+    "system-prompt-probe": r"\b(system|developer)\s+prompt\b",
+    "prompt-leak": r"\b(reveal|print|show|repeat|output)\b[^.?!]*\b(your\s+)?(system\s+prompt|instructions|prompt|rules)\b",
+    "role-override": r"\byou\s+are\s+now\s+(a|an|the)\b",
+    "jailbreak-persona": r"\b(act|behave|respond|answer)\s+(as|like)\b[^.?!]*\b(dan|jailbreak|unfiltered|no\s+rules?)\b",
+    "no-rules": r"\b(with\s+)?no\s+(rules?|restrictions?|filters?|limits?)\b",
 }
+# Phrasings by which an answer says that it has no answer.
 ABSTENTIONS = (
-    r"sources?\s+(do|does)\s+not", r"(do|does)\s+not\s+(contain|mention|address|cover)", r"cannot\s+(be\s+)?answer", r"no\s+(relevant\s+)?(information|evidence|passages?)",
-    r"insufficient", r"unable\s+to\s+(find|answer)", r"not\s+(found|covered)\s+in",
-)
-TRANSIENT = ("timeout", "timed out", "econnreset", "rate limit", "429", "overloaded", "503", "socket hang up")
+    r"\b(do(es)?\s+not|did\s+not|don't|doesn't)\b[^.?!]*\b(contain|cover|include|provide|address|mention|find)\b",
+    r"\bcorpus\b[^.?!]*\b(do(es)?\s+not|don't|doesn't|lacks?|has\s+no)\b",
+    r"\b(outside|beyond|not\s+within)\b[^.?!]*\bscope\b",
+    r"\b(specialized|scoped|limited|focus(ed)?)\b[^.?!]*\b(for|to|on)\b[^.?!]*\b(Caesar|corpus|sources?)\b",
+    r"\bno\s+(information|passages?|sources?|evidence|mention)\b",
+    r"\bclarify\b[^.?!]*\bscope\b",
+    r"\b(cannot|can't|unable\s+to)\b[^.?!]*\b(answer|find|locate|provide)\b",
+)
+# Parts of the messages of errors that pass, and of those that another call form may avoid.
+TRANSIENT = ("timeout", "timed out", "econnreset", "rate limit", "429", "502", "503", "504")
+UNPARSED = ("json-parse", "empty content")
+
+
+def pattern(p: str) -> str:
+    """A rule for Spark: word bounds are ASCII ones, so that accented letters don't shift them."""
+    word = "[A-Za-z0-9_]"
+    return "(?i)" + p.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))").replace(r"\s", SPACE)
 
 
 def input_guard(question: Column) -> Column:
-    """struct(ok, rule): the first rule that the question breaks."""
-    q = F.trim(question)
-    rule = F.when(F.length(q) == 0, "empty").when(F.length(q) > MAX_QUESTION, "too-long")
-    for name, pattern in INJECTIONS.items():
-        rule = rule.when(q.rlike("(?i)" + pattern), name)
-    return F.struct(rule.isNull().alias("ok"), rule.alias("rule"))
+    """struct(ok, rule, reason): the first rule that the trimmed question breaks."""
+    q = trimmed(question)
+    rule = F.when(F.length(q) == 0, "length").when(F.length(q) > MAX_QUESTION, "length")
+    reason = F.when(F.length(q) == 0, "empty").when(F.length(q) > MAX_QUESTION, f"exceeds-{MAX_QUESTION}-chars")
+    for name, p in INJECTIONS.items():
+        reason = reason.when(q.rlike(pattern(p)), name)
+    return F.struct(reason.isNull().alias("ok"), F.coalesce(rule, F.when(reason.isNotNull(), "injection")).alias("rule"), reason.alias("reason"))
+
+
+def refused(question: Column) -> Column:
+    """The record of a run that the input check stops: no step, no cost; NULL where it passes."""
+    g = input_guard(question)
+    return F.when(~g["ok"], F.struct(F.lit("guard").alias("stop"), g["reason"].alias("reason"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("cost")))
 
 
 def citations(answer: Column) -> Column:
-    """Distinct numbers in brackets, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,18})\]"), 1), lambda x: x.cast("long")))
+    """Distinct numbers in brackets, in order, as digits without leading zeros, however many."""
+    found = F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), 1)
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
 
 
 def abstains(answer: Column) -> Column:
-    return answer.rlike("(?i)" + "|".join(ABSTENTIONS))
+    found = F.lit(False)
+    for p in ABSTENTIONS:
+        found = found | answer.rlike(pattern(p))
+    return found
 
 
-def output_guard(answer: Column, allowed: Column) -> Column:
-    """struct(ok, abstained, cited, issues) of an answer that may cite ``allowed``."""
-    cited, gone = citations(answer), F.length(F.trim(answer)) == 0
-    foreign = F.array_except(cited, allowed)
-    issues = F.when(gone, F.array(F.lit("empty"))).otherwise(
+def output_guard(answer: Column, allowed: Column | None = None) -> Column:
+    """struct(ok, abstained, cited, issues) of an answer that may cite only ``allowed``, if given."""
+    text = trimmed(F.coalesce(answer, F.lit("")))
+    ids, gone = citations(text), F.length(text) == 0
+    foreign = F.array().cast("array<string>") if allowed is None else F.array_except(ids, F.transform(allowed, lambda x: x.cast("string")))
+    issues = F.when(gone, F.array(F.lit("empty-article"))).otherwise(
         F.array_compact(
             F.array(
-                F.when((F.size(cited) == 0) & ~abstains(answer), "no-citation"),
-                F.when(F.size(foreign) > 0, F.concat(F.lit("cites-unconsulted-chunks:"), F.array_join(F.transform(foreign, lambda x: x.cast("string")), ","))),
+                F.when((F.size(ids) == 0) & ~abstains(text), "answered-without-citation"),
+                F.when(F.size(foreign) > 0, F.concat(F.lit("cites-unconsulted-chunks:"), F.array_join(foreign, ","))),
             )
         )
     )
-    return F.struct((F.size(issues) == 0).alias("ok"), abstains(answer).alias("abstained"), cited.alias("cited"), issues.alias("issues"))
+    return F.struct((F.size(issues) == 0).alias("ok"), (~gone & abstains(text)).alias("abstained"), (F.size(ids) > 0).alias("cited"), issues.alias("issues"))
 
 
 def refusal_label(did: Column, should: Column) -> Column:
@@ -67,9 +95,18 @@ def coerced_list(s: Column) -> Column:
     return F.when(s.isNull() | F.lower(t).isin("", "none", "n/a"), F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(t)))
 
 
-def transient(message: Column) -> Column:
-    low = F.lower(message)
-    found = F.lit(False)
-    for x in TRANSIENT:
+def _holds_any(message: Column, parts: tuple[str, ...]) -> Column:
+    low, found = F.lower(message), F.lit(False)
+    for x in parts:
         found = found | low.contains(x)
     return found
+
+
+def transient(message: Column) -> Column:
+    """Whether a call that failed with this message may be tried again."""
+    return _holds_any(message, TRANSIENT)
+
+
+def unparsed(message: Column) -> Column:
+    """Whether an answer was not of the asked form, so that another call form is worth a try."""
+    return _holds_any(message, UNPARSED)

@@ -23,12 +23,14 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def between(text: Column, start: str, end: str) -> Column:
-    """What stands between the first ``start`` and the next ``end``, trimmed; NULL without both."""
+def between(text: Column, start: str, end: str, strict: bool = False) -> Column:
+    """What stands between the first ``start`` and the next ``end``, trimmed; without both NULL, or
+    with ``strict`` an error."""
     a = F.instr(text, start)
     rest = F.substr(text, a + len(start))
     b = F.instr(rest, end)
-    return F.when((a > 0) & (b > 0), F.regexp_replace(F.substr(rest, F.lit(1), b - 1), f"^{SPACE}+|{SPACE}+$", ""))
+    found = F.when((a > 0) & (b > 0), F.regexp_replace(F.substr(rest, F.lit(1), b - 1), f"^{SPACE}+|{SPACE}+$", ""))
+    return found.otherwise(F.raise_error(F.lit(f"no text between {start} and {end}"))) if strict else found
 
 
 def after_nth(text: Column, marker: str, n: int, end: str | None = None) -> Column:
@@ -58,8 +60,15 @@ def token_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def clamp(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    """The text up to the end of its ``n``-th token, as it is written."""
+    found, between_them = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD)
+    sizes = F.zip_with(F.slice(between_them, 1, n), F.slice(found, 1, n), lambda x, y: F.length(x) + F.length(y))
+    return F.when(F.size(found) > n, F.substr(text, F.lit(1), F.aggregate(sizes, F.lit(0), lambda a, x: a + x))).otherwise(text)
 
 
 def snippet(text: Column, n: int) -> Column:
@@ -129,3 +138,61 @@ def percent(x: Column) -> Column:
 
 def dollars(x: Column) -> Column:
     return F.format_string("$%.6f", x)
+
+
+def tags(values: dict[str, Column]) -> Column:
+    """Escaped blocks, one a line pair, parted by blank lines."""
+    return F.concat_ws("\n\n", *(F.concat(F.lit(f"<{n}>"), xml_escaped(v.cast("string")), F.lit(f"</{n}>")) for n, v in values.items()))
+
+
+def per_second(tokens: Column, milliseconds: Column) -> Column:
+    """Tokens a second to one place, "?" where that is undefined."""
+    rate = F.try_divide(tokens * 1000.0, milliseconds)
+    return F.when(rate.isNull(), "?").otherwise(F.format_string("%.1f", rate))
+
+
+def base_url(url: Column) -> Column:
+    """Without slashes at its end, with /v1."""
+    t = F.regexp_replace(url, "/+$", "")
+    return F.when(t.endswith("/v1"), t).otherwise(F.concat(t, F.lit("/v1")))
+
+
+# Reasons why a model stopped, in two dialects.
+STOPS = {"end_turn": "end_turn", "max_tokens": "max_tokens", "tool_use": "tool_use", "stop_sequence": "stop_sequence", "stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use"}
+# Tokens that a level of reasoning may use.
+BUDGETS = {"low": 1024, "medium": 4096, "high": 16384}
+
+
+def looked_up(key: Column, values: dict, default) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))
+
+
+def stop_reason(raw: Column) -> Column:
+    return looked_up(raw, STOPS, "unknown")
+
+
+def most_tokens(level: Column, base: Column) -> Column:
+    """The answer's token limit: what a level of reasoning needs comes on top of 1024."""
+    budget = F.try_element_at(F.create_map(*(F.lit(x) for kv in BUDGETS.items() for x in kv)), level)
+    return F.when(budget.isNull(), base).otherwise(F.greatest(base, budget + 1024))
+
+
+def joined_blocks(blocks: Column) -> Column:
+    """The texts of the text blocks among (type, text) blocks, one after another."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+
+
+def messages(prompt: Column) -> Column:
+    """A JSON list of (role, content) as it is, anything else as one user message."""
+    parsed = F.when(trimmed(prompt).startswith("["), F.from_json(trimmed(prompt), "array<struct<role:string,content:string>>"))
+    return F.coalesce(parsed, F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))))
+
+
+def calculated(op: Column, a: Column, b: Column) -> Column:
+    """a op b for add, subtract, multiply and divide; NULL for division by zero and other names."""
+    return F.when(op == "add", a + b).when(op == "subtract", a - b).when(op == "multiply", a * b).when(op == "divide", F.try_divide(a, b))
+
+
+def none_if_empty(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))

@@ -12,11 +12,11 @@ def tool_counts(log: DataFrame) -> DataFrame:
     return n.groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"))
 
 
-def until_terminal(log: DataFrame, terminal: str) -> DataFrame:
-    """Each run's calls up to and including its first terminal one."""
+def until_terminal(log: DataFrame, terminal: str, turn: str = "seq") -> DataFrame:
+    """Each run's calls up to and including the whole turn of its first terminal call."""
     w = Window.partitionBy("run")
-    end = F.min(F.when(F.col("tool") == terminal, F.col("seq"))).over(w)
-    return log.withColumn("_end", end).where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))).drop("_end")
+    end = F.min(F.when(F.col("tool") == terminal, F.col(turn))).over(w)
+    return log.withColumn("_end", end).where(F.col("_end").isNull() | (F.col(turn) <= F.col("_end"))).drop("_end")
 
 
 def within_budget(log: DataFrame, cost: str, cap: float, most: int) -> DataFrame:

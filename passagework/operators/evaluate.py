@@ -37,6 +37,18 @@ def reciprocal_rank(hits: DataFrame, golden: DataFrame) -> DataFrame:
     return golden.join(first, "question", "left").select("question", "category", rr.alias("rr"))
 
 
+def scores(spans: DataFrame, golden: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """(question, category, spans, r<k>..., rr) of each golden question in one pass over its spans.
+
+    ``spans``: (question, span, rank), a row for every span, once for each ranked row that covers
+    it, with a null rank where none does.
+    """
+    best = spans.groupBy("question", "span").agg(F.min("rank").alias("rank"))
+    found = best.groupBy("question").agg(F.count("*").alias("spans"), F.min("rank").alias("first"), *((F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"r{k}") for k in cuts))
+    rr = F.when(F.col("spans").isNotNull(), F.coalesce(1.0 / F.col("first"), F.lit(0.0)))
+    return golden.join(found, "question", "left").select("question", "category", F.coalesce("spans", F.lit(0)).alias("spans"), *(f"r{k}" for k in cuts), rr.alias("rr"))
+
+
 def mean_skipping_nan(column: str):
     return F.avg(F.when(~F.isnan(column), F.col(column)))
 

@@ -24,7 +24,7 @@ def two_arms(vector: DataFrame, lexical: DataFrame, keys: list[str], weight: flo
 def many_queries(lists: DataFrame, query: str, variant: str, key: str) -> DataFrame:
     """Sum of reciprocal ranks over the variants of a query; ties by first appearance."""
     return lists.groupBy(query, key).agg(
-        F.sum(1.0 / (K + F.col("rank"))).alias("rrf"), F.min(F.col(variant) * 1_000_000 + F.col("rank")).alias("first_seen")
+        F.sum(1.0 / (K + F.col("rank"))).alias("rrf"), F.min(F.struct(F.col(variant).alias("variant"), F.col("rank").alias("rank"))).alias("first_seen")
     )
 
 

@@ -17,39 +17,40 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
-def tokens_of(texts: DataFrame, key: str) -> DataFrame:
-    """(key, dl, term) of every token. The length is taken before the tokens are exploded, else
-    each token's row would split its text anew; an outer explode because a plain one has the
-    optimizer test the tokens of each text first, which splits it again. Callers join on terms,
-    so the row without a term that an empty text gives is dropped there.
-    """
-    cut = texts.select(key, words(F.col("text")).alias("w"))
-    return cut.select(key, F.size("w").cast("double").alias("dl"), "w").select(key, "dl", F.explode_outer("w").alias("term"))
+#: Terms up to this number are looked for within each text's tokens, more by a join.
+INLINE_TERMS = 20_000
+
 
+def postings(texts: DataFrame, key: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, dl, tf) of all terms, or of the ``asked`` ones; and for each text a row of the
+    empty term, so that its length counts where it has none of them.
 
-def postings(texts: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf, dl): term and document frequencies are sums over it."""
-    rows = tokens_of(texts, key).select(key, F.col("dl").cast("long").alias("dl"), "term").where("term is not null")
-    return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    A text's tokens are cut once; few asked terms are picked out within the row, so that only hits
+    leave it. Outer, else the optimizer cuts each text a first time to see whether it has tokens.
+    """
+    few = None if asked is None else [r["term"] for r in asked.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
+    pick = (lambda w: F.filter(w, lambda t: t.isin(*few))) if few is not None and len(few) <= INLINE_TERMS else (lambda w: w)
+    row = F.element_at(F.transform(F.array(words(F.col("text"))), lambda w: F.struct(F.size(w).cast("double").alias("dl"), F.concat(F.array(F.lit("")), pick(w)).alias("w"))), 1)
+    rows = texts.select(key, row.alias("x")).select(key, F.col("x.dl").alias("dl"), F.explode_outer("x.w").alias("term")).where("term is not null")
+    if few is not None and len(few) > INLINE_TERMS:
+        wanted = asked.select("term").distinct().unionByName(texts.sparkSession.createDataFrame([("",)], "term string"))
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
 
 
-def query_terms(queries: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """(key, term, qf) of the query texts, of their first ``n`` tokens if given."""
-    w = words(F.col("text"))
-    return queries.select(key, F.explode(F.slice(w, 1, n) if n else w).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qf"))
+def query_terms(queries: DataFrame, key: str) -> DataFrame:
+    """(key, term, qf) of all tokens of the query texts."""
+    return queries.select(key, F.explode(words(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qf"))
 
 
 def bm25(texts: DataFrame, key: str, terms: DataFrame, query: str) -> DataFrame:
-    """(query, key, score). Only postings of query terms are counted and shuffled."""
-    terms = small(terms)
-    w = words(F.col("text"))
-    length = texts.select(F.size(w).cast("double").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = F.broadcast(terms.select("term").distinct()) if terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else terms.select("term").distinct()
-    tokens = tokens_of(texts, key).join(asked, "term", "left_semi")
-    tf = tokens.groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
+    """(query, key, score) from one pass over the texts: number, lengths and frequencies of texts
+    are sums over the same shuffled postings."""
+    tf = postings(texts, key, terms)
     # Reading tf here keeps both branches alike, so that its shuffle is made once and used twice.
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = df.join(F.broadcast(length)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("dl").alias("avgdl"))
+    whole = df.where("term = ''").select(F.col("df").alias("n"), "avgdl")  # one row
+    stats = df.where("term <> ''").drop("avgdl").join(F.broadcast(whole)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(small(stats), "term").select("term", key, weight.alias("w"))
-    return scored.join(terms, "term").groupBy(query, key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    scored = tf.where("term <> ''").join(stats, "term").select("term", key, weight.alias("w"))
+    return scored.join(small(terms), "term").groupBy(query, key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))

@@ -57,5 +57,5 @@ def rerank_text(context: Column, text: Column) -> Column:
 def variations(question: Column, n: int = 3) -> Column:
     """Stand-in expansion: the question without its first word, its last, and both."""
     w = F.split(F.trim(question), r"\s+")
-    made = F.array(F.array_join(F.slice(w, 2, 1000), " "), F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), " "), F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))
+    made = F.array(F.array_join(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), " "), F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), " "), F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))
     return F.slice(F.filter(made, lambda x: F.length(x) > 0), 1, n)

@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import roman, token_count
+from ..functions.text import chapter_label, roman, token_count
 
 #: name -> (target tokens, overlap tokens, whether chunks carry their section)
 VARIANTS = {"naive": (500, 50, False), "small": (300, 30, False), "section": (6000, 0, False), "parent": (500, 50, True)}
 
 
+def listed(docs: DataFrame, separator: str = "\n") -> DataFrame:
+    """(doc_id, p): per row the array of its paragraphs (para, text, char_start, char_end, tokens).
+
+    Offsets are added up within the row, so nothing is shuffled and rows of one doc_id don't mix.
+    """
+    kind = pa.list_(pa.struct([("para", pa.int64()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
+
+    def pieces(text: str) -> list[dict]:
+        out, at = [], 0
+        for x in text.split(separator):
+            if x.strip(" "):
+                out.append({"para": len(out), "text": x, "char_start": at, "char_end": at + len(x)})
+            at += len(x) + len(separator)
+        return out
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):  # Python copies of so many texts at a time
+                own = b.slice(at, 1000)
+                yield pa.record_batch([own.column("doc_id"), pa.array([pieces(t) for t in own.column("text").to_pylist()], kind)], names=["doc_id", "p"])
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(go, "doc_id long, p array<struct<para:bigint,text:string,char_start:bigint,char_end:bigint>>")
+    counted = lambda x: F.struct(x["para"].alias("para"), x["text"].alias("text"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), token_count(x["text"]).alias("tokens"))
+    return found.select("doc_id", F.transform("p", counted).alias("p"))
+
+
 def paragraphs(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """(doc_id, para, text, char_start, char_end, tokens); blank pieces go, offsets stay."""
-    pieces = F.split("text", f"\\Q{separator}\\E")
-    rows = docs.where("text is not null").select("doc_id", F.posexplode(pieces).alias("piece", "text"))
-    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("char_start", F.coalesce(F.sum(F.length("text") + len(separator)).over(before), F.lit(0)).cast("long"))
-    rows = rows.where(F.length(F.trim("text")) > 0)
-    at = Window.partitionBy("doc_id").orderBy("piece")
-    return rows.select(
-        "doc_id", (F.row_number().over(at) - 1).cast("long").alias("para"), "text", "char_start",
-        (F.col("char_start") + F.length("text")).cast("long").alias("char_end"), token_count(F.col("text")).alias("tokens"),
-    )
+    return listed(docs, separator).select("doc_id", F.explode_outer("p").alias("x")).where("x is not null").select("doc_id", "x.*")
 
 
 def monotone(values: Column, gap: int = 3) -> Column:
@@ -86,32 +105,132 @@ def pack(tokens: list[int], target: int, overlap: int, tail_repeat: bool = True)
     return out
 
 
-def chunks(paras: DataFrame, target: int, overlap: int, tail_repeat: bool = True) -> DataFrame:
-    """(doc_id, chunk_index, first_para, last_para, char_start, char_end, token_count)."""
-    listed = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "char_start", "char_end", "tokens"))).alias("p"))
+# Token windows that a text and the 3000 tokens around it may need.
+TIERS = (16384, 32768, 65536, 102400)
+
+
+def context_tier(need: Column) -> Column:
+    """The least window that holds ``need`` tokens, else the largest."""
+    tier = F.when(need <= TIERS[0], TIERS[0])
+    for n in TIERS[1:-1]:
+        tier = tier.when(need <= n, n)
+    return tier.otherwise(TIERS[-1])
+
+
+_CUT = "chunks array<struct<chunk_index:bigint,first_para:bigint,last_para:bigint,char_start:bigint,char_end:bigint,token_count:bigint>>"
+
+
+def cut(held: DataFrame, target: int, overlap: int, tail_repeat: bool = True) -> DataFrame:
+    """Chunks of (doc_id, p) rows, ``p`` an array of paragraphs; nothing is shuffled."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+        names = ("chunk_index", "first_para", "last_para", "char_start", "char_end", "token_count")
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
         for b in batches:
-            own = [[{"i": i, "j": j} for i, j in pack(t, target, overlap, tail_repeat)] for t in b.column("t").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("p"), pa.array(own, kind)], names=["doc_id", "p", "c"])
+            rows = []
+            for p in b.column("p").to_pylist():
+                n = [x["tokens"] for x in p]
+                rows.append([dict(zip(names, (k, i, j - 1, p[i]["char_start"], p[j - 1]["char_end"], sum(n[i:j])), strict=True)) for k, (i, j) in enumerate(pack(n, target, overlap, tail_repeat))])
+            yield pa.record_batch([b.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "chunks"])
 
-    p = "array<struct<para:bigint,char_start:bigint,char_end:bigint,tokens:bigint>>"
-    cut = listed.select("doc_id", "p", F.col("p.tokens").alias("t")).mapInArrow(go, f"doc_id long, p {p}, c array<struct<i:int,j:int>>")
-    rows = cut.select("doc_id", "p", F.posexplode("c").alias("chunk_index", "c"))
-    own = F.slice("p", F.col("c.i") + 1, F.col("c.j") - F.col("c.i"))
-    return rows.select(
-        "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.i").cast("long").alias("first_para"), (F.col("c.j") - 1).cast("long").alias("last_para"),
-        F.element_at(own, 1)["char_start"].alias("char_start"), F.element_at(own, -1)["char_end"].alias("char_end"),
-        F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("token_count"),
-    )
+    bare = held.select("doc_id", F.transform("p", lambda x: F.struct(x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), x["tokens"].alias("tokens"))).alias("p"))
+    return bare.mapInArrow(go, f"doc_id long, {_CUT}").select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
+
+
+def chunks(paras: DataFrame, target: int, overlap: int, tail_repeat: bool = True) -> DataFrame:
+    """(doc_id, chunk_index, first_para, last_para, char_start, char_end, token_count) of paragraphs
+    that are rows of their own; ``cut`` takes texts that are still whole."""
+    held = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "char_start", "char_end", "tokens"))).alias("p"))
+    return cut(held, target, overlap, tail_repeat)
 
 
 def variant(docs: DataFrame, name: str) -> DataFrame:
     """Chunks of a registered variant, with ``parent_start``, ``parent_end`` where it has parents."""
     target, overlap, parent = VARIANTS[name]
-    found = chunks(paragraphs(docs), target, overlap).withColumn("version", F.lit(name))
+    found = cut(listed(docs), target, overlap).withColumn("version", F.lit(name))
     if parent:
         whole = docs.select("doc_id", F.lit(0).cast("long").alias("parent_start"), F.length("text").cast("long").alias("parent_end"))
         return found.join(whole, "doc_id")
     return found
+
+
+# How sections begin, by dialect; the first also has books.
+BOOK = r"^BOOK ([IVX]+)$"
+DIALECTS = {"books": r"^([IVXLC]+)\.--", "footnotes": r"^([IVXLC]+)\.(?:\[[0-9]+\])?\s+", "plain": r"^([IVXLC]+)\.\s+"}
+_NUMERAL = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
+
+
+def _value(numeral: str) -> int:
+    v = [_NUMERAL[c] for c in numeral]
+    return sum(-x if x < y else x for x, y in zip(v, [*v[1:], 0], strict=True))
+
+
+def split_sections(text: str, dialect: str, gap: int = 3) -> list[tuple[str | None, str, int, int]]:
+    """(book, numeral, start, end): heads whose numbers grow by at most ``gap`` + 1, each up to the
+    next accepted one or the end of its book; other heads belong to the section before."""
+    head, out = re.compile(DIALECTS[dialect], re.MULTILINE), []
+    books = list(re.finditer(BOOK, text, re.MULTILINE)) if dialect == "books" else []
+    spans = [(f"Book {m[1]}", m.end(), n.start() if n else len(text)) for m, n in zip(books, [*books[1:], None], strict=False)] or [(None, 0, len(text))]
+    for book, start, end in spans:
+        kept, want = [], 1
+        for m in head.finditer(text[start:end]):
+            if want <= (v := _value(m[1])) <= want + gap:
+                kept.append((m[1], start + m.start()))
+                want = v + 1
+        out += [(book, n, s, e) for (n, s), e in zip(kept, [*(x for _, x in kept[1:]), end], strict=False)]
+    return out
+
+
+def sections_of(docs: DataFrame, dialect: str) -> DataFrame:
+    """(doc_id, section, book, numeral, char_start, char_end, text) of every section, text trimmed."""
+    if dialect not in DIALECTS:
+        raise ValueError(f"no section dialect {dialect!r}; known: {', '.join(DIALECTS)}")
+    names = ("section", "book", "numeral", "char_start", "char_end", "text")
+    kind = pa.list_(pa.struct([("section", pa.int64()), ("book", pa.string()), ("numeral", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("text", pa.string())]))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                own = b.slice(at, 1000)
+                rows = [[dict(zip(names, (k, *x, t[x[2] : x[3]].strip()), strict=True)) for k, x in enumerate(split_sections(t or "", dialect))] for t in own.column("text").to_pylist()]
+                yield pa.record_batch([own.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(go, "doc_id long, s array<struct<section:bigint,book:string,numeral:string,char_start:bigint,char_end:bigint,text:string>>")
+    return found.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
+
+
+def section_chunks(found: DataFrame, target: int, overlap: int) -> DataFrame:
+    """Chunks of ``sections_of`` rows, numbered over all sections of a document, each with its
+    section as parent: (doc_id, chunk_index, chapter, text, char_start, char_end, token_count,
+    parent_start, parent_end). A section within ``target`` is one chunk."""
+    names = ("local", "start", "end", "tokens")
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+
+    def cuts(text: str, size: int, para: list[int]) -> list[dict]:
+        parts, at = [], 0
+        for x in re.split(r"(\n{2,})", text):
+            if x.strip() and not x.startswith("\n\n"):
+                parts.append((at, at + len(x)))
+            at += len(x)
+        if sum(para) <= target or not parts:
+            return [{"local": 0, "start": 0, "end": size, "tokens": sum(para)}]
+        return [{"local": k, "start": parts[i][0], "end": parts[j - 1][1], "tokens": sum(para[i:j])} for k, (i, j) in enumerate(pack(para, target, overlap))]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [cuts(t, n, p) for t, n, p in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), b.column("para").to_pylist(), strict=True)]
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(rows, kind)], names=[*keep, "cut"])
+
+    keep = ["doc_id", "section", "book", "numeral", "char_start", "char_end", "text"]
+    blocks = F.filter(F.split("text", "\n{2,}"), lambda x: F.length(F.trim(x)) > 0)
+    s = found.select(*keep, (F.col("char_end") - F.col("char_start")).alias("size"), F.transform(blocks, token_count).alias("para"))
+    types = ", ".join(f"{c} {t}" for c, t in s.select(keep).dtypes)
+    rows = s.mapInArrow(go, f"{types}, cut array<struct<local:bigint,start:bigint,end:bigint,tokens:bigint>>").select(*keep, F.explode("cut").alias("c"))
+    order = Window.partitionBy("doc_id").orderBy("section", "c.local")
+    return rows.select(
+        "doc_id", (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), chapter_label(F.col("book"), F.col("numeral")).alias("chapter"),
+        F.substr("text", (F.col("c.start") + 1).cast("int"), (F.col("c.end") - F.col("c.start")).cast("int")).alias("text"),
+        (F.col("char_start") + F.col("c.start")).alias("char_start"), (F.col("char_start") + F.col("c.end")).alias("char_end"),
+        F.col("c.tokens").alias("token_count"), F.col("char_start").alias("parent_start"), F.col("char_end").alias("parent_end"),
+    )

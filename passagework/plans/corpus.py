@@ -21,8 +21,8 @@ paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece)
 """
 
 
-def chunk_ctes(target: int, overlap: int) -> str:
-    return f"""{LINES},
+def chunk_ctes(target: int, overlap: int, lines: str = LINES) -> str:
+    return f"""{lines},
 n AS (SELECT doc_id, count(*)::BIGINT AS n, sum(tokens)::BIGINT AS total FROM paras GROUP BY 1),
 pre AS (SELECT doc_id, para AS i, coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM paras UNION ALL SELECT doc_id, n, total FROM n),
 ends AS (SELECT a.doc_id, a.i, a.p, greatest(a.i + 1, max(CASE WHEN b.p - a.p <= {target} THEN b.i END)) AS e FROM pre a JOIN pre b ON a.doc_id = b.doc_id AND b.i > a.i GROUP BY 1, 2, 3),
@@ -74,16 +74,14 @@ def roman_to_int(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", t.roman(F.col("numeral")).cast("long").alias("value"))
 
 
-def _heads(docs: DataFrame) -> DataFrame:
-    """Each paragraph is headed by its number, shifted now and then."""
-    p = segment.paragraphs(docs)
-    return p.select("doc_id", "para", "char_start", (F.col("para") + 1 + F.when((F.col("doc_id") + F.col("para") * 7) % 5 == 0, 6).otherwise(0)).alias("value"))
-
-
 def _accepted(docs: DataFrame) -> DataFrame:
-    listed = _heads(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "char_start", "value"))).alias("h"))
+    """Each paragraph is headed by its number, shifted now and then; of the numbers those that a
+    growing sequence accepts. The fold runs within the row."""
+    number = lambda x: x["para"] + 1 + F.when((F.col("doc_id") + x["para"] * 7) % 5 == 0, 6).otherwise(0)
+    heads = F.transform("p", lambda x: F.struct(x["para"].alias("para"), x["char_start"].alias("char_start"), number(x).alias("value")))
+    held = segment.listed(docs).select("doc_id", heads.alias("h"))
     ok = segment.monotone(F.transform("h", lambda x: x["value"]))
-    rows = listed.select("doc_id", F.explode(F.arrays_zip("h", ok.alias("ok"))).alias("x")).where("x.ok")
+    rows = held.select("doc_id", F.explode_outer(F.arrays_zip("h", ok.alias("ok"))).alias("x")).where("x.ok")
     return rows.select("doc_id", F.col("x.h.para").alias("para"), F.col("x.h.char_start").alias("char_start"), F.col("x.h.value").alias("value"))
 
 
@@ -110,12 +108,12 @@ accepted AS (SELECT h.* FROM walk w JOIN heads h ON h.doc_id = w.doc_id AND h.pa
 
 
 def chunk_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.chunks(segment.paragraphs(table(spark, sf, "documents")), 500, 50)
+    return segment.cut(segment.listed(table(spark, sf, "documents")), 500, 50)
 
 
 def chunk_variant_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    rows = [segment.variant(docs, v).select("version", "token_count") for v in ("naive", "small", "section")]
+    held = segment.listed(table(spark, sf, "documents"))
+    rows = [segment.cut(held, *segment.VARIANTS[v][:2]).select(F.lit(v).alias("version"), "token_count") for v in ("naive", "small", "section")]
     every = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return every.groupBy("version").agg(
         F.count("*").alias("chunks"), F.round(F.avg("token_count"), 4).alias("avg_tokens"), F.max("token_count").alias("max_tokens"), F.sum("token_count").alias("tokens")
@@ -126,6 +124,51 @@ def chunk_parent_child(spark: SparkSession, sf: str) -> DataFrame:
     return segment.variant(table(spark, sf, "documents"), "parent").select("doc_id", "chunk_index", "char_start", "char_end", "parent_start", "parent_end")
 
 
+SMALL_ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
+
+
+def _marked(docs: DataFrame, dialect: str = "books") -> DataFrame:
+    """Texts with a section head before each line, some out of order, and a book head before every
+    fourth line where the dialect has books."""
+    roman = lambda n: F.element_at(F.array(*map(F.lit, SMALL_ROMAN)), n.cast("int"))
+    i = lambda k: k.cast("long")
+    number = lambda k: (k % 4 if dialect == "books" else k % 6) + 1 + F.when((F.col("doc_id") + k * 7) % 5 == 0, 6).otherwise(0)
+    book = lambda k: F.when(k % 4 == 0, F.concat(F.lit("BOOK "), roman(F.floor(k / 4) % 12 + 1), F.lit("\n\n"))).otherwise("")
+    mark = {"books": lambda k: F.lit(".--"), "footnotes": lambda k: F.when(k % 2 == 0, ".[12] ").otherwise(". ")}[dialect]
+    line = lambda x, k: F.concat(book(i(k)) if dialect == "books" else F.lit(""), roman(number(i(k))), mark(i(k)), x)
+    return docs.where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n\n").alias("text"))
+
+
+def book_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = segment.sections_of(_marked(table(spark, sf, "documents")), "books")
+    return found.select("doc_id", "section", "book", "numeral", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
+def flat_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = segment.sections_of(_marked(table(spark, sf, "documents"), "footnotes"), "footnotes")
+    return found.select("doc_id", "section", "numeral", "char_start", "char_end")
+
+
+def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks within sections, numbered over the document, each with its section as parent."""
+    found = segment.section_chunks(segment.sections_of(_marked(table(spark, sf, "documents")), "books"), 60, 25)
+    return found.withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+
+
+def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of each source: number, mean, most and sum of tokens."""
+    docs = table(spark, sf, "documents")
+    found = segment.section_chunks(segment.sections_of(_marked(docs), "books"), 60, 25).join(docs.select("doc_id", "source"), "doc_id")
+    return found.groupBy("source").agg(F.count("*").alias("chunks"), F.round(F.avg("token_count"), 4).alias("mean"), F.max("token_count").alias("most"), F.sum("token_count").alias("tokens"))
+
+
+def neighbour_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk with the numbers of the chunks up to two before and after it, and their tokens."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(-2, 2)
+    rows = segment.cut(segment.listed(table(spark, sf, "documents")), 300, 30)
+    return rows.select("doc_id", "chunk_index", F.min("chunk_index").over(w).alias("first"), F.max("chunk_index").over(w).alias("last"), F.sum("token_count").over(w).alias("tokens"))
+
+
 def group_document(spark: SparkSession, sf: str) -> DataFrame:
     p = segment.paragraphs(table(spark, sf, "documents")).withColumn("book", F.col("para") % 3)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]), "\n\n")
@@ -134,8 +177,7 @@ def group_document(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_profile(spark: SparkSession, sf: str) -> DataFrame:
     need = t.token_count(F.col("text")) + 3000
-    tier = F.when(need <= 4096, "4k").when(need <= 8192, "8k").when(need <= 16384, "16k").otherwise("32k")
-    return table(spark, sf, "documents").select("doc_id", tier.alias("tier"))
+    return table(spark, sf, "documents").select("doc_id", segment.context_tier(need).cast("long").alias("tier"))
 
 
 def clamp_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +238,46 @@ def count_non_null(spark: SparkSession, sf: str) -> DataFrame:
     return dim.join(es, "source", "left").groupBy("source").agg(F.count("doc_id").alias("chunks"), F.sum("n_chars").cast("long").alias("chars"), F.first("year").alias("year"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, line_paragraphs, token_counts, snippet, marker_extract, roman_to_int, monotone_sections, section_bounds, chunk_greedy, chunk_variant_stats, chunk_parent_child, group_document, context_profile, clamp_tokens, context_text, upsert_latest, latest_order, replace_partition, dup_keys, orphans, source_inventory, chapter_listing, count_non_null)}
+QUERIES = {f.__name__: f for f in (normalize_text, line_paragraphs, token_counts, snippet, marker_extract, roman_to_int, monotone_sections, section_bounds, chunk_greedy, book_sections, flat_sections, section_chunks, ingest_stats, neighbour_context, chunk_variant_stats, chunk_parent_child, group_document, context_profile, clamp_tokens, context_text, upsert_latest, latest_order, replace_partition, dup_keys, orphans, source_inventory, chapter_listing, count_non_null)}
+
+_roman = lambda n: f"(['" + "','".join(SMALL_ROMAN) + f"'])[{n}]"
+
+
+def marked_ctes(dialect: str = "books") -> str:
+    """CTEs that end in ``secs``: accepted sections of the marked texts, found by position, not by pattern."""
+    books = dialect == "books"
+    number = f"(i % {4 if books else 6} + 1 + CASE WHEN (doc_id + i * 7) % 5 = 0 THEN 6 ELSE 0 END)"
+    head = f"CASE WHEN i % 4 = 0 THEN 'BOOK ' || {_roman('i // 4 % 12 + 1')} || chr(10) || chr(10) ELSE '' END" if books else "''"
+    mark = "'.--'" if books else "CASE WHEN i % 2 = 0 THEN '.[12] ' ELSE '. ' END"
+    group = "i // 4" if books else "0"
+    return f"""
+ml AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+mp AS (SELECT doc_id, i, {group} AS g, {number} AS v, {head} AS head, {_roman(number)} || {mark} || line AS body FROM ml),
+mo AS (SELECT *, coalesce(sum(length(head) + length(body) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM mp),
+mt AS (SELECT doc_id, string_agg(head || body, chr(10) || chr(10) ORDER BY i) AS text FROM mp GROUP BY 1),
+mw(doc_id, i, g, want, took) AS (
+  SELECT doc_id, i, g, CASE WHEN v BETWEEN 1 AND 4 THEN v + 1 ELSE 1 END, v BETWEEN 1 AND 4 FROM mo WHERE i = 0
+  UNION ALL
+  SELECT n.doc_id, n.i, n.g, CASE WHEN n.v BETWEEN b.want AND b.want + 3 THEN n.v + 1 ELSE b.want END, n.v BETWEEN b.want AND b.want + 3
+  FROM (SELECT doc_id, i, g, want FROM mw) w JOIN mo n ON n.doc_id = w.doc_id AND n.i = w.i + 1, LATERAL (SELECT CASE WHEN n.g = w.g THEN w.want ELSE 1 END AS want) b),
+ends AS (SELECT m.doc_id, m.g, coalesce(min(n.at), length(any_value(t.text)))::BIGINT AS book_end FROM (SELECT DISTINCT doc_id, g FROM mo) m LEFT JOIN mo n ON n.doc_id = m.doc_id AND n.g > m.g JOIN mt t ON t.doc_id = m.doc_id GROUP BY 1, 2),
+acc AS (SELECT o.doc_id, o.g, o.i, {_roman('o.v')} AS numeral, o.at + length(o.head) AS char_start FROM mo o JOIN mw w ON w.doc_id = o.doc_id AND w.i = o.i WHERE w.took),
+secs AS (SELECT a.doc_id, (row_number() OVER (PARTITION BY a.doc_id ORDER BY i) - 1)::BIGINT AS section, 'Book ' || {_roman('a.g % 12 + 1')} AS book, numeral, char_start,
+  coalesce(lead(char_start) OVER (PARTITION BY a.doc_id, a.g ORDER BY i), e.book_end)::BIGINT AS char_end FROM acc a JOIN ends e ON e.doc_id = a.doc_id AND e.g = a.g),
+sect AS (SELECT s.*, regexp_replace(substring(t.text, char_start + 1, char_end - char_start), '^{S}+|{S}+$', '', 'g') AS text FROM secs s JOIN mt t ON t.doc_id = s.doc_id)"""
+
+
+#: Blocks of the sections as paragraphs; a section's key stands where a document's does.
+SECTION_LINES = marked_ctes() + r""",
+pieces AS (SELECT doc_id * 1000000 + section AS doc_id, unnest(string_split(text, chr(10) || chr(10))) AS text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS piece FROM sect),
+placed AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM pieces),
+paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS para, text, char_start, (char_start + length(text))::BIGINT AS char_end, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS tokens FROM placed WHERE length(trim(text)) > 0)
+"""
+SECTION_CHUNKS = f"""WITH RECURSIVE {chunk_ctes(60, 25, SECTION_LINES).replace("ends AS (SELECT a.doc_id, a.i", "reach AS (SELECT a.doc_id, a.i").replace("FROM ends x JOIN pre q", "FROM reach x JOIN pre q")},
+sc AS (SELECT s.doc_id, s.section, c.chunk_index AS local, s.book || ', §' || s.numeral AS chapter, s.char_start AS parent_start, s.char_end AS parent_end, c.token_count,
+  CASE WHEN n.total <= 60 THEN s.char_start ELSE s.char_start + c.char_start END AS char_start, CASE WHEN n.total <= 60 THEN s.char_end ELSE s.char_start + c.char_end END AS char_end,
+  CASE WHEN n.total <= 60 THEN s.text ELSE substring(s.text, c.char_start + 1, c.char_end - c.char_start) END AS text
+  FROM sect s JOIN chunks c ON c.doc_id = s.doc_id * 1000000 + s.section JOIN n ON n.doc_id = c.doc_id)"""
 
 DIM = r"""
 dim AS (SELECT source, 'Author ' || upper(source) AS author, 'Title of ' || source AS title, CASE WHEN k % 7 = 3 THEN NULL ELSE k * 40 - 300 END::BIGINT AS year, CASE WHEN k % 4 = 0 THEN 'Translator ' || k::VARCHAR END AS translator
@@ -227,9 +308,16 @@ CASE WHEN item IS NOT NULL THEN string_split(item, '</li>')[1] END AS second_ite
         if v != "parent"
     ),
     "chunk_parent_child": f"WITH RECURSIVE {chunk_ctes(500, 50)} SELECT c.doc_id, chunk_index, char_start, char_end, 0::BIGINT AS parent_start, length(d.text)::BIGINT AS parent_end FROM chunks c JOIN documents d ON d.doc_id = c.doc_id",
+    "book_sections": f"WITH RECURSIVE {marked_ctes()} SELECT doc_id, section, book, numeral, char_start, char_end, md5(text) AS digest FROM sect",
+    "flat_sections": f"WITH RECURSIVE {marked_ctes('footnotes')} SELECT doc_id, section, numeral, char_start, char_end FROM secs",
+    "section_chunks": f"{SECTION_CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, local) - 1)::BIGINT AS chunk_index, chapter, md5(text) AS digest, char_start, char_end, token_count, parent_start, parent_end FROM sc",
+    "ingest_stats": f"{SECTION_CHUNKS} SELECT source, count(*)::BIGINT AS chunks, round(avg(token_count), 4) AS mean, max(token_count) AS most, sum(token_count)::BIGINT AS tokens FROM sc JOIN documents USING (doc_id) GROUP BY 1",
+    "neighbour_context": f"WITH RECURSIVE {chunk_ctes(300, 30)} SELECT doc_id, chunk_index, min(chunk_index) OVER w AS first, max(chunk_index) OVER w AS last, sum(token_count) OVER w::BIGINT AS tokens FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "group_document": f"WITH {LINES} SELECT doc_id, para % 3 AS book, md5(string_agg(text, chr(10) || chr(10) ORDER BY para)) AS digest, count(*)::BIGINT AS paras FROM paras GROUP BY 1, 2",
-    "context_profile": f"SELECT doc_id, CASE WHEN n <= 4096 THEN '4k' WHEN n <= 8192 THEN '8k' WHEN n <= 16384 THEN '16k' ELSE '32k' END AS tier FROM (SELECT doc_id, len({TOKENS}) + 3000 AS n FROM documents)",
-    "clamp_tokens": f"SELECT doc_id, md5(array_to_string(({TOKENS})[1:100], ' ')) AS digest FROM documents",
+    "context_profile": f"SELECT doc_id, CASE WHEN n <= 16384 THEN 16384 WHEN n <= 32768 THEN 32768 WHEN n <= 65536 THEN 65536 ELSE 102400 END::BIGINT AS tier FROM (SELECT doc_id, len({TOKENS}) + 3000 AS n FROM documents)",
+    "clamp_tokens": r"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS tk, string_split_regex(text, '[\p{L}\p{N}]+') AS gap FROM documents)
+SELECT doc_id, md5(CASE WHEN len(tk) > 100 THEN substring(text, 1, (list_sum(list_transform(tk[1:100], lambda x: length(x))) + list_sum(list_transform(gap[1:100], lambda x: length(x))))::BIGINT) ELSE text END) AS digest FROM p""",
     "context_text": rf"""
 WITH {DIM} SELECT doc_id, md5(author || ', ' || title || ', ' || lang || ', §' || doc_id::VARCHAR || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || 'note ' || doc_id::VARCHAR END || chr(10) || chr(10) || regexp_replace(text, '^{S}+|{S}+$', '', 'g')) AS digest,
 author || ', ' || title || coalesce(', tr. ' || translator, '') || ' (' || CASE WHEN year IS NULL THEN 'date unknown' WHEN year < 0 THEN '~' || (-year)::VARCHAR || ' BC' ELSE '~' || year::VARCHAR || ' AD' END || ')' AS citation

@@ -72,11 +72,6 @@ def vector_dim_check(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _asked(spark: SparkSession, sf: str, first: int = 1, n: int = 8) -> DataFrame:
-    b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(words(F.col("text")), first, n)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-
-
 def _whole(spark: SparkSession, sf: str, head: int = 0, tail: int = 0) -> DataFrame:
     """Terms of all tokens of each passage, without ``head`` tokens at its start and ``tail`` at its end."""
     w = words(F.col("text"))
@@ -91,25 +86,25 @@ def _lexical(spark: SparkSession, sf: str, terms: DataFrame, pool: int) -> DataF
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _lexical(spark, sf, _asked(spark, sf), TOP)
+    return _lexical(spark, sf, _whole(spark, sf), TOP)
 
 
-def _hybrid(spark: SparkSession, sf: str, p: DataFrame, n: int | None) -> DataFrame:
-    """Vector arm of the probes ``p``, lexical arm of the first ``n`` tokens of their documents or of all."""
+def _hybrid(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
+    """Vector arm of the probes ``p``, lexical arm of all tokens of their documents."""
     e, docs = table(spark, sf, "embeddings"), table(spark, sf, "documents")
     v = vector.top_k(p, e, POOL).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     asked = docs.join(lexical.small(p.select(F.col("query_id").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("query_id"), "text")
-    x = _lexical(spark, sf, lexical.query_terms(asked, "query_id", n), POOL)
+    x = _lexical(spark, sf, lexical.query_terms(asked, "query_id"), POOL)
     fused = fusion.two_arms(v, x, ["query_id", "doc_id"], 0.5).withColumn("rrf", F.round("rrf", 9))
     return fusion.ranked(fused, "query_id", "doc_id", "rrf", TOP).select("query_id", "doc_id", "rrf", "rank")
 
 
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf, _probes(table(spark, sf, "embeddings")), 8)
+    return _hybrid(spark, sf, _probes(table(spark, sf, "embeddings")))
 
 
 def rrf_hybrid_every(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf, _every(table(spark, sf, "embeddings")), None)
+    return _hybrid(spark, sf, _every(table(spark, sf, "embeddings")))
 
 
 def _fused(spark: SparkSession, sf: str, variants: list[DataFrame]) -> DataFrame:
@@ -120,34 +115,18 @@ def _fused(spark: SparkSession, sf: str, variants: list[DataFrame]) -> DataFrame
 
 
 def rrf_multi_query(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf, [_asked(spark, sf, first) for first in (1, 5)])
-
-
-def rrf_multi_query_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The whole question, and it without its first word, its last, and both."""
     return _fused(spark, sf, [_whole(spark, sf, *ends) for ends in ((0, 0), (1, 0), (0, 1), (1, 1))])
 
 
-def bm25_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _lexical(spark, sf, _whole(spark, sf), TOP)
-
-
-def _parents(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
-    top = _lexical(spark, sf, terms, POOL).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return fusion.distinct_parents(top, "query_id", ["source"]).select("query_id", "source", "doc_id", "rank")
-
-
 def parent_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return _parents(spark, sf, _asked(spark, sf))
-
-
-def parent_dedupe_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _parents(spark, sf, _whole(spark, sf))
+    top = _lexical(spark, sf, _whole(spark, sf), POOL).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return fusion.distinct_parents(top, "query_id", ["source"]).select("query_id", "source", "doc_id", "rank")
 
 
-def _reranked(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
+def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """A wide lexical pool, then the reranker on that pool alone."""
-    pool = _lexical(spark, sf, terms, POOL).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
+    pool = _lexical(spark, sf, _whole(spark, sf), POOL).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     rows = pool.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(lexical.small(b), "query_id")
     scored = rows.select("query_id", "doc_id", "first_rank", F.round(providers.overlap_score(F.col("question"), F.col("text")), 6).alias("rerank"))
@@ -155,15 +134,8 @@ def _reranked(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
 
 
-def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return _reranked(spark, sf, _asked(spark, sf))
-
-
-def rerank_lexical_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _reranked(spark, sf, _whole(spark, sf))
-
-
-QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, bm25_topk_whole, rrf_multi_query_whole, parent_dedupe_whole, rerank_lexical_whole, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+QUERIES |= {f"{f.__name__}_whole": f for f in (bm25_topk, rrf_multi_query, parent_dedupe, rerank_lexical)}  # earlier names of the same plans
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 PROBES = "probes AS (SELECT min(vec_id) AS query_id, label FROM embeddings GROUP BY label)"
@@ -191,14 +163,11 @@ def bm25(name: str, terms: str, pool: int) -> str:
 {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM {name}_s QUALIFY rank <= {pool})"""
 
 
-def asked(first: int = 1, n: int = 8) -> str:
-    return f"SELECT item_id AS query_id, unnest(({TOK})[{first}:{first + n - 1}]) AS term FROM benchmark"
-
-
 def whole(head: int = 0, tail: int = 0) -> str:
     return f"SELECT item_id AS query_id, unnest(tk[{1 + head}:len(tk) - {tail}]) AS term FROM (SELECT item_id, {TOK} AS tk FROM benchmark)"
 
 
+_variants = ((0, 0), (1, 0), (0, 1), (1, 1))
 SQL = {
     "knn_topk": f"WITH {knn(5)} SELECT * FROM near",
     "knn_scoped_by_label": f"WITH {knn(5, True)} SELECT * FROM near",
@@ -206,33 +175,25 @@ SQL = {
 g AS (SELECT n.query_id, p.label, sum((e.label = p.label)::INT)::BIGINT AS hits, max(CASE WHEN rank = 1 THEN (e.label = p.label)::INT END) AS first FROM near n JOIN probes p USING (query_id) JOIN embeddings e ON e.vec_id = n.vec_id GROUP BY 1, 2)
 SELECT query_id, label, hits, CASE WHEN first = 1 AND hits >= 4 THEN 'CLEAN WIN' WHEN first = 1 THEN 'PARTIAL' ELSE 'MISS' END AS verdict FROM g""",
     "vector_dim_check": "SELECT label, count(*)::BIGINT AS rows, count(CASE WHEN len(embedding) <> 64 THEN 1 END)::BIGINT AS wrong, count(CASE WHEN abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-4 THEN 1 END)::BIGINT AS not_unit FROM embeddings GROUP BY 1",
-    "bm25_topk": f"WITH {bm25('b', asked(), TOP)} SELECT query_id, doc_id, score, rank FROM b",
-    "rrf_hybrid": f"""WITH {knn(POOL)}, {bm25('b', f"SELECT doc_id AS query_id, unnest(({TOK})[1:8]) AS term FROM documents WHERE doc_id IN (SELECT query_id FROM probes)", POOL)},
+    "bm25_topk": f"WITH {bm25('b', whole(), TOP)} SELECT query_id, doc_id, score, rank FROM b",
+    "rrf_hybrid": f"""WITH {knn(POOL)}, {bm25('b', f"SELECT doc_id AS query_id, unnest({TOK}) AS term FROM documents WHERE doc_id IN (SELECT query_id FROM probes)", POOL)},
 f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.vec_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf FROM near v FULL OUTER JOIN b ON v.query_id = b.query_id AND v.vec_id = b.doc_id)
 SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id)::BIGINT AS rank FROM f QUALIFY rank <= {TOP}""",
-    "rrf_multi_query": f"""WITH {bm25('a', asked(1), POOL)}, {bm25('b', asked(5), POOL)},
-u AS (SELECT query_id, doc_id, rank, 0 AS variant FROM a UNION ALL SELECT query_id, doc_id, rank, 1 FROM b),
+    "rrf_multi_query": f"""WITH {', '.join(bm25(f'v{i}', whole(*ends), POOL) for i, ends in enumerate(_variants))},
+u AS ({' UNION ALL '.join(f'SELECT query_id, doc_id, rank, {i} AS variant FROM v{i}' for i in range(len(_variants)))}),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(variant * 1000000 + rank) AS seen FROM u GROUP BY 1, 2)
 SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, doc_id)::BIGINT AS rank FROM f QUALIFY rank <= {TOP}""",
-    "parent_dedupe": f"""WITH {bm25('b', asked(), POOL)} SELECT query_id, source, doc_id, rank FROM b JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1""",
-    "rerank_lexical": f"""WITH {bm25('b', asked(), POOL)},
+    "parent_dedupe": f"""WITH {bm25('b', whole(), POOL)} SELECT query_id, source, doc_id, rank FROM b JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1""",
+    "rerank_lexical": f"""WITH {bm25('b', whole(), POOL)},
 r AS (SELECT b.query_id, b.doc_id, b.rank AS first_rank, q.w, list_distinct(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM b JOIN documents d ON d.doc_id = b.doc_id JOIN (SELECT item_id, list_distinct({TOK}) AS w FROM benchmark) q ON q.item_id = b.query_id),
 s AS (SELECT query_id, doc_id, first_rank, round(len(list_intersect(w, t))::DOUBLE / len(w), 6) AS rerank FROM r)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank)::BIGINT AS rank FROM s QUALIFY rank <= {TOP}""",
 }
 
-# The same over all queries and whole questions; the statements above stay as they are.
-_variants = ((0, 0), (1, 0), (0, 1), (1, 1))
 SQL |= {
     "knn_topk_every": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
     "knn_scoped_every": f"WITH {knn(5, True, EVERY)} SELECT * FROM near",
     "knn_verdict_every": SQL["knn_probe_verdict"].replace(PROBES, EVERY),
-    "rrf_hybrid_every": SQL["rrf_hybrid"].replace(PROBES, EVERY).replace(f"({TOK})[1:8]", TOK),
-    "bm25_topk_whole": f"WITH {bm25('b', whole(), TOP)} SELECT query_id, doc_id, score, rank FROM b",
-    "rrf_multi_query_whole": f"""WITH {', '.join(bm25(f'v{i}', whole(*ends), POOL) for i, ends in enumerate(_variants))},
-u AS ({' UNION ALL '.join(f'SELECT query_id, doc_id, rank, {i} AS variant FROM v{i}' for i in range(len(_variants)))}),
-f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(variant * 1000000 + rank) AS seen FROM u GROUP BY 1, 2)
-SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, doc_id)::BIGINT AS rank FROM f QUALIFY rank <= {TOP}""",
-    "parent_dedupe_whole": SQL["parent_dedupe"].replace(asked(), whole()),
-    "rerank_lexical_whole": SQL["rerank_lexical"].replace(asked(), whole()),
+    "rrf_hybrid_every": SQL["rrf_hybrid"].replace(PROBES, EVERY),
 }
+SQL |= {f"{name}_whole": SQL[name] for name in ("bm25_topk", "rrf_multi_query", "parent_dedupe", "rerank_lexical")}

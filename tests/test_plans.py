@@ -46,7 +46,7 @@ def test_answers_are_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in plans.QUERIES["citation_ids_whole"](spark, str(tmp_path)).collect()] == [(4, 0, 17)]
     found = {r["doc_id"]: (r["ok"], r["abstained"], r["issues"]) for r in plans.QUERIES["output_guard_whole"](spark, str(tmp_path)).collect()}
-    assert found == {4: (False, False, "cites-unconsulted-chunks:17"), 9: (True, True, ""), 14: (False, False, "no-citation")}
+    assert found == {4: (False, False, "cites-unconsulted-chunks:17"), 9: (True, True, ""), 14: (False, False, "answered-without-citation")}
 
 
 def test_entry(spark):
