@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 PRICES = {"large": (15.0, 75.0, 18.75, 1.5), "medium": (3.0, 15.0, 3.75, 0.3), "small": (1.0, 5.0, 1.25, 0.1), "local": (0.0, 0.0, 0.0, 0.0)}
 
 
+# Dollars per million tokens of embedding models; others cost nothing.
+EMBEDDING_PRICES = {"small": 0.02, "large": 0.13}
+
+
+def embedding_cost(tokens: Column, model: Column) -> Column:
+    rates = F.create_map(*(F.lit(x) for kv in EMBEDDING_PRICES.items() for x in kv))
+    return tokens * F.coalesce(F.try_element_at(rates, model), F.lit(0.0)) / 1e6
+
+
 def price_table(spark) -> DataFrame:
     rows = [(m, *p) for m, p in PRICES.items()]
     return spark.createDataFrame(rows, "model string, in_rate double, out_rate double, write_rate double, read_rate double")

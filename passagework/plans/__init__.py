@@ -1,6 +1,6 @@
 """Named plans and their SQL."""
 
-from . import corpus, retrieval, scoring
+from . import assembly, corpus, retrieval, scoring
 
-QUERIES = corpus.QUERIES | retrieval.QUERIES | scoring.QUERIES
-SQL = corpus.SQL | retrieval.SQL | scoring.SQL
+QUERIES = corpus.QUERIES | retrieval.QUERIES | scoring.QUERIES | assembly.QUERIES
+SQL = corpus.SQL | retrieval.SQL | scoring.SQL | assembly.SQL

@@ -36,6 +36,13 @@ def source_url(id_):
     return F.format_string("https://example.org/texts/%d/%d.txt", id_, id_)
 
 
+def known_or_fail(rows: DataFrame, manifest: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with the manifest's ``column``; a key that it lacks stops the query and lists those known."""
+    known = manifest.agg(F.array_join(F.array_sort(F.collect_list(key)), ", ").alias("_known"))  # one row a source
+    said = F.raise_error(F.concat(F.lit("unknown name "), F.col(key), F.lit("; known: "), "_known"))
+    return rows.join(manifest, key, "left").join(F.broadcast(known)).withColumn(column, F.when(F.col(column).isNull(), said).otherwise(F.col(column))).drop("_known")
+
+
 def source_dimension(documents: DataFrame) -> DataFrame:
     """One row per document source, with author and year made from its name."""
     number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")

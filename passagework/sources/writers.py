@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     replace_partitions(ok, path, ["chunking_version", "source_id"])
 
 
+def append_notes(notes: DataFrame, path: str) -> None:
+    """Notes of a batch of chunks, kept beside those written before; the cache that a rerun reads."""
+    notes.write.mode("append").parquet(path)
+
+
+def cached_notes(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
+    """The notes written so far, one of each key; none where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).dropDuplicates(key)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def without_tag(rows: DataFrame, column: str, tag: str) -> DataFrame:
+    """``rows`` but those of a tag; rows without one stay."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(tag)))
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -37,5 +58,8 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 
 def run_as_json(results: DataFrame, path: str) -> None:
-    """One file; a run has as many rows as questions."""
+    """A run, its frozen cases or its gold as JSON in one file, fields in the order of the columns.
+
+    A run has as many rows as questions.
+    """
     results.coalesce(1).write.mode("overwrite").json(path)
