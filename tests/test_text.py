@@ -65,7 +65,7 @@ def test_output_guard(spark):
     assert one(spark, guards.output_guard(F.col("s"), F.array(F.lit(1).cast("long"))), s="It is so [1].")["ok"]
     assert one(spark, guards.output_guard(F.col("s"), F.array(F.lit(1).cast("long"))), s="The sources do not mention it.")["ok"]
     assert not one(spark, guards.output_guard(F.col("s"), F.array(F.lit(1).cast("long"))), s="The sources do not say.")["ok"]  # none of the phrasings
-    assert one(spark, guards.output_guard(F.col("s"), F.array(F.lit(1).cast("long"))), s=" ")["issues"] == ["empty"]
+    assert one(spark, guards.output_guard(F.col("s"), F.array(F.lit(1).cast("long"))), s=" ")["issues"] == ["empty-article"]
 
 
 @pytest.mark.parametrize("s, items", [('["a","b"]', ["a", "b"]), ("none", []), ("", []), ("oops", ["oops"]), ("[broken", ["[broken"])])
