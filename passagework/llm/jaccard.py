@@ -43,6 +43,10 @@ WORDS, THRESHOLD = 5, Fraction(3, 4)
 #: Slots of the table of shingle counts, whatever the input.
 SLOTS = 1 << 22
 _SLOT_CHUNK = 1 << 17
+#: Tables of counts that one task adds up.
+FAN = 64
+#: A key above this share of the rows is met by a broadcast of its few values, so that no task has it alone.
+HOT_SHARE = 1000
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
 BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 1_500_000
 #: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
@@ -160,7 +164,7 @@ def _measured(docs: DataFrame) -> DataFrame:
                 names=names,
             )
         chunks = range(SLOTS // _SLOT_CHUNK)
-        blob = [zlib.compress(counts[c * _SLOT_CHUNK : (c + 1) * _SLOT_CHUNK].astype("<u4").tobytes(), 1) for c in chunks]
+        blob = [zlib.compress(counts[c * _SLOT_CHUNK : (c + 1) * _SLOT_CHUNK].astype("<i8").tobytes(), 1) for c in chunks]
         k = len(blob)
         yield pa.record_batch(
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(chunks, pa.int32()), pa.array(blob, pa.binary()), *(pa.nulls(k, pa.string()) for _ in keyed)],
@@ -171,18 +175,21 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
-    """The table of shingle counts: SLOTS numbers, added up by chunk."""
+    """The table of shingle counts: SLOTS numbers, added up by chunk in a tree, FAN tables at a time."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(_SLOT_CHUNK, np.int64)
-        for x in group["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(x), "<u4")
-        return pa.table({"chunk": group["chunk"].slice(0, 1), "total": pa.array([total.tolist()], pa.list_(pa.int64()))})
-
-    rows = measured.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, total array<long>").collect()
+        for x in group["counts"]:
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        return pa.table({"chunk": group["chunk"].slice(0, 1), "node": group["node"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    at = measured.where("chunk is not null").select("chunk", F.spark_partition_id().alias("node"), "counts")
+    for _ in range(3):  # FAN**3 tasks, beyond that the last tables are larger groups
+        at = at.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("chunk", "node").applyInArrow(add, "chunk int, node int, counts binary")
+    rows = at.groupBy("chunk").applyInArrow(add, "chunk int, node int, counts binary").collect()  # SLOTS numbers
     out = np.zeros(SLOTS, np.int64)
     for r in rows:
-        out[r["chunk"] * _SLOT_CHUNK : (r["chunk"] + 1) * _SLOT_CHUNK] = r["total"]
+        out[r["chunk"] * _SLOT_CHUNK : (r["chunk"] + 1) * _SLOT_CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return out
 
 
@@ -451,12 +458,24 @@ def classes(docs: DataFrame, key: Column | None = None) -> DataFrame:
             break
         if not nearest:
             break
-    least = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    first_doc = least.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = least.join(first_doc, "root").select("set", "component_id", "root")
+    least = written(own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    first_doc = least.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("k"))
+    named = written(_met(least, first_doc, "root", "k").select("set", "component_id", "root", "copies"))
     none = F.lit(None).cast("long")
     empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), none.alias("set"), F.col("doc_id").alias("component_id"), none.alias("root"), *kept_key)
-    return own.where("n > 0").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root", *kept_key).unionByName(empty)
+    return _met(own.where("n > 0"), named, "set", "copies").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root", *kept_key).unionByName(empty)
+
+
+def _met(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row a key and in ``n`` how many of the rows have it.
+
+    The few keys that more than a HOT_SHARE-th of all rows have are broadcast (HOT_SHARE at most),
+    the others are shuffled.
+    """
+    limit = (side.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE
+    hot = side.where(F.col(n) > limit).select(key)
+    few = F.broadcast(side.where(F.col(n) > limit))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(side.where(F.col(n) <= limit), key))
 
 
 def digest(docs: DataFrame) -> DataFrame:
