@@ -433,3 +433,59 @@ def test_slices_by_bytes():
     b = pa.record_batch([pa.array([1, 2, 3, 4, 5]), pa.array(["x" * 50, None, "y" * 500, "z" * 40, ""])], names=["doc_id", "text"])
     assert [p.num_rows for p in slices(iter([b]), 10, 100)] == [2, 1, 2]
     assert [p.num_rows for p in slices(iter([b]), 2, 10_000)] == [2, 2, 1]
+
+
+def test_flow_leaves_shared_texts_to_those_that_need_them(spark):
+    """A has enough words of its own, B has only the text that A holds too: one source at a time would
+    take the shared text for A as well."""
+    shared = " ".join(f"s{i}" for i in range(100))
+    rows = [(i, " ".join(f"a{i}w{k}" for k in range(10)), "A") for i in range(10)] + [(100, shared, "A"), (200, shared, "B")]
+    got = {r["doc_id"]: r for r in mixing.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[0]["target"], got[200]["target"]) == (100.0, 200.0)
+    assert got[200]["taken"] == 200 and got[100]["taken"] == 0 and all(got[i]["taken"] == 10 for i in range(10))
+    members = {r["doc_id"]: r["members"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()}
+    assert members[0] == ["A"] and members[100] == members[200] == ["A", "B"]
+
+
+def test_shared_texts_by_shuffle_and_beyond_the_patterns(spark, docs, monkeypatch):
+    want = {r["doc_id"]: tuple(r) for r in mixing.digest(docs).collect()}
+    monkeypatch.setattr(mixing, "SMALL_TEXTS", 0)
+    assert {r["doc_id"]: tuple(r) for r in mixing.digest(docs).collect()} == want
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", docs.select("source").distinct().count())
+    rows = mixing.digest(docs).collect()  # each text its own source's alone
+    assert len(rows) == len(want) and all(r["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_discriminant_by_its_formula():
+    """The margin against densities from explicit covariances, inverses and determinants."""
+    rng = np.random.default_rng(7)
+    w = quality.WIDTH
+    own = [rng.normal(size=(300, w)) @ rng.normal(size=(w, w)) + k for k in (0, 1)]
+    sums = {k: np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).reshape(-1)]) for k, v in enumerate(own)}
+    model = quality._gaussians(sums, 0.2, 0.1)
+    x = rng.normal(size=(50, w))
+    spread = [np.cov(v.T, bias=True) for v in own]
+    density = []
+    for k in (0, 1):
+        c = 0.8 * spread[k] + 0.2 * (spread[0] + spread[1]) / 2
+        c = 0.9 * c + 0.1 * np.trace(c) / w * np.eye(w)
+        d = x - own[k].mean(axis=0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) + np.linalg.slogdet(c)[1]))
+    assert np.allclose(model.margin(x), np.clip(density[1] - density[0], -quality._REACH, quality._REACH), atol=1e-6)
+
+
+def test_counts_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    rows = spark.createDataFrame([(i, f"w{i % 5} a b c d e") for i in range(60)], "doc_id long, text string")
+    one = jaccard._counts(jaccard._measured(rows.coalesce(1)))
+    assert one.sum() == 120 and (jaccard._counts(jaccard._measured(rows.repartition(17))) == one).all()
+
+
+@given(st.integers(0, 60), st.lists(st.integers(0, 15), max_size=6), st.integers(1, 3))
+def test_nearest_sum(amount, sizes, room):
+    got = mixing._nearest(amount, sizes, room)
+    assert all(0 <= n <= room for n in got)
+    sums = {0}
+    for s in sizes:
+        sums = {x + s * k for x in sums for k in range(room + 1)}
+    assert abs(sum(n * s for n, s in zip(got, sizes, strict=True)) - amount) == min(abs(x - amount) for x in sums)
