@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -41,9 +42,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: worker processes live on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library, where it has one
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and about ``size`` bytes of strings, a longer
     row alone: a task holds Python copies of one part only."""
+    _give_back()
     for b in batches:
         held = np.zeros(b.num_rows, np.int64)
         for c in b.columns:
@@ -55,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 <<
             stop = min(at + rows, max(fits, at + 1), b.num_rows)
             yield b.slice(at, stop - at)
             at = stop
+    _give_back()
 
 
 def per_batch(

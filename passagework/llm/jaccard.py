@@ -48,7 +48,7 @@ FAN = 64
 #: A key above this share of the rows is met by a broadcast of its few values, so that no task has it alone.
 HOT_SHARE = 1000
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
-BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 1_500_000
+BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 1_000_000
 #: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
 FEW_HOLDERS, BLOCK_HOLDERS = 24, 512
 #: So many of a holder's first segments tell whether two holders meet in an earlier one.
@@ -206,7 +206,7 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     def flush(sets: list[tuple[int, int]], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate(held)
         who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
-        to = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        to = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(to, kind="stable")
         sig, who, to = sig[order], who[order], to[order]
         names = np.array(sets, np.int64)

@@ -39,11 +39,11 @@ from .common import blobs, slices, written
 LENGTH, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 0, 16384, 3, 3, 12, 6
 TOKENIZER = "word_bpe_49k.json"
 #: Letter runs whose ids a worker keeps, in each of two generations.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 120_000
 #: Marks that the vocabulary's splitting keeps apart from letters before them.
 _CLOSING = ".,*#$%&!|;:?"
 #: Bytes of texts that are encoded together.
-_SUBBATCH = 1 << 23
+_SUBBATCH = 1 << 21
 #: Most tasks of an epoch; each evolves whole islands.
 _TASKS = 4096
 
