@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key above this share of the rows is met by a broadcast of its few values, so that no task has it alone.
+HOT_SHARE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +88,18 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def met(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row a key and in ``n`` how many of the rows have it.
+
+    The few keys that more than a HOT_SHARE-th of all rows have are broadcast (HOT_SHARE at most),
+    the others are shuffled.
+    """
+    limit = (side.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE
+    hot = side.where(F.col(n) > limit).select(key)
+    few = F.broadcast(side.where(F.col(n) > limit))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(side.where(F.col(n) <= limit), key))
+
+
 def clear_of(spans: Iterable[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
     """Those of ``spans`` (start, end, ...), by start, that overlap neither ``taken`` nor one kept before."""
     taken = sorted(taken)

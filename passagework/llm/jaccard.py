@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, slices, written
+from .common import blobs, met, slices, written
 from .words import mix, shingle_sets
 
 WORDS, THRESHOLD = 5, Fraction(3, 4)
@@ -45,8 +45,6 @@ SLOTS = 1 << 22
 _SLOT_CHUNK = 1 << 17
 #: Tables of counts that one task adds up.
 FAN = 64
-#: A key above this share of the rows is met by a broadcast of its few values, so that no task has it alone.
-HOT_SHARE = 1000
 #: Segment entries per bucket aimed at, and held in a task before they are sent.
 BUCKET_ENTRIES, HELD_ENTRIES = 1_000_000, 1_000_000
 #: Holders of a segment meet pair by pair up to this number, beyond it in blocks by sketch.
@@ -460,22 +458,10 @@ def classes(docs: DataFrame, key: Column | None = None) -> DataFrame:
             break
     least = written(own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
     first_doc = least.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("k"))
-    named = written(_met(least, first_doc, "root", "k").select("set", "component_id", "root", "copies"))
+    named = written(met(least, first_doc, "root", "k").select("set", "component_id", "root", "copies"))
     none = F.lit(None).cast("long")
     empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), none.alias("set"), F.col("doc_id").alias("component_id"), none.alias("root"), *kept_key)
-    return _met(own.where("n > 0"), named, "set", "copies").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root", *kept_key).unionByName(empty)
-
-
-def _met(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
-    """``rows`` joined to ``side``, which has one row a key and in ``n`` how many of the rows have it.
-
-    The few keys that more than a HOT_SHARE-th of all rows have are broadcast (HOT_SHARE at most),
-    the others are shuffled.
-    """
-    limit = (side.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE
-    hot = side.where(F.col(n) > limit).select(key)
-    few = F.broadcast(side.where(F.col(n) > limit))
-    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(side.where(F.col(n) <= limit), key))
+    return met(own.where("n > 0"), named, "set", "copies").select("doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root", *kept_key).unionByName(empty)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, per_batch, texts, written
+from .common import clear_of, met, per_batch, texts, written
 
 # The patterns of the base kinds and of issued tokens.
 ASSIGN = re.compile(
@@ -47,8 +47,6 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 EXAMPLE_OWNERS = 3
 #: So is one that its owners hold in this many repositories each, on average, or more.
 EXAMPLE_REPOS = 50
-#: Parts in which the uses of one string meet its counts.
-SALTS = 16
 
 _CANDIDATE = "array<struct<kind:int,start:int,end:int,hash:binary>>"
 
@@ -150,13 +148,12 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_o
     """
     rows = written(candidates(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()))
     one = rows.select("row", F.explode("found").alias("c")).select(
-        "row", F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"),
-        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"),
+        "row", F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash")
     )
-    # A string copied into a third of all rows is met in SALTS parts, each by a copy of its counts.
-    owned = ownership(rows).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    # Strings copied into many rows meet their counts by a broadcast of bounded size, the others by a shuffle.
+    owned = written(ownership(rows))
     live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos * F.col("owners"))
-    judged = one.join(owned, ["hash", "salt"]).withColumn("live", live)
+    judged = met(one, owned, "hash", "uses").withColumn("live", live)
     kept = judged.where((F.col("kind") < 3) | F.col("live"))
     listed = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("found")
