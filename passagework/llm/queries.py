@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, licenses, matroska, mixing, packing, pii, quality, secrets
+from . import collocations, fingerprints, jaccard, language, licenses, matroska, mixing, packing, pii, quality, secrets
 from .common import table
 
 
@@ -50,15 +50,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scans, op2_multiset_fingerprints, op3_source_mixing, op4_secret_scans, op5_pii, op6_matroska,
         op7_language_id, op8_best_fit_packing, op9_jaccard_join, op10_quality_classifier,
+        op12_phrase_collocations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these has SQL: models, parsers, hashes and searches; tests/llm holds each against
+    """The others have no SQL: models, parsers, hashes and searches; tests/llm holds each against
     brute force, a round trip or held-out accuracy."""
-    return {}
+    return {"op12_phrase_collocations": collocations.SQL}
