@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, fingerprints, jaccard, language, licenses, matroska, mixing, packing, pii, quality, secrets, turns
+from . import articles, collocations, fingerprints, jaccard, language, licenses, matroska, mixing, packing, pii, quality, secrets, turns
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.digest(table(spark, sf_dir, "pages"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.digest(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scans, op2_multiset_fingerprints, op3_source_mixing, op4_secret_scans, op5_pii, op6_matroska,
         op7_language_id, op8_best_fit_packing, op9_jaccard_join, op10_quality_classifier,
-        op12_phrase_collocations, op13_conversation_repair,
+        op11_html_extraction, op12_phrase_collocations, op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
