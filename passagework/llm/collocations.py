@@ -22,7 +22,7 @@ from .common import slices, written
 from .words import mix
 
 #: Text bytes of a shard (a longer text is a shard of its own) and entries a merged filter should have.
-SHARD_BYTES, ENTRIES = 1 << 24, 1 << 21
+SHARD_BYTES, ENTRIES = 1 << 23, 1 << 20
 #: Bits by which one round of merging splits the filters, at most.
 ROUND_BITS = 10
 #: Rows that each part of a language gives to the last ranking are at most ``top`` of the report.
@@ -130,7 +130,7 @@ def word_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edge = solid[1:] != solid[:-1]
     cut = begins & solid[1:] & solid[:-1]  # a word would run over from one text to the next
     starts, stops = np.flatnonzero((edge & solid[1:]) | cut), np.flatnonzero((edge & solid[:-1]) | cut)
-    piece = np.cumsum(np.concatenate([[0], apart]) + begins)[starts]
+    piece = np.searchsorted(np.flatnonzero(apart), starts) + np.searchsorted(ends, starts, side="right")
     offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
     kept = data[solid[1:-1]].tobytes()
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept)), piece
@@ -139,8 +139,8 @@ def word_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def sequences(docs: DataFrame) -> DataFrame:
     """(shard, lang, n, words, counts, ids, pieces): texts of one language as word numbers of their shard.
 
-    ``ids`` and ``pieces`` are the words' numbers and how far their piece is from the previous word's,
-    as little-endian 32-bit numbers. Null texts are empty, a null language is ``und``.
+    ``ids`` holds the words' numbers as little-endian 32-bit numbers, ``pieces`` a byte a word: 1 where
+    another piece begins. Null texts are empty, a null language is ``und``.
     """
 
     def shard(lang: str, texts: list[pa.Array], number: int) -> pa.RecordBatch:
@@ -224,8 +224,8 @@ def _rows(out: list[tuple]) -> pa.Table:
 def _split(left: np.ndarray, right: np.ndarray, n: np.ndarray, split: int, bits: int) -> Iterator[tuple[int, bytes]]:
     """Filters of the sorted entries by their ``split`` leading bits."""
     part = (left >> np.uint64(bits - split)).astype(np.int64)
-    at = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
-    for a, z in zip(at, [*at[1:], len(part)], strict=True):
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, z in zip(at, [*at[1:], len(part)][: len(at)], strict=True):
         yield int(part[a]), encoded(left[a:z], right[a:z], n[a:z], bits - split, bits)
 
 
