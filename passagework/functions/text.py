@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ WORD = r"[\p{L}\p{N}]+"
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` or its loops read it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalized(text: Column) -> Column:
     """LF line ends, lines trimmed at the right, two line ends in a row at most, trimmed."""
     t = F.regexp_replace(text, r"\r\n?", "\n")

@@ -3,57 +3,114 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chapter_label, roman, token_count
+from ..functions.text import chapter_label, once, roman, token_count
 
 #: name -> (target tokens, overlap tokens, whether chunks carry their section)
 VARIANTS = {"naive": (500, 50, False), "small": (300, 30, False), "section": (6000, 0, False), "parent": (500, 50, True)}
 
 
-def listed(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """(doc_id, p): per row the array of its paragraphs (para, text, char_start, char_end, tokens).
+# Fixed value: what counts as blank at both ends of a paragraph.
+BLANKS = "\t\n\x0b\f\r \u00a0\ufeff"
 
-    Offsets are added up within the row, so nothing is shuffled and rows of one doc_id don't mix.
-    """
-    kind = pa.list_(pa.struct([("para", pa.int64()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
 
-    def pieces(text: str) -> list[dict]:
-        out, at = [], 0
-        for x in text.split(separator):
-            if x.strip(" "):
-                out.append({"para": len(out), "text": x, "char_start": at, "char_end": at + len(x)})
-            at += len(x) + len(separator)
-        return out
+def blocks(text: str, separator: re.Pattern) -> list[tuple[int, int, int]]:
+    """(piece, start, end) of the pieces between separators that aren't blank: paragraphs of lines or
+    of sections, the one place that says what a paragraph is."""
+    out, at = [], 0
+    for piece, (end, then) in enumerate([*((m.start(), m.end()) for m in separator.finditer(text)), (len(text), len(text))]):
+        if text[at:end].strip(BLANKS):
+            out.append((piece, at, end))
+        at = then
+    return out
+
+
+def _lists(rows: list[list[tuple]], names: tuple[str, ...]) -> pa.ListArray:
+    """Lists of tuples of whole numbers as lists of structs, column by column."""
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.array([x for row in rows for x in row], np.int64).reshape(-1, len(names))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(len(names))], list(names)))
+
+
+_PARAGRAPHS = "p array<struct<para:bigint,piece:bigint,char_start:bigint,char_end:bigint>>"
+
+
+def offsets(docs: DataFrame, separator: str = "\n", text: bool = False) -> DataFrame:
+    """(doc_id, size, p): per row the array of its paragraphs (para, char_start, char_end); with ``text`` the text too.
+
+    Offsets are added up within the row, so nothing is shuffled and rows of one doc_id don't mix;
+    only they come back from Python, texts of paragraphs are cut where they are asked for.
+    """
+    cut = re.compile(re.escape(separator))
+    kept = ["doc_id", "size", *(["text"] if text else [])]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):  # Python copies of so many texts at a time
                 own = b.slice(at, 1000)
-                yield pa.record_batch([own.column("doc_id"), pa.array([pieces(t) for t in own.column("text").to_pylist()], kind)], names=["doc_id", "p"])
+                found = [[(k, *x) for k, x in enumerate(blocks(t, cut))] for t in own.column("text").to_pylist()]
+                yield pa.record_batch([*(own.column(c) for c in kept), _lists(found, ("para", "piece", "char_start", "char_end"))], names=[*kept, "p"])
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("size"), "text")
+    return rows.mapInArrow(go, f"doc_id long, size long, {'text string, ' if text else ''}{_PARAGRAPHS}")
+
+
+def listed(docs: DataFrame, separator: str = "\n") -> DataFrame:
+    """``offsets`` with the text, and the tokens of each paragraph."""
+    tokens = pieced(F.col("text"), separator, F.col("p"), token_count, lambda x, n: x.withField("tokens", n))
+    return offsets(docs, separator, text=True).select("doc_id", "size", "text", tokens.alias("p"))
 
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(go, "doc_id long, p array<struct<para:bigint,text:string,char_start:bigint,char_end:bigint>>")
-    counted = lambda x: F.struct(x["para"].alias("para"), x["text"].alias("text"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), token_count(x["text"]).alias("tokens"))
-    return found.select("doc_id", F.transform("p", counted).alias("p"))
+
+def pieced(text: Column, separator: str, paras: Column, of: Callable[[Column], Column], put: Callable[[Column, Column], Column]) -> Column:
+    """Each of ``paras`` put together with what ``of`` makes of its piece; the text is split once."""
+    return once(F.transform(F.split(text, separator), of), lambda made: F.transform(paras, lambda x: put(x, F.get(made, x["piece"].cast("int")))))
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """(doc_id, para, text, char_start, char_end, tokens); blank pieces go, offsets stay."""
-    return listed(docs, separator).select("doc_id", F.explode_outer("p").alias("x")).where("x is not null").select("doc_id", "x.*")
+    told = pieced(F.col("text"), separator, F.col("p"), lambda x: x, lambda x, t: x.withField("text", t))
+    rows = offsets(docs, separator, text=True).select("doc_id", F.explode(told).alias("x"))
+    return rows.select("doc_id", "x.para", "x.text", "x.char_start", "x.char_end", token_count(F.col("x.text")).alias("tokens"))
+
+
+def grown(values: list[int | None], gap: int) -> list[bool]:
+    """Which values a growing sequence accepts: v is next if expected <= v <= expected + gap."""
+    want, took = 1, []
+    for v in values:
+        ok = v is not None and want <= v <= want + gap
+        want = v + 1 if ok else want
+        took.append(ok)
+    return took
+
+
+def monotone(rows: DataFrame, values: str, gap: int = 3) -> DataFrame:
+    """``rows`` with ``ok``, for each element of the array column ``values`` whether it is accepted.
+
+    One pass whose state is the expected value; NULL values are not accepted.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [grown(v or (), gap) for v in b.column(values).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            ok = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for row in found for x in row], pa.bool_()))
+            yield pa.record_batch([*b.columns, ok], names=[*b.schema.names, "ok"])
+
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(go, f"{types}, ok array<boolean>")
 
 
-def monotone(values: Column, gap: int = 3) -> Column:
-    """Flags of the values that a growing sequence accepts: v is next if expected <= v <= expected + gap."""
-    step = lambda acc, v: F.when(
-        v.isNotNull() & (v >= acc["want"]) & (v <= acc["want"] + gap), F.struct((v + 1).alias("want"), F.concat(acc["took"], F.array(F.lit(True))).alias("took"))
-    ).otherwise(F.struct(acc["want"].alias("want"), F.concat(acc["took"], F.array(F.lit(False))).alias("took")))
-    start = F.struct(F.lit(1).cast("long").alias("want"), F.array().cast("array<boolean>").alias("took"))
-    return F.aggregate(values, start, step)["took"]
+def bounded(heads: Column, size: Column) -> Column:
+    """An array of structs that have ``char_start``, in order, each with ``char_end``: the next one's
+    start, ``size`` for the last."""
+    ends = F.concat(F.transform(F.slice(heads, 2, F.greatest(F.size(heads), F.lit(1))), lambda h: h["char_start"]), F.array(size))
+    return F.zip_with(heads, F.slice(ends, 1, F.greatest(F.size(heads), F.lit(1))), lambda h, e: h.withField("char_end", e))
 
 
 def section_heads(docs: DataFrame, pattern: str) -> DataFrame:
@@ -73,12 +130,10 @@ def section_heads(docs: DataFrame, pattern: str) -> DataFrame:
 
 def sections(heads: DataFrame, lengths: DataFrame, gap: int = 3) -> DataFrame:
     """Accepted heads with their bounds: a section ends where the next accepted one starts."""
-    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "numeral"))).alias("h"))
-    flags = monotone(F.transform("h", lambda x: roman(x["numeral"]).cast("long")), gap)
-    kept = listed.select("doc_id", F.posexplode(F.arrays_zip("h", flags.alias("ok"))).alias("n", "x")).where("x.ok")
-    after = Window.partitionBy("doc_id").orderBy("char_start")
-    rows = kept.select("doc_id", F.col("x.h.char_start").alias("char_start"), F.col("x.h.numeral").alias("numeral"))
-    return rows.join(lengths, "doc_id").withColumn("char_end", F.coalesce(F.lead("char_start").over(after), F.col("length")))
+    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "numeral"))).alias("h")).join(lengths, "doc_id")
+    rows = monotone(listed.withColumn("v", F.transform("h", lambda x: roman(x["numeral"]).cast("long"))), "v", gap)
+    kept = F.transform(F.filter(F.arrays_zip("h", "ok"), lambda x: x["ok"]), lambda x: x["h"])
+    return rows.withColumn("h", kept).where(F.size("h") > 0).select("doc_id", "length", F.explode(bounded(F.col("h"), F.col("length"))).alias("x")).select("doc_id", "x.char_start", "x.numeral", "length", "x.char_end")
 
 
 def pack(tokens: list[int], target: int, overlap: int, tail_repeat: bool = True) -> list[tuple[int, int]]:
@@ -205,27 +260,28 @@ def section_chunks(found: DataFrame, target: int, overlap: int) -> DataFrame:
     section as parent: (doc_id, chunk_index, chapter, text, char_start, char_end, token_count,
     parent_start, parent_end). A section within ``target`` is one chunk."""
     names = ("local", "start", "end", "tokens")
-    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
-
-    def cuts(text: str, size: int, para: list[int]) -> list[dict]:
-        parts, at = [], 0
-        for x in re.split(r"(\n{2,})", text):
-            if x.strip() and not x.startswith("\n\n"):
-                parts.append((at, at + len(x)))
-            at += len(x)
-        if sum(para) <= target or not parts:
-            return [{"local": 0, "start": 0, "end": size, "tokens": sum(para)}]
-        return [{"local": k, "start": parts[i][0], "end": parts[j - 1][1], "tokens": sum(para[i:j])} for k, (i, j) in enumerate(pack(para, target, overlap))]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile("\n{2,}")
+        for b in batches:
+            yield pa.record_batch([*b.columns, _lists([blocks(t, cut) for t in b.column("text").to_pylist()], ("piece", "char_start", "char_end"))], names=[*b.schema.names, "b"])
+
+    def cuts(size: int, parts: list[dict], para: list[int]) -> list[tuple]:
+        if sum(para) <= target:
+            return [(0, 0, size, sum(para))]
+        return [(k, parts[i]["char_start"], parts[j - 1]["char_end"], sum(para[i:j])) for k, (i, j) in enumerate(pack(para, target, overlap))]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [cuts(t, n, p) for t, n, p in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), b.column("para").to_pylist(), strict=True)]
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(rows, kind)], names=[*keep, "cut"])
+            rows = [cuts(*x) for x in zip(*(b.column(c).to_pylist() for c in ("size", "b", "para")), strict=True)]
+            yield pa.record_batch([*(b.column(c) for c in keep), _lists(rows, names)], names=[*keep, "cut"])
 
     keep = ["doc_id", "section", "book", "numeral", "char_start", "char_end", "text"]
-    blocks = F.filter(F.split("text", "\n{2,}"), lambda x: F.length(F.trim(x)) > 0)
-    s = found.select(*keep, (F.col("char_end") - F.col("char_start")).alias("size"), F.transform(blocks, token_count).alias("para"))
-    types = ", ".join(f"{c} {t}" for c, t in s.select(keep).dtypes)
+    rows = found.select(*keep)
+    types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    rows = rows.mapInArrow(split, f"{types}, b array<struct<piece:bigint,char_start:bigint,char_end:bigint>>")
+    # Tokens are counted over the same blocks that are packed.
+    s = rows.select(*keep, "b", (F.col("char_end") - F.col("char_start")).alias("size"), pieced(F.col("text"), "\n{2,}", F.col("b"), token_count, lambda x, n: n).alias("para"))
     rows = s.mapInArrow(go, f"{types}, cut array<struct<local:bigint,start:bigint,end:bigint,tokens:bigint>>").select(*keep, F.explode("cut").alias("c"))
     order = Window.partitionBy("doc_id").orderBy("section", "c.local")
     return rows.select(

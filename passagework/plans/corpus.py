@@ -17,7 +17,7 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 LINES = r"""
 pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS piece FROM documents),
 placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM pieces),
-paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS para, text, char_start, (char_start + length(text))::BIGINT AS char_end, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS tokens FROM placed WHERE length(trim(text)) > 0)
+paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS para, text, char_start, (char_start + length(text))::BIGINT AS char_end, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS tokens FROM placed WHERE regexp_matches(text, '[^\t\n\x0B\f\r \x{00A0}\x{FEFF}]'))
 """
 
 
@@ -75,14 +75,14 @@ def roman_to_int(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _accepted(docs: DataFrame) -> DataFrame:
-    """Each paragraph is headed by its number, shifted now and then; of the numbers those that a
-    growing sequence accepts. The fold runs within the row."""
+    """(doc_id, value, para, char_start, char_end): each paragraph is headed by its number, shifted now
+    and then; of the numbers those that a growing sequence accepts, each up to the next one."""
     number = lambda x: x["para"] + 1 + F.when((F.col("doc_id") + x["para"] * 7) % 5 == 0, 6).otherwise(0)
-    heads = F.transform("p", lambda x: F.struct(x["para"].alias("para"), x["char_start"].alias("char_start"), number(x).alias("value")))
-    held = segment.listed(docs).select("doc_id", heads.alias("h"))
-    ok = segment.monotone(F.transform("h", lambda x: x["value"]))
-    rows = held.select("doc_id", F.explode_outer(F.arrays_zip("h", ok.alias("ok"))).alias("x")).where("x.ok")
-    return rows.select("doc_id", F.col("x.h.para").alias("para"), F.col("x.h.char_start").alias("char_start"), F.col("x.h.value").alias("value"))
+    heads = F.transform("p", lambda x: F.struct(number(x).alias("value"), x["para"].alias("para"), x["char_start"].alias("char_start")))
+    held = segment.offsets(docs).select("doc_id", "size", heads.alias("h"))
+    rows = segment.monotone(held.withColumn("v", F.transform("h", lambda x: x["value"])), "v")
+    kept = rows.select("doc_id", "size", F.transform(F.filter(F.arrays_zip("h", "ok"), lambda x: x["ok"]), lambda x: x["h"]).alias("h")).where(F.size("h") > 0)
+    return kept.select("doc_id", F.explode(segment.bounded(F.col("h"), F.col("size"))).alias("x")).select("doc_id", "x.*")
 
 
 def monotone_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,10 +90,7 @@ def monotone_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    w = Window.partitionBy("doc_id").orderBy("char_start")
-    rows = _accepted(docs).join(docs.select("doc_id", F.length("text").cast("long").alias("size")), "doc_id")
-    return rows.select("doc_id", "value", "char_start", F.coalesce(F.lead("char_start").over(w), F.col("size")).alias("char_end"))
+    return _accepted(table(spark, sf, "documents")).select("doc_id", "value", "char_start", "char_end")
 
 
 ACCEPTED = f"""{LINES},
@@ -271,7 +268,7 @@ sect AS (SELECT s.*, regexp_replace(substring(t.text, char_start + 1, char_end -
 SECTION_LINES = marked_ctes() + r""",
 pieces AS (SELECT doc_id * 1000000 + section AS doc_id, unnest(string_split(text, chr(10) || chr(10))) AS text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS piece FROM sect),
 placed AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM pieces),
-paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS para, text, char_start, (char_start + length(text))::BIGINT AS char_end, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS tokens FROM placed WHERE length(trim(text)) > 0)
+paras AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1)::BIGINT AS para, text, char_start, (char_start + length(text))::BIGINT AS char_end, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS tokens FROM placed WHERE regexp_matches(text, '[^\t\n\x0B\f\r \x{00A0}\x{FEFF}]'))
 """
 SECTION_CHUNKS = f"""WITH RECURSIVE {chunk_ctes(60, 25, SECTION_LINES).replace("ends AS (SELECT a.doc_id, a.i", "reach AS (SELECT a.doc_id, a.i").replace("FROM ends x JOIN pre q", "FROM reach x JOIN pre q")},
 sc AS (SELECT s.doc_id, s.section, c.chunk_index AS local, s.book || ', §' || s.numeral AS chapter, s.char_start AS parent_start, s.char_end AS parent_end, c.token_count,

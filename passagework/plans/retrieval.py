@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import fusion, lexical, providers, vector
+from ..operators import fusion, inverted, lexical, providers, vector
+from ..sources import store
 from ..sources.tables import table
 
 POOL, TOP = 50, 10
@@ -81,7 +82,9 @@ def _whole(spark: SparkSession, sf: str, head: int = 0, tail: int = 0) -> DataFr
 
 
 def _lexical(spark: SparkSession, sf: str, terms: DataFrame, pool: int) -> DataFrame:
-    s = lexical.bm25(table(spark, sf, "documents"), "doc_id", terms, "query_id").withColumn("score", F.round("score", 6))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = store.built_once(docs, "lexical", lambda at: inverted.append(docs, "doc_id", at))
+    s = inverted.search(spark, path, terms, "query_id", "doc_id", pool).withColumn("score", F.round("score", 6))
     return fusion.ranked(s, "query_id", "doc_id", "score", pool)
 
 

@@ -98,6 +98,34 @@ def test_sections_by_hand(spark):
     assert [(r["chunk_index"], r["chapter"], r["text"]) for r in rows.orderBy("chunk_index").collect()][:3] == [(0, "Book I, §I", "I.--one"), (1, "Book I, §II", "II.--two"), (2, "Book I, §II", "IX.--far")]
 
 
+def test_paragraphs_of_white_space_are_none(spark):
+    text = "I. a b c d\n\n\t\n\n\u00a0 \ufeff\n\n\ne f g h i j k l\n\n \n\nm n\n\n"
+    rows = segment.section_chunks(segment.sections_of(spark.createDataFrame([(1, text), (2, "I. \n\n\t"), (3, ""), (4, None)], "doc_id long, text string"), "plain"), 5, 0)
+    got = [(r["doc_id"], r["chunk_index"], r["text"], r["token_count"]) for r in rows.orderBy("doc_id", "chunk_index").collect()]
+    assert got == [(1, 0, "I. a b c d", 5), (1, 1, "e f g h i j k l", 8), (1, 2, "m n", 2), (2, 0, "I.", 1)]
+    assert all(text[r["char_start"] : r["char_end"]] == r["text"] for r in rows.where("doc_id = 1").collect())
+    lines = segment.paragraphs(spark.createDataFrame([(1, "a\n\t\n \u00a0\nb c\n")], "doc_id long, text string"))
+    assert [tuple(r) for r in lines.orderBy("para").collect()] == [(1, 0, "a", 0, 1, 1), (1, 1, "b c", 7, 10, 2)]
+
+
+def test_folds_are_linear(spark):
+    """Ten times the heads take no more than twelve times as long; a growing state took a hundred."""
+    import time
+
+    def took(n):
+        rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.when(x % 5 == 0, x + 9).otherwise(x).cast("long")).alias("v"))
+        runs = []
+        for _ in range(3):
+            start = time.time()
+            kept = segment.monotone(rows, "v").select(F.size(F.filter("ok", lambda x: x)).alias("n")).collect()[0]["n"]
+            runs.append(time.time() - start)
+        return kept, min(runs)
+
+    assert took(1000)[0] == 800  # a skipped number still is within the gap of the next
+    (_, small), (kept, large) = took(40_000), took(400_000)
+    assert kept == 320_000 and large < 12 * small + 1
+
+
 def test_strict_markers(spark):
     assert one(spark, lambda x: t.between(x, "<a>", "</a>", True), "x<a> in </a>") == ["in"]
     with pytest.raises(Exception, match="no text between"):
