@@ -45,8 +45,6 @@ KINDS = ("assign", "access", "hex", "owned")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: A string held by this many distinct owners or more is a copied example.
 EXAMPLE_OWNERS = 3
-#: So is one that its owners hold in this many repositories each, on average, or more.
-EXAMPLE_REPOS = 50
 
 _CANDIDATE = "array<struct<kind:int,start:int,end:int,hash:binary>>"
 
@@ -139,12 +137,12 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per input row: (doc_id, found, live) with every candidate's ownership counts.
 
     ``found`` has (kind, start, end, owners, repos, live); an ``owned`` candidate that isn't live
-    is left out, base candidates always stay. Live is a string of few owners, and of few
-    repositories each.
+    is left out, base candidates always stay. Live is a string of few owners, in however many of
+    their repositories.
     """
     rows = written(candidates(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()))
     one = rows.select("row", F.explode("found").alias("c")).select(
@@ -152,8 +150,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_o
     )
     # Strings copied into many rows meet their counts by a broadcast of bounded size, the others by a shuffle.
     owned = written(ownership(rows))
-    live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos * F.col("owners"))
-    judged = met(one, owned, "hash", "uses").withColumn("live", live)
+    judged = met(one, owned, "hash", "uses").withColumn("live", F.col("owners") < example_owners)
     kept = judged.where((F.col("kind") < 3) | F.col("live"))
     listed = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("found")

@@ -72,6 +72,14 @@ def test_ownership_parts_examples_from_live_secrets(spark):
     assert found[0]["spans"] == "" and found[100]["spans"] == "owned:3:43" and found[100]["n_live"] == 1
 
 
+@pytest.mark.parametrize("n", [10, 100, 1000])
+def test_one_owner_stays_one_owner_in_many_documents(spark, n):
+    own = "aB3dE5gH7jK9mN1pQ2sT4vW6"
+    rows = [(i, f"use {own} now {i}", "me") for i in range(n)] + [(n + i, "use ghp_" + "aB3dE5gH7jK9" * 3, f"o{i}") for i in range(3)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert {found[i] for i in range(n)} == {"owned:4:28"} and {found[n + i] for i in range(3)} == {""}
+
+
 def test_secret_edges(edge, empty):
     rows = secrets.digest(secrets.scan(edge)).collect()
     assert len(rows) == len(TEXTS)
