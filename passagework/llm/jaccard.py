@@ -140,9 +140,9 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, set, sketch) and the key if it has one, and rows (slot chunk, counts)
-    per task, in one pass."""
-    keyed = ["key"] if "key" in docs.columns else []
+    """Per row (doc_id, n, set, sketch) and its other columns, and rows (slot chunk, counts) per
+    task, in one pass."""
+    keyed = {c: {"bigint": pa.int64(), "string": pa.string()}[t] for c, t in docs.dtypes if c not in ("doc_id", "text")}
     names = ["doc_id", "n", "set", "sketch", "chunk", "counts", *keyed]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +165,11 @@ def _measured(docs: DataFrame) -> DataFrame:
         blob = [zlib.compress(counts[c * _SLOT_CHUNK : (c + 1) * _SLOT_CHUNK].astype("<i8").tobytes(), 1) for c in chunks]
         k = len(blob)
         yield pa.record_batch(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(chunks, pa.int32()), pa.array(blob, pa.binary()), *(pa.nulls(k, pa.string()) for _ in keyed)],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(chunks, pa.int32()), pa.array(blob, pa.binary()), *(pa.nulls(k, t) for t in keyed.values())],
             names=names,
         )
 
-    return docs.mapInArrow(go, "doc_id long, n long, set long, sketch binary, chunk int, counts binary" + (", key string" if keyed else ""))
+    return docs.mapInArrow(go, "doc_id long, n long, set long, sketch binary, chunk int, counts binary" + "".join(f", {c} {'long' if t == pa.int64() else 'string'}" for c, t in keyed.items()))
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
@@ -416,18 +416,25 @@ def classes(docs: DataFrame, key: Column | None = None) -> DataFrame:
     reachable by links, the document's own where there are none; ``root`` names the component,
     and is null for a row without words.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("said"), *([key.alias("key")] if key is not None else []))
     kept_key = ["key"] if key is not None else []
-    measured = written(_measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")) if kept_key else rows))
+    measured = written(_measured(rows))
     counts = _counts(measured)
-    own = measured.where("chunk is null").select("doc_id", "n", "set", "sketch", *kept_key)
+    own = measured.where("chunk is null").select("doc_id", "said", "n", "set", "sketch", *kept_key)
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(total) * 6 // 10 // BUCKET_ENTRIES))
-    shared = written(_shared(_entries(rows, counts, buckets)))
-    held = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    known = written(held.join(shared.select("set").distinct(), "set", "left_semi"))
-    # Only sets that share a segment can be in a pair: their shingles are made and moved once.
-    texts = rows.join(known.select("doc", "set"), rows["doc_id"].eqNullSafe(F.col("doc"))).select("set", "text")
+    shared = written(_shared(_entries(rows.select("doc_id", "text"), counts, buckets)))
+    alike = own.where("n > 0").groupBy("set", "doc_id", "said").agg(F.count("*").alias("alike"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    held = alike.groupBy("set").agg(F.min(F.struct("doc_id", "said", "alike")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = written(held.join(shared.select("set").distinct(), "set", "left_semi").select("set", "r.*", "n", "sketch"))
+    # Only sets that share a segment can be in a pair: their shingles are made and moved once, from one
+    # row each. An id alone may be that of many texts, or none; of rows alike in id and text any one will do.
+    of = known.select("set", F.col("doc_id").alias("doc"), F.col("said").alias("as"), "alike")
+    same = rows["doc_id"].eqNullSafe(F.col("doc")) & (rows["said"] == F.col("as"))
+    texts = rows.join(of.where("alike = 1"), same).select("set", "text")
+    if not (several := of.where("alike > 1")).isEmpty():
+        texts = texts.unionByName(rows.join(several, same).select("set", "text").dropDuplicates(["set"]))
     shingled = written(_shingled(texts))
 
     def sketched(pairs: DataFrame) -> DataFrame:
@@ -476,11 +483,14 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     key = F.sha2(text, 256)
     found = classes(docs, key).where("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key", "copies")).alias("r"))
-    kept = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.key").alias("__key"), F.col("r.copies").alias("__copies")))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # a prefix that no column of the input has
+        mark += "_"
+    kept = written(first.select(F.col("r.doc_id").alias(f"{mark}id"), F.col("r.key").alias(f"{mark}key"), F.col("r.copies").alias(f"{mark}copies")))
     wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    rest = docs.where(~wordless).withColumn("__text_key", key)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    out = rest.join(kept.where("__copies = 1"), same, "left_semi")
-    if not (several := kept.where("__copies > 1")).isEmpty():  # rows alike in id and text: any one of them
-        out = out.unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
-    return out.drop("__text_key").unionByName(docs.where(wordless))
+    rest = docs.where(~wordless).withColumn(f"{mark}text_key", key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text_key") == F.col(f"{mark}key"))
+    out = rest.join(kept.where(f"{mark}copies = 1"), same, "left_semi")
+    if not (several := kept.where(f"{mark}copies > 1")).isEmpty():  # rows alike in id and text: any one of them
+        out = out.unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id", f"{mark}text_key"]))
+    return out.drop(f"{mark}text_key").unionByName(docs.where(wordless))

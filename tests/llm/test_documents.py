@@ -342,6 +342,8 @@ def test_one_row_of_each_component_survives(spark):
     docs = lambda own: spark.createDataFrame(own, "doc_id long, text string, source string")
     kept = jaccard.distinct_documents(docs(rows)).collect()
     assert collections.Counter(tuple(r)[2] for r in kept) == {"c": 1, "d": 1, "e": 1, "f": 1, "g": 1, "h": 1, "i": 2, "j": 1, "k": 1}
+    clash = docs(rows).withColumns({"__id": F.lit(1), "__key": F.lit("x"), "__Text_Key": F.lit("y"), "___copies": F.lit(2)})
+    assert jaccard.distinct_documents(clash).columns == clash.columns and jaccard.distinct_documents(clash).count() == len(kept)
     # One null id that stands for itself lets no linked copy of another component back in.
     few = [(None, "alone here", "a"), (1, text, "b"), (None, text, "c")]
     assert sorted(r["source"] for r in jaccard.distinct_documents(docs(few)).collect()) == ["a", "b"]
@@ -489,3 +491,14 @@ def test_nearest_sum(amount, sizes, room):
     for s in sizes:
         sums = {x + s * k for x in sums for k in range(room + 1)}
     assert abs(sum(n * s for n, s in zip(got, sizes, strict=True)) - amount) == min(abs(x - amount) for x in sums)
+
+
+def test_ids_that_many_texts_share_bring_each_text_once(spark, monkeypatch):
+    """Near copies under one null id, one repeated id, and rows alike in both."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(None if i % 2 else 7, " ".join([*base, f"end{i}"])) for i in range(60)] + [(None, " ".join([*base, "end1"]))] * 5
+    moved = []
+    plain = jaccard._shingled
+    monkeypatch.setattr(jaccard, "_shingled", lambda texts: moved.append(texts.count()) or plain(texts))
+    found = jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert moved == [60] and len(found) == 65 and {r["component_id"] for r in found} == {7}
