@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, trimmed
+from .text import SPACE, once, trimmed
 
 MAX_QUESTION = 2000
 # Rules of the input check, first match wins; a sentence ends at a point, question or
@@ -39,20 +39,29 @@ def pattern(p: str) -> str:
     return "(?i)" + p.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))").replace(r"\s", SPACE)
 
 
+def stopped(question: Column) -> Column:
+    """Why the input check stops a question, NULL where it passes: the first rule that it breaks, trimmed."""
+
+    def reason(q: Column) -> Column:
+        found = F.when(F.length(q) == 0, "empty").when(F.length(q) > MAX_QUESTION, f"exceeds-{MAX_QUESTION}-chars")
+        for name, p in INJECTIONS.items():
+            found = found.when(q.rlike(pattern(p)), name)
+        return found
+
+    return once(trimmed(question), reason)
+
+
 def input_guard(question: Column) -> Column:
-    """struct(ok, rule, reason): the first rule that the trimmed question breaks."""
-    q = trimmed(question)
-    rule = F.when(F.length(q) == 0, "length").when(F.length(q) > MAX_QUESTION, "length")
-    reason = F.when(F.length(q) == 0, "empty").when(F.length(q) > MAX_QUESTION, f"exceeds-{MAX_QUESTION}-chars")
-    for name, p in INJECTIONS.items():
-        reason = reason.when(q.rlike(pattern(p)), name)
-    return F.struct(reason.isNull().alias("ok"), F.coalesce(rule, F.when(reason.isNotNull(), "injection")).alias("rule"), reason.alias("reason"))
+    """struct(ok, rule, reason): the first rule that the trimmed question breaks. The rules are tried once."""
+    long = F.lit(f"exceeds-{MAX_QUESTION}-chars")
+    rule = lambda r: F.when(r.isin("empty", long), "length").when(r.isNotNull(), "injection")
+    return once(stopped(question), lambda r: F.struct(r.isNull().alias("ok"), rule(r).alias("rule"), r.alias("reason")))
 
 
 def refused(question: Column) -> Column:
     """The record of a run that the input check stops: no step, no cost; NULL where it passes."""
-    g = input_guard(question)
-    return F.when(~g["ok"], F.struct(F.lit("guard").alias("stop"), g["reason"].alias("reason"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("cost")))
+    record = lambda r: F.struct(F.lit("guard").alias("stop"), r.alias("reason"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("cost"))
+    return once(stopped(question), lambda r: F.when(r.isNotNull(), record(r)))
 
 
 def citations(answer: Column) -> Column:
@@ -69,19 +78,23 @@ def abstains(answer: Column) -> Column:
 
 
 def output_guard(answer: Column, allowed: Column | None = None) -> Column:
-    """struct(ok, abstained, cited, issues) of an answer that may cite only ``allowed``, if given."""
-    text = trimmed(F.coalesce(answer, F.lit("")))
-    ids, gone = citations(text), F.length(text) == 0
-    foreign = F.array().cast("array<string>") if allowed is None else F.array_except(ids, F.transform(allowed, lambda x: x.cast("string")))
-    issues = F.when(gone, F.array(F.lit("empty-article"))).otherwise(
-        F.array_compact(
+    """struct(ok, abstained, cited, issues) of an answer that may cite only ``allowed``, if given.
+    Text, ids and phrasings are looked for once each."""
+
+    def judged(x: Column) -> Column:
+        ids, gone, silent = x["ids"], x["gone"], x["silent"]
+        foreign = F.array().cast("array<string>") if allowed is None else F.array_except(ids, F.transform(allowed, lambda i: i.cast("string")))
+        found = F.array_compact(
             F.array(
-                F.when((F.size(ids) == 0) & ~abstains(text), "answered-without-citation"),
+                F.when((F.size(ids) == 0) & ~silent, "answered-without-citation"),
                 F.when(F.size(foreign) > 0, F.concat(F.lit("cites-unconsulted-chunks:"), F.array_join(foreign, ","))),
             )
         )
-    )
-    return F.struct((F.size(issues) == 0).alias("ok"), (~gone & abstains(text)).alias("abstained"), (F.size(ids) > 0).alias("cited"), issues.alias("issues"))
+        issues = F.when(gone, F.array(F.lit("empty-article"))).otherwise(found)
+        return once(issues, lambda i: F.struct((F.size(i) == 0).alias("ok"), (~gone & silent).alias("abstained"), (F.size(ids) > 0).alias("cited"), i.alias("issues")))
+
+    seen = lambda text: F.struct(citations(text).alias("ids"), (F.length(text) == 0).alias("gone"), abstains(text).alias("silent"))
+    return once(once(trimmed(F.coalesce(answer, F.lit(""))), seen), judged)
 
 
 def refusal_label(did: Column, should: Column) -> Column:

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10, 20)
 
 
-def covered(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Chunk rows joined to the spans whose midpoint they hold; keyed by source, then by range."""
-    mid = (F.col("span_start") + F.col("span_end")) / 2.0
-    return chunks.join(spans, "source").where((F.col("char_start") <= mid) & (mid < F.col("char_end")))
+#: Positions of a bin: spans and chunks of one source meet only where they share a bin.
+BIN = 4096
+
+
+def _bins(start: Column, end: Column, width: int) -> Column:
+    """The bins that [start, end) touches; that of its start where it is empty."""
+    first = F.floor(start / width)
+    return F.sequence(first, F.greatest(first, F.floor((end - 1) / width)))
 
 
-def overlapping(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Chunks that overlap any span of their source."""
-    s = spans.select(F.col("source").alias("span_source"), "span_start", "span_end")
-    on = (F.col("source") == F.col("span_source")) & (F.col("char_start") < F.col("span_end")) & (F.col("span_start") < F.col("char_end"))
-    return chunks.join(s, on, "left_semi")
+def covered(chunks: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
+    """Chunk rows joined to the spans of their source whose midpoint they hold.
+
+    A midpoint lies in one bin, a chunk in those it touches: an equi-join by source and bin, so a
+    source of very many chunks and spans is as many groups as it has bins, and no pair comes twice.
+    """
+    mid = (F.col("span_start") + F.col("span_end")) / 2.0
+    of = spans.withColumn("_bin", F.floor(mid / width))
+    held = chunks.withColumn("_bin", F.explode(_bins(F.col("char_start"), F.col("char_end"), width)))
+    return held.join(of, ["source", "_bin"]).where((F.col("char_start") <= mid) & (mid < F.col("char_end"))).drop("_bin")
+
+
+def overlapping(chunks: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
+    """Chunks that overlap any span of their source, each once, found by source and bin."""
+    s = spans.select(F.col("source").alias("span_source"), "span_start", "span_end", F.explode(_bins(F.col("span_start"), F.col("span_end"), width)).alias("_span_bin"))
+    # Rows are told apart by a number of their own, as equal rows may each be asked for.
+    held = chunks.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", F.explode(_bins(F.col("char_start"), F.col("char_end"), width)))
+    on = (F.col("source") == F.col("span_source")) & (F.col("_bin") == F.col("_span_bin")) & (F.col("char_start") < F.col("span_end")) & (F.col("span_start") < F.col("char_end"))
+    return held.join(s, on, "left_semi").drop("_bin").dropDuplicates(["_row"]).drop("_row")
 
 
 def recall(hits: DataFrame, golden: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:

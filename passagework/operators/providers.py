@@ -1,7 +1,7 @@
 """Model-bound steps as providers, with deterministic stand-ins that need no model.
 
-A provider is a function from a batch of strings (or pairs) to a batch of results; it is applied
-inside tasks, batch by batch. Stand-ins make every relational result reproducible.
+A provider is a function from the texts of a request to its results; it is applied inside tasks,
+request by request. Stand-ins make every relational result reproducible.
 """
 
 from __future__ import annotations
@@ -9,39 +9,81 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 
 
-def hashed_embedding(dimension: int = 64) -> Callable[[pd.Series], pd.Series]:
-    """Signed hashed counts of tokens, scaled to unit length."""
+#: Texts of one request. Prices are in ``cost``.
+BATCH = 100
 
-    def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dimension, np.float32)
-            for w in (t or "").lower().split():
+
+def hashed_embedding(dimension: int = 64) -> Callable[[list[str]], tuple[list[tuple[int, list[float]]], int]]:
+    """Signed hashed counts of tokens, scaled to unit length.
+
+    As a provider of vectors it takes the texts of one request and gives (position, vector) pairs, in
+    no certain order, and the request's tokens: here backwards, which callers must not notice.
+    """
+
+    def embed(texts: list[str]) -> tuple[list[tuple[int, list[float]]], int]:
+        out, tokens = [], 0
+        for i, t in enumerate(texts):
+            v, words_ = np.zeros(dimension, np.float32), t.lower().split()
+            for w in words_:
                 h = xxhash.xxh3_64_intdigest(w)
                 v[h % dimension] += 1 if h >> 63 else -1
-            out.append((v / max(float(np.linalg.norm(v)), 1e-9)).tolist())
-        return pd.Series(out)
+            tokens += len(words_)
+            out.append((i, (v / max(float(np.linalg.norm(v)), 1e-9)).tolist()))
+        return out[::-1], tokens
 
     return embed
 
 
-def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    f = embed or hashed_embedding()
-
-    @F.pandas_udf("array<float>")
-    def go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield f(s)
+def embedded(rows: DataFrame, text: str, embed: Callable | None = None, batch: int = BATCH) -> DataFrame:
+    """``rows`` with ``embedding``, ``dimension`` (learnt from the answer) and ``request``, a struct (id, size,
+    tokens) of the request that a row was in.
 
-    return rows.withColumn("embedding", go(F.col(text)))
+    Requests hold ``batch`` texts of a task, across Arrow batches; their answers are put back in order
+    by position. Usage comes with the rows, from the same pass: a request's figures are on each of
+    its rows, and on one of them, whose ``first`` is true, to be added up. A null text is empty.
+    """
+    f = embed or hashed_embedding()
+    kept = rows.columns
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def asked(own: pa.Table) -> pa.RecordBatch:
+            nonlocal n
+            texts = [x or "" for x in own[text].to_pylist()]
+            found, tokens = f(texts)
+            vectors = [v for _, v in sorted(found, key=lambda x: x[0])]
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(texts)} texts were sent, {len(vectors)} vectors came back")
+            k = len(texts)
+            n += 1
+            request = pa.StructArray.from_arrays([pa.array([(part << 32) + n] * k, pa.int64()), pa.array([k] * k, pa.int64()), pa.array([tokens] * k, pa.int64()), pa.array([i == 0 for i in range(k)])], ["id", "size", "tokens", "first"])
+            cols = [*(own[c].combine_chunks() for c in kept), pa.array(vectors, pa.list_(pa.float32())), pa.array([len(v) for v in vectors], pa.int32()), request]
+            return pa.record_batch([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*kept, "embedding", "dimension", "request"])
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= batch:
+                whole = pa.Table.from_batches(held)
+                full = size - size % batch
+                for at in range(0, full, batch):
+                    yield asked(whole.slice(at, batch))
+                held, size = whole.slice(full).to_batches(), size - full
+        if size:
+            yield asked(pa.Table.from_batches(held))
+
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(go, f"{types}, embedding array<float>, dimension int, request struct<id:bigint,size:bigint,tokens:bigint,first:boolean>")
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries of a block, and vectors of a corpus block; a task holds one of each and their product.
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+#: Blocks of queries that are broadcast, some 30 MB of 64 dimensions; more meet the corpus block by block.
+FEW_BLOCKS = 64
 
 
 def wrong_dimension(vectors: DataFrame, column: str, n: int) -> DataFrame:
@@ -49,6 +51,18 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None = Non
     no limit. Similarity is rounded to 6 places; ties fall to the smaller vec_id.
     """
 
+    # Dealt once: the tasks of the corpus read the blocks of queries, not the table they come from.
+    asked = _blocks(queries, "query_id", "vector", scope, QUERY_BLOCK).repartition(F.xxhash64("ids"))
+    if asked.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS:  # then a task a part of the corpus, not one a pair of parts
+        asked = F.broadcast(asked)
+    held = _blocks(corpus, "vec_id", "embedding", scope, CORPUS_BLOCK).toDF("own", "held", "within")
+    return best_of(meetings(held.crossJoin(asked), k, scope is not None, include_self), k)
+
+
+def meetings(pairs: DataFrame, k: int, scoped: bool = False, include_self: bool = False) -> DataFrame:
+    """(query_id, vec_id, similarity): the best ``k`` of each query in each pair of blocks (ids, vectors,
+    scopes) and (own, held, within); ties fall to the smaller vec_id."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
@@ -57,20 +71,24 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None = Non
                 sim = np.round(m @ v.T, 6)
                 if not include_self:
                     sim[ids[:, None] == own[None, :]] = -np.inf
-                if scope:
+                if scoped:
                     code: dict = {}
                     mine, theirs = (np.array([-1 - side if x is None else code.setdefault(x, len(code)) for x in b.column(c)[row].as_py()]) for side, c in enumerate(("scopes", "within")))
                     sim[mine[:, None] != theirs[None, :]] = -np.inf
-                best = [np.lexsort((own, -x))[:k] for x in sim]
-                best = [j[x[j] > -np.inf] for j, x in zip(best, sim, strict=True)]
-                of = np.repeat(np.arange(len(ids)), [len(j) for j in best])
+                # No sort of whole rows: all that reach the k-th value, which the ranking sorts.
+                last = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(ids), -np.inf)
+                of, to = np.nonzero((sim >= last[:, None]) & (sim > -np.inf))
                 if len(of):
-                    to = np.concatenate(best)
+                    order = np.lexsort((own[to], -sim[of, to], of))
+                    of, to = of[order], to[order]
+                    first = np.searchsorted(of, of)  # ties beyond k with the larger ids are dropped at once
+                    some = np.arange(len(of)) - first < k
+                    of, to = of[some], to[some]
                     yield pa.record_batch([pa.array(ids[of]), pa.array(own[to]), pa.array(sim[of, to])], names=["query_id", "vec_id", "similarity"])
 
-    # Dealt once: the tasks of the corpus read the blocks of queries, not the table they come from.
-    asked = _blocks(queries, "query_id", "vector", scope, QUERY_BLOCK).repartition(F.xxhash64("ids"))
-    held = _blocks(corpus, "vec_id", "embedding", scope, CORPUS_BLOCK).toDF("own", "held", "within")
-    best = held.crossJoin(asked).mapInArrow(go, "query_id long, vec_id long, similarity double")
+    return pairs.mapInArrow(go, "query_id long, vec_id long, similarity double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import guards, text as t
+from ..functions import answers, guards, text as t
 from ..operators import cost, evaluate, fusion, lexical, providers, retrieve as r, vector
 from ..sources.tables import known_or_fail, source_dimension, source_url, table
 from . import retrieval, scoring
@@ -403,14 +403,47 @@ def message_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Stand-in embeddings of all texts: how many have the asked dimension and unit length."""
-    rows = providers.embedded(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text").drop("text")
+    """Embeddings of all texts, asked for in requests of 32: their number by language, how many have the
+    learnt dimension and unit length, and of all languages together the tokens and cost of the requests."""
+    rows = providers.embedded(table(spark, sf, "documents").select("lang", "text"), "text", batch=32)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    wrong = vector.wrong_dimension(rows, "embedding", 64).groupBy("lang").agg(F.count("*").alias("wrong"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.abs(norm - 1) < 1e-4).alias("unit")).join(wrong, "lang", "left").select("lang", "n", "unit", F.coalesce("wrong", F.lit(0)).cast("long").alias("wrong"))
+    tokens = F.sum(F.when(F.col("request.first"), F.col("request.tokens")).otherwise(0))
+    told = rows.select("lang", "dimension", "request", norm.alias("norm"))
+    g = evaluate.with_total(told, "lang", F.count("*").alias("n"), F.count_if(F.abs(F.col("norm") - 1) < 1e-4).alias("unit"), F.count_if(F.col("dimension") != 64).alias("wrong"), tokens.alias("tokens"))
+    whole = F.col("lang") == "overall"  # a request holds texts of several languages
+    return g.select("lang", "n", "unit", "wrong", F.when(whole, F.col("tokens")).alias("tokens"), F.when(whole, F.round(cost.embedding_cost(F.col("tokens"), F.lit("small")) * 1e9).cast("long")).alias("cost_e9"))
+
+
+ANSWER = (answers.Field("category", allowed=("user", "assistant")), answers.Field("confidence", "number"), answers.Field("turn", "integer"), answers.Field("notes", required=False))
+
+
+def structured_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a declared form, some broken: what is read from each, by which form, and its faults.
+    A number without a fraction, as 1.0, is an integer."""
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    part = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
+    role, turn = F.col("role"), F.col("turn")
+    sound = part(category=role, confidence=turn / 4, turn=turn, notes=F.lit("n"), more=F.lit(True))
+    text = (
+        F.when(k == 1, part(confidence=turn / 4, turn=turn)).when(k == 2, part(category=role, confidence=F.lit("high"), turn=turn / 4)).when(k == 3, F.concat(F.lit("Here is my answer: "), "text"))
+        .when(k == 4, "  ").when(k == 5, F.substring(sound, 1, 20)).when(k == 6, "[1, 2]").when(k == 7, part(category=role, confidence=turn, turn=turn)).otherwise(sound)
+    )
+    second = F.when(k == 3, sound).when(k == 5, "{")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", answers.structured(text, ANSWER, second).alias("s"))
+    v = F.col("s.value")
+    return rows.select("conv_id", "turn", v["category"].alias("category"), v["confidence"].alias("confidence"), v["turn"].alias("said_turn"), v["notes"].alias("notes"), F.array_join("s.faults", ";").alias("faults"), F.col("s.form").alias("form"))
+
+
+def tool_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Calculator calls as a log holds them: every one has a value or an error that the model reads."""
+    i = F.col("event_id")
+    op = F.element_at(F.array(*map(F.lit, ("add", "subtract", "multiply", "divide", "power"))), (i % 5 + 1).cast("int"))
+    sent = F.when(i % 7 == 6, F.lit('{"operation": "add", "a": "one"}')).otherwise(F.to_json(F.struct(op.alias("operation"), F.col("user_id").alias("a"), (i % 3).alias("b"))))
+    r = answers.executed(F.when(i % 11 == 10, "divine").otherwise("calculate"), sent)
+    return table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", F.round("r.value", 6).alias("value"), "r.error")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts)}
+QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results)}
 
 TRIM = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 YEAR = "CASE WHEN year IS NULL THEN 'date unknown' WHEN year < 0 THEN '~' || (-year)::VARCHAR || ' BC' ELSE '~' || year::VARCHAR || ' AD' END"
@@ -501,6 +534,14 @@ SELECT {_all}, count(*)::BIGINT AS runs, round(avg(calls), 6) AS calls, round(av
 {_list(["end_turn", "max_tokens", "tool_use", "stop_sequence", "end_turn", "max_tokens", "tool_use", "unknown"])}[event_id % 8 + 1] AS stop, ([4096, 5120, 17408, 4096])[event_id % 4 + 1]::BIGINT AS most,
 round(CASE event_id % 5 WHEN 0 THEN user_id + event_id % 3 WHEN 1 THEN user_id - event_id % 3 WHEN 2 THEN user_id * (event_id % 3) WHEN 3 THEN user_id::DOUBLE / nullif(event_id % 3, 0) END::DOUBLE, 6) AS result,
 round(value * 1000 / 1024)::BIGINT AS kb, '$' || printf('%.6f', round(value, 2)) AS dollars, CASE WHEN event_id % 4 = 0 THEN '-' ELSE printf('%.1f%%', round(value / 1000, 3) * 100) END AS share, event_type IN ('click', 'view') AS known FROM events""",
+    "embedded_texts": f"""SELECT {_all.replace('category', 'lang')}, count(*)::BIGINT AS n, count(*) FILTER (w > 0)::BIGINT AS unit, 0::BIGINT AS wrong, CASE WHEN grouping(lang) = 1 THEN sum(w)::BIGINT END AS tokens, CASE WHEN grouping(lang) = 1 THEN round(sum(w) * 0.02 / 1e6 * 1e9)::BIGINT END AS cost_e9
+FROM (SELECT lang, len(regexp_extract_all(text, '[^\\s\\x{{00A0}}\\x{{0085}}\\x{{3000}}]+')) AS w FROM documents) GROUP BY ROLLUP (lang)""",
+    "structured_answers": """WITH a AS (SELECT conv_id, turn, role, (conv_id * 3 + turn) % 8 AS k, CASE WHEN role IN ('user', 'assistant') THEN role END AS ok, CASE WHEN role NOT IN ('user', 'assistant') THEN 'not-allowed:category' END AS bad FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (0, 2, 3, 7) THEN ok END AS category, CASE WHEN k IN (0, 1, 3) THEN turn / 4.0::DOUBLE WHEN k = 7 THEN turn::DOUBLE END AS confidence, CASE WHEN k IN (0, 1, 3, 7) THEN turn WHEN k = 2 AND turn % 4 = 0 THEN turn // 4 END AS said_turn, CASE WHEN k IN (0, 3) THEN 'n' END AS notes,
+CASE k WHEN 1 THEN 'missing:category' WHEN 2 THEN concat_ws(';', bad, 'wrong-type:confidence', CASE WHEN turn % 4 <> 0 THEN 'wrong-type:turn' END) WHEN 4 THEN 'empty content' WHEN 5 THEN 'json-parse' WHEN 6 THEN 'not-an-object' ELSE coalesce(bad, '') END AS faults, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS form FROM a""",
+    "tool_results": """WITH e AS (SELECT event_id, user_id::DOUBLE AS a, (event_id % 3)::DOUBLE AS b, event_id % 5 AS op, CASE WHEN event_id % 11 = 10 THEN 'Model called unknown tool "divine". Available: calculate' WHEN event_id % 7 = 6 THEN 'ERROR: Invalid input for tool "calculate". wrong-type:a, missing:b'
+ WHEN event_id % 5 = 4 THEN 'ERROR: Invalid input for tool "calculate". not-allowed:operation' WHEN event_id % 5 = 3 AND event_id % 3 = 0 THEN 'ERROR executing tool "calculate": Division by zero' END AS error FROM events)
+SELECT event_id, CASE WHEN error IS NULL THEN round(CASE op WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a / b END, 6) END AS value, error FROM e""",
     "message_functions": """SELECT conv_id, turn, md5(text || role) AS blocks, CASE WHEN (conv_id + turn) % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS messages, CASE WHEN (conv_id + turn) % 3 = 0 THEN role ELSE 'user' END AS last_role, md5('    ' || replace(text, chr(10), chr(10) || '    ')) AS indented,
 CASE WHEN (conv_id + turn) % 2 = 0 THEN 'none' ELSE role END AS reasoning, 'http://h/v1' AS url, role || ':' || turn::VARCHAR AS key FROM conversations""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import fusion, inverted, lexical, providers, vector
+from ..operators import cells, fusion, inverted, lexical, providers, vector
 from ..sources import store
 from ..sources.tables import table
 
@@ -65,6 +65,25 @@ def knn_verdict_every(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(e, _every(e))
 
 
+def _cells(spark: SparkSession, sf: str) -> str:
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return store.built_once(e, "cells", lambda at: cells.build(e, at))
+
+
+def ann_every_cell(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored vector index with all its cells: the exact way, which shows that no row is lost in it."""
+    return cells.top_k(spark, _cells(spark, sf), _every(table(spark, sf, "embeddings")), 5, probes=cells.MOST_CELLS)
+
+
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the first ten by the nearest cells against the exact scan, and whether nine tenths are reached."""
+    e = table(spark, sf, "embeddings")
+    asked = _every(e)
+    near = cells.top_k(spark, _cells(spark, sf), asked, TOP).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    g = vector.top_k(asked, e, TOP).select("query_id", "vec_id").join(near, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") / F.count("*")).alias("recall"))
+    return g.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def vector_dim_check(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -137,7 +156,7 @@ def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, ann_every_cell, ann_recall, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
 QUERIES |= {f"{f.__name__}_whole": f for f in (bm25_topk, rrf_multi_query, parent_dedupe, rerank_lexical)}  # earlier names of the same plans
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -195,6 +214,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_r
 
 SQL |= {
     "knn_topk_every": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
+    "ann_every_cell": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
+    "ann_recall": "SELECT count(*)::BIGINT AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "knn_scoped_every": f"WITH {knn(5, True, EVERY)} SELECT * FROM near",
     "knn_verdict_every": SQL["knn_probe_verdict"].replace(PROBES, EVERY),
     "rrf_hybrid_every": SQL["rrf_hybrid"].replace(PROBES, EVERY),

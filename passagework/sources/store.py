@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import writers
@@ -105,8 +107,69 @@ def upsert_into(new: DataFrame, path: str, key: list[str], buckets: int = 64) ->
 # -- chunks -----------------------------------------------------------------------------------------
 
 
+#: Names of sources up to this number become a filter on folders, more are joined.
+FEW_SOURCES = 1000
+
+
 def stored_chunks(spark: SparkSession, path: str, version: str, sources: DataFrame | None = None) -> DataFrame:
-    """Chunks of one version, of the named sources if given: partition columns, so that only their
-    files are read; the sources' ids prune at run time."""
+    """Chunks of one version, of the named sources if given: both are folders, so that only their files are read."""
     rows = spark.read.parquet(path).where(F.col("chunking_version") == version)
-    return rows if sources is None else rows.join(F.broadcast(sources.select("source_id").distinct()), "source_id") if sources.limit(10_001).count() <= 10_000 else rows.join(sources.select("source_id").distinct(), "source_id")
+    if sources is None:
+        return rows
+    names = sources.select("source_id").distinct()
+    few = [r["source_id"] for r in names.limit(FEW_SOURCES + 1).collect()]
+    return rows.where(F.col("source_id").isin(few)) if len(few) <= FEW_SOURCES else rows.join(names, "source_id", "left_semi")
+
+
+# -- notes ------------------------------------------------------------------------------------------
+
+
+def noted(chunks: DataFrame, path: str, make: Callable[[str, str], str], unit: int = 50, tries: int = 3) -> DataFrame:
+    """The notes of all ``chunks`` (key, profile, text), those written before as they are, the others made now.
+
+    Work is dealt by profile and sorted within a task, so a task asks one profile after another. Each
+    task writes its finished rows in units of ``unit`` as files of their own: a run that stops half way
+    has kept them, and the next takes up what isn't there. A call that fails is tried again; after
+    ``tries`` the note is empty. Each row tells its tries and the last message.
+    """
+    spark = chunks.sparkSession
+    schema = "key string, profile string, note string, tries int, message string"
+    done = there(spark, path, schema)
+    todo = chunks.join(done.select("key"), "key", "left_anti").select("key", "profile", "text")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, profile, text in zip(*(b.column(c).to_pylist() for c in ("key", "profile", "text")), strict=True):
+                note, message, n = None, None, 0
+                while note is None and n < tries:
+                    n += 1
+                    try:
+                        note = make(profile, text)
+                    except Exception as e:  # noqa: BLE001  a failed call is a value, its row stays
+                        message = str(e)
+                out.append((key, profile, note or "", n, message))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["key", "profile", "note", "tries", "message"])
+
+    # A commit each unit of every task: one unit of all tasks a round, until nothing is left.
+    rank = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("profile", "key"))
+    placed = written(todo.repartition("profile", F.pmod(F.xxhash64("key"), F.lit(8))).withColumn("round", F.floor((rank - 1) / unit)))
+    last = placed.agg(F.max("round")).first()[0]
+    for k in range(-1 if last is None else last + 1):
+        one = placed.where(F.col("round") == k).repartition("profile", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("profile", "key")
+        one.drop("round").mapInArrow(asked, schema).write.mode("append").parquet(path)
+    return there(spark, path, schema).join(chunks.select("key"), "key", "left_semi")
+
+
+# -- runs -------------------------------------------------------------------------------------------
+
+
+def write_run(results: DataFrame, path: str, costs: list[str]) -> dict[str, float]:
+    """Write a run's rows, one struct a question, as JSON; their number and cost totals from the same pass.
+
+    Missing costs count as nothing. The totals are observed while rows are written, not read again.
+    """
+    seen = Observation("run")
+    told = results.observe(seen, F.count("*").alias("questions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in costs))
+    told.write.mode("overwrite").json(path)
+    return seen.get

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import fusion, inverted, lexical
-from passagework.sources import store
+from passagework.operators import cells, evaluate, fusion, inverted, lexical, vector
+from passagework.sources import store, writers
 
 
 def corpus(spark, ids, seed=1):
@@ -53,3 +54,149 @@ def test_a_failed_append_leaves_nothing_searched(spark, tmp_path, monkeypatch):
     made = spark.read.parquet(f"{path}/postings").limit(20).withColumn("block", F.lit("of an append that ended before its last step"))
     made.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     assert best(inverted.search(spark, path, terms, "query_id", "doc_id", 5), 5) == before
+
+
+# -- the vector index -------------------------------------------------------------------------------
+
+
+def vectors(spark, n, clusters=12, seed=3):
+    r = np.random.default_rng(seed)
+    mid = r.normal(size=(clusters, 16))
+    v = mid[r.integers(0, clusters, n) * (r.random(n) < 0.7)] + 0.35 * r.normal(size=(n, 16))  # over a third in one cluster
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(n, None), (None, v[0].tolist())], "vec_id long, embedding array<float>")
+
+
+def test_cells_hold_every_row_and_find_most_neighbours(spark, tmp_path):
+    e, path = vectors(spark, 1500), f"file://{tmp_path}/cells"
+    cells.build(e, path)
+    q = e.where("vec_id % 20 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "vec_id", "similarity", "rank").collect())
+    exact = rows(vector.top_k(q, e, 10))
+    assert rows(cells.top_k(spark, path, q, 10, probes=cells.MOST_CELLS)) == exact
+    near = {x[:2] for x in rows(cells.top_k(spark, path, q, 10))}
+    assert len(near & {x[:2] for x in exact}) >= 0.9 * len(exact)
+    n, probes = spark.read.parquet(f"{path}/centroids").count(), spark.read.parquet(f"{path}/probes").first()[0]
+    assert probes < n / 2  # clustered vectors need few cells
+    plan = cells.top_k(spark, path, q, 10)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan  # only folders of asked cells are read
+
+
+def test_empty_vector_index(spark, tmp_path):
+    e = vectors(spark, 3)
+    cells.build(e.limit(0), f"file://{tmp_path}/none")
+    assert cells.top_k(spark, f"file://{tmp_path}/none", e.selectExpr("vec_id query_id", "embedding vector"), 3).collect() == []
+    cells.build(e.limit(1), f"file://{tmp_path}/one")
+    assert cells.top_k(spark, f"file://{tmp_path}/one", e.limit(2).selectExpr("vec_id query_id", "embedding vector"), 3).count() == 1
+
+
+# -- upserts ----------------------------------------------------------------------------------------
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path, cols = f"file://{tmp_path}/t", "k long, v string"
+    make = lambda rows: spark.createDataFrame(rows, cols)
+    shown = lambda: sorted(tuple(r) for r in store.current(spark, path, cols).collect())
+    assert shown() == []
+    assert len(store.upsert_into(make([(i, "old") for i in range(100)]), path, ["k"], 16)) == 16
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    new = make([(3, "new"), (3000, "added")])
+    touched = store.upsert_into(new, path, ["k"], 16)
+    assert 1 <= len(touched) <= 2
+    assert shown() == sorted([(i, "new" if i == 3 else "old") for i in range(100)] + [(3000, "added")])
+    assert all(p.stat().st_mtime_ns == at for p, at in files.items())  # readers of the old state keep it
+    fresh = {p.parent.name for p in set(tmp_path.rglob("*.parquet")) - set(files)}
+    assert fresh == {f"bucket={b}" for b in touched}
+    assert store.upsert_into(new, path, ["k"], 16) == []  # a rerun changes nothing
+    assert len(list(tmp_path.rglob("lists/*"))) == 2
+
+
+def test_upsert_that_fails_changes_nothing(spark, tmp_path):
+    path, cols = f"file://{tmp_path}/t", "k long, v string"
+    store.upsert_into(spark.createDataFrame([(1, "a"), (2, "b")], cols), path, ["k"], 4)
+    bad = spark.createDataFrame([(1, "x"), (2, "y")], cols).withColumn("v", F.when(F.col("k") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert_into(bad, path, ["k"], 4)
+    assert sorted(tuple(r) for r in store.current(spark, path, cols).collect()) == [(1, "a"), (2, "b")]
+
+
+# -- chunks -----------------------------------------------------------------------------------------
+
+
+def test_stored_chunks_are_pruned_by_version_and_source(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    rows = [(i, f"s{i % 5}", ("naive-v1", "contextual-v1")[i % 2], [float(i)]) for i in range(40)]
+    writers.write_chunks(spark.createDataFrame(rows, "chunk_id long, source_id string, chunking_version string, embedding array<double>"), path)
+    one = store.stored_chunks(spark, path, "naive-v1")
+    assert {r["chunk_id"] for r in one.collect()} == {i for i in range(0, 40, 2)}
+    assert "PartitionFilters: [isnotnull(chunking_version" in one._jdf.queryExecution().toString()
+    files = {r[0] for r in one.select("_metadata.file_path").collect()}
+    assert len(files) == 5 and all("chunking_version=naive-v1/" in f for f in files)
+    own = store.stored_chunks(spark, path, "naive-v1", spark.createDataFrame([("s2",)], "source_id string"))
+    assert {r["chunk_id"] for r in own.collect()} == {2, 12, 22, 32}
+    files = {r[0] for r in own.select("_metadata.file_path").collect()}
+    assert len(files) == 1 and "source_id=s2/" in files.pop()
+
+
+# -- intervals --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_interval_joins_equal_all_pairs(spark, width):
+    r = random.Random(width)
+    some = lambda n, most: [(f"s{r.randint(0, 2)}", a, a + r.randint(0, most)) for a in (r.randint(-20, 200) for _ in range(n))]
+    chunks, spans = some(60, 40) + [("s0", 5, 5), ("s0", 0, 300), (None, 0, 9)], some(40, 25) + [(None, 1, 4), ("s0", 8, 8)]
+    chunks += chunks[:3]  # repeated rows
+    c = spark.createDataFrame(chunks, "source string, char_start long, char_end long")
+    s = spark.createDataFrame([(*x, i) for i, x in enumerate(spans)], "source string, span_start long, span_end long, span int")
+    same = lambda x, y: x[0] is not None and x[0] == y[0]
+    got = sorted((x["source"], x["char_start"], x["char_end"], x["span"]) for x in evaluate.covered(c, s, width).collect())
+    assert got == sorted((*x, i) for x in chunks for i, y in enumerate(spans) if same(x, y) and x[1] <= (y[1] + y[2]) / 2 < x[2])
+    got = sorted(tuple(x) for x in evaluate.overlapping(c, s, width).collect())
+    assert got == sorted(x for x in chunks if any(same(x, y) and x[1] < y[2] and y[1] < x[2] for y in spans))
+
+
+def test_one_large_source_is_many_groups(spark):
+    n = 100_000
+    c = spark.range(n).select(F.lit("one").alias("source"), (F.col("id") * 50).alias("char_start"), (F.col("id") * 50 + 60).alias("char_end"))
+    s = spark.range(n).select(F.lit("one").alias("source"), (F.col("id") * 50 + 3).alias("span_start"), (F.col("id") * 50 + 9).alias("span_end"))
+    assert evaluate.covered(c, s).count() == 2 * n - 1  # each span lies in its chunk and in the overlap of the one before
+    keys = c.select(F.explode(evaluate._bins(F.col("char_start"), F.col("char_end"), evaluate.BIN)).alias("b")).groupBy("b").count()
+    assert keys.count() > 1000 and keys.agg(F.max("count")).first()[0] < 200
+
+
+# -- notes and runs ---------------------------------------------------------------------------------
+
+
+def test_a_note_run_that_stops_half_way_is_taken_up(spark, tmp_path):
+    path, log = f"file://{tmp_path}/notes", str(tmp_path / "asked")
+    rows = [(f"s:{i}", f"p{i % 3}", f"text {i}") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "key string, profile string, text string")
+
+    def make(profile, text, fails=()):
+        with open(log, "a") as f:  # appended to by all tasks of this machine
+            f.write(f"{profile}|{text}\n")
+        if text in fails:
+            raise ValueError("HTTP 503")
+        return f"{profile} says {text}"
+
+    store.noted(chunks.where("key in ('s:1', 's:2', 's:3')"), path, make, unit=2)  # what a stopped run had kept
+    with open(log, "w"):
+        pass
+    found = {r["key"]: r for r in store.noted(chunks, path, lambda p, t: make(p, t, ("text 7",)), unit=4).collect()}
+    asked = [x.strip().split("|")[1] for x in open(log)]
+    assert sorted(set(asked)) == sorted(t for k, _, t in rows if k not in ("s:1", "s:2", "s:3"))
+    assert asked.count("text 7") == 3 and len(asked) == 57 + 2
+    assert len(found) == 60 and (found["s:7"]["note"], found["s:7"]["tries"], found["s:7"]["message"]) == ("", 3, "HTTP 503")
+    assert found["s:8"]["note"] == "p2 says text 8" and found["s:8"]["tries"] == 1
+    before = len(asked)
+    assert store.noted(chunks, path, make).count() == 60 and len(open(log).readlines()) == before  # a rerun asks nothing
+    assert store.noted(chunks.limit(0), f"file://{tmp_path}/none", make).count() == 0
+
+
+def test_run_totals_come_with_its_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    rows = [(f"q{i}", {"faithfulness": float(i)}, None if i == 2 else i * 10, 1) for i in range(4)]
+    run = spark.createDataFrame(rows, "id string, generation struct<faithfulness:double>, generator int, judge int")
+    assert store.write_run(run, path, ["generator", "judge"]) == {"questions": 4, "generator": 40, "judge": 4}
+    assert {r["id"]: r["generation"]["faithfulness"] for r in spark.read.json(path).collect()} == {f"q{i}": float(i) for i in range(4)}
+    assert store.write_run(run.limit(0), path, ["generator"]) == {"questions": 0, "generator": 0}
