@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, guards, text as t
 from ..operators import cost, evaluate, fusion, lexical, providers, retrieve as r, vector
+from ..sources import store, writers
 from ..sources.tables import known_or_fail, source_dimension, source_url, table
 from . import retrieval, scoring
 from .corpus import DIM, S
@@ -102,11 +103,13 @@ def distinct_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(files, "file").select("doc_id", "url")
 
 
+# The wordings of prompts and lists below are fixed values: what a model reads must be the same.
+
 # -- prompts --------------------------------------------------------------------------------------
 
 
 def _shown(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("question"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     return _vector(spark, sf).join(q, "query_id")
 
 
@@ -114,7 +117,7 @@ def user_message(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered sources, then the question; a question without sources says so."""
     meta = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "author", F.lit(", "), "title", F.lit(" ("), t.year(F.col("year")), F.lit("), "), "chapter", F.lit("\n"), t.trimmed(F.col("text")), F.lit("\n"))
     blocks = _shown(spark, sf).groupBy("query_id").agg(r.ordered(meta).alias("b"))
-    q = _asked(spark, sf).select("query_id", F.substring_index("question", "\n", 1).alias("question"))
+    q = _asked(spark, sf).select("query_id", "question")
     body = F.when(F.col("b").isNull(), F.concat(F.lit("Question: "), "question", F.lit("\n\n(No sources were retrieved for this question.)"))).otherwise(F.concat(F.lit("Sources:\n\n"), "b", F.lit("\nQuestion: "), "question"))
     return q.join(blocks, "query_id", "left").select("query_id", F.md5(body).alias("digest"))
 
@@ -176,9 +179,24 @@ def prefix_completion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a question's spans that the union of what was consulted covers, whatever its rank."""
-    s = scoring._golden(spark, sf)
-    return s.select("question", "category", "spans", F.when(F.col("spans") > 0, F.round("r20", 6)).alias("coverage"))
+    """Share of a question's spans that the union of what its searches consulted covers, whatever the rank.
+
+    Three searches, by the question and by it without its first and without its last word, of five
+    documents each; a document that several give counts once. Without spans there is no share.
+    """
+    lists = [retrieval._lexical(spark, sf, retrieval._whole(spark, sf, *ends), 5).select(F.col("query_id").alias("question"), F.col("doc_id").alias("source")) for ends in SEARCHES]
+    consulted = lists[0].union(lists[1]).union(lists[2]).distinct()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.lit(0).cast("long").alias("char_start"), F.col("n_chars").alias("char_end"))
+    spans = scoring.gold(spark, sf).withColumnRenamed("doc_id", "source")
+    hit = evaluate.covered(consulted.join(docs, "source"), spans).where("question = item_id").groupBy("question").agg(F.count("*").alias("hits"))
+    n = spans.groupBy(F.col("item_id").alias("question")).agg(F.count("*").alias("spans"))
+    category = F.element_at(F.array(*map(F.lit, scoring.CATEGORIES)), (F.col("item_id") % 6 + 1).cast("int"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), category.alias("category"))
+    rows = items.join(n, "question", "left").join(hit, "question", "left")
+    return rows.select("question", "category", F.coalesce("spans", F.lit(0)).alias("spans"), F.when(F.col("spans") > 0, F.round(F.coalesce("hits", F.lit(0)) / F.col("spans"), 6)).alias("coverage"))
+
+
+SEARCHES = ((0, 0), (1, 0), (0, 1))
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,7 +461,64 @@ def tool_results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", F.round("r.value", 6).alias("value"), "r.error")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results)}
+# -- stored tables --------------------------------------------------------------------------------
+
+
+def retrieve_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval over the stored chunks of one version: of the others no file is read."""
+    chunks = _chunks(spark, sf)
+    path = store.built_once(table(spark, sf, "documents"), "chunks", lambda at: writers.write_chunks(chunks, at))
+    own = store.stored_chunks(spark, path, "naive-v1")
+    return r.retrieve(_asked(spark, sf), own, _sources(spark, sf)).select(*PROJECTION)
+
+
+def upsert_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table of balances after two upserts and a rerun of the second, which changes nothing."""
+    old = table(spark, sf, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("balance"))
+    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("balance"))
+
+    def build(at: str) -> None:
+        for rows in (old, new, new):
+            store.upsert_into(rows, at, ["c_custkey"], 16)
+
+    path = store.built_once(table(spark, sf, "customer").unionByName(table(spark, sf, "orders"), allowMissingColumns=True), "balances", build)
+    return store.current(spark, path, "c_custkey long, balance double")
+
+
+def note_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes of all documents by a run that found those of every third one made; what it tried is told."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("s:"), F.col("doc_id").cast("string")).alias("key"), F.coalesce("lang", F.lit("none")).alias("profile"), "text")
+
+    def note(profile: str, text: str) -> str:
+        if len(text) % 11 == 0:
+            raise ValueError("HTTP 503")
+        return f"{profile} {len(text)}"
+
+    def build(at: str) -> None:
+        for part in (docs.where("substring(key, 3) % 3 = 0"), docs):
+            store.noted(part, at, note, unit=10_000)
+
+    path = store.built_once(table(spark, sf, "documents"), "notes", build)
+    return store.there(spark, path, "key string, profile string, note string, tries int, message string").select("key", "note", F.col("tries").cast("long").alias("tries"), "message")
+
+
+def stored_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's results, written as one struct a question and read back, with the totals that were seen in writing."""
+    s = scoring._golden(spark, sf)
+    recall = F.struct(*(F.col(f"r{k}").alias(f"k{k}") for k in evaluate.CUTS))
+    rows = s.select(F.col("question").alias("id"), "category", recall.alias("recallAtK"), F.col("rr").alias("mrr"), (F.col("question") % 5).alias("generatorCost"))
+
+    def build(at: str) -> None:
+        seen = store.write_run(rows, f"{at}/results", ["generatorCost"])
+        spark.createDataFrame([(seen["questions"], seen["generatorCost"])], "questions long, total long").write.json(f"{at}/totals")
+
+    path = store.built_once(table(spark, sf, "benchmark").select("item_id"), "run", build)
+    found = spark.read.schema("id long, category string, recallAtK struct<" + ",".join(f"k{k}:double" for k in evaluate.CUTS) + ">, mrr double, generatorCost long").json(f"{path}/results")
+    totals = spark.read.schema("questions long, total long").json(f"{path}/totals")  # one row
+    return found.join(F.broadcast(totals)).select("id", "category", F.round("recallAtK.k5", 6).alias("r5"), F.round("recallAtK.k20", 6).alias("r20"), F.round("mrr", 6).alias("rr"), "questions", "total")
+
+
+QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results, retrieve_stored, upsert_stored, note_run, stored_results)}
 
 TRIM = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 YEAR = "CASE WHEN year IS NULL THEN 'date unknown' WHEN year < 0 THEN '~' || (-year)::VARCHAR || ' BC' ELSE '~' || year::VARCHAR || ' AD' END"
@@ -499,9 +574,9 @@ SELECT item_id, (generate_subscripts(v, 1) - 1)::BIGINT AS at, md5(unnest(v)) AS
     "chunk_lookup": f"WITH {CHUNKS} SELECT chunk_id, c.slug, {CITED} AS citation, {YEAR} AS written, md5(text) AS digest FROM ch c JOIN src s ON s.slug = c.slug JOIN labels ON doc_id = chunk_id",
     "manifest_lookup": f"WITH {DIM} SELECT source, count(*)::BIGINT AS docs, any_value(title) AS title FROM documents JOIN dim USING (source) GROUP BY 1",
     "distinct_fetch": "SELECT doc_id, 'https://example.org/texts/' || (doc_id % 50)::VARCHAR || '/' || (doc_id % 50)::VARCHAR || '.txt' AS url FROM documents",
-    "user_message": f"WITH {SHOWN}, b AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || author || ', ' || title || ' (' || {YEAR} || '), ' || chapter || chr(10) || {TRIM('text')} || chr(10), chr(10) ORDER BY rank) AS b FROM sh GROUP BY 1) SELECT query_id, md5('Sources:' || chr(10) || chr(10) || b || chr(10) || 'Question: ' || string_split(question, chr(10))[1]) AS digest FROM qs JOIN b USING (query_id)",
+    "user_message": f"WITH {SHOWN}, b AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || author || ', ' || title || ' (' || {YEAR} || '), ' || chapter || chr(10) || {TRIM('text')} || chr(10), chr(10) ORDER BY rank) AS b FROM sh GROUP BY 1) SELECT query_id, md5('Sources:' || chr(10) || chr(10) || b || chr(10) || 'Question: ' || question) AS digest FROM qs JOIN b USING (query_id)",
     "result_list": f"WITH {SHOWN} SELECT query_id, md5('Found ' || count(*)::VARCHAR || ' chunk(s):' || chr(10) || chr(10) || string_agg('[' || chunk_id::VARCHAR || '] ' || {CITED} || chr(10) || '    \"' || substring(trim(regexp_replace(text, '{S}+', ' ', 'g')), 1, 200) || '…\"', chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Call read_chunk(chunk_id) for the full text before citing.') AS digest FROM sh GROUP BY 1",
-    "faithfulness_prompt": f"WITH {SHOWN}, p AS (SELECT query_id, string_agg(chr(10) || '[' || rank::VARCHAR || '] ' || {CITED} || chr(10) || {TRIM('text')}, chr(10) ORDER BY rank) AS a, string_agg(chr(10) || '[' || chunk_id::VARCHAR || '] ' || {CITED} || chr(10) || {TRIM('text')}, chr(10) ORDER BY rank) AS b FROM sh GROUP BY 1), q AS (SELECT query_id, string_split(question, chr(10))[1] AS q FROM qs) SELECT query_id, "
+    "faithfulness_prompt": f"WITH {SHOWN}, p AS (SELECT query_id, string_agg(chr(10) || '[' || rank::VARCHAR || '] ' || {CITED} || chr(10) || {TRIM('text')}, chr(10) ORDER BY rank) AS a, string_agg(chr(10) || '[' || chunk_id::VARCHAR || '] ' || {CITED} || chr(10) || {TRIM('text')}, chr(10) ORDER BY rank) AS b FROM sh GROUP BY 1), q AS (SELECT query_id, question AS q FROM qs) SELECT query_id, "
     + ", ".join(f"md5('Question:' || chr(10) || q || chr(10) || chr(10) || 'Source passages:' || chr(10) || {c} || chr(10) || chr(10) || 'Candidate answer:' || chr(10) || q) AS {n}" for c, n in (("a", "by_rank"), ("b", "by_id")))
     + " FROM p JOIN q USING (query_id)",
     "judge_prompts": "SELECT doc_id, md5(concat_ws(chr(10), 'Question:', source, '', 'Ideal answer:', lang, '', 'Candidate answer:', text)) AS completeness, md5('Candidate answer:' || chr(10) || text) AS refusal FROM documents",
@@ -509,7 +584,11 @@ SELECT item_id, (generate_subscripts(v, 1) - 1)::BIGINT AS at, md5(unnest(v)) AS
     "tag_blocks": "SELECT doc_id, md5(" + " || chr(10) || chr(10) || ".join(f"'<{n}>' || replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{n}>'" for n, c in (("context", "text"), ("question", "source"), ("n", "n_chars::VARCHAR"))) + ") AS digest FROM documents",
     "source_index": f"WITH {DIM}, n AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS parts FROM documents GROUP BY 1) SELECT source, '- **' || title || '** by ' || author || ' (' || {YEAR} || '): ' || n::VARCHAR || ' chunks in ' || parts::VARCHAR AS line, row_number() OVER (ORDER BY year ASC NULLS LAST, source)::BIGINT AS place FROM dim JOIN n USING (source)",
     "prefix_completion": "WITH s AS (SELECT DISTINCT source, substring(source, 1, 2) AS prefix FROM documents WHERE source IS NOT NULL) SELECT prefix, string_agg(source, ',' ORDER BY source) AS sources FROM s GROUP BY 1",
-    "gold_coverage": f"WITH {scoring.GOLDEN} SELECT question, i.category, i.spans::BIGINT AS spans, round(recall, 6) AS coverage FROM rec JOIN items i USING (question) WHERE k = 20",
+    "gold_coverage": f"""WITH {scoring.GOLD}, {', '.join(bm25(f'v{i}', retrieval.whole(*ends), 5) for i, ends in enumerate(SEARCHES))},
+u AS ({' UNION '.join(f'SELECT query_id, doc_id FROM v{i}' for i in range(len(SEARCHES)))}),
+n AS (SELECT item_id, count(*)::BIGINT AS spans FROM gold GROUP BY 1),
+h AS (SELECT g.item_id, count(*) AS hits FROM gold g JOIN u ON u.query_id = g.item_id AND u.doc_id = g.doc_id GROUP BY 1)
+SELECT m.item_id AS question, CASE m.item_id % 6 {scoring._case} END AS category, coalesce(spans, 0)::BIGINT AS spans, CASE WHEN spans > 0 THEN round(coalesce(hits, 0) / spans::DOUBLE, 6) END AS coverage FROM benchmark m LEFT JOIN n USING (item_id) LEFT JOIN h USING (item_id)""",
     "run_rollup": f"WITH {GRADED} SELECT {_all}, count(*)::BIGINT AS n, count(faithfulness)::BIGINT AS answered, round(avg(faithfulness), 6) AS faithfulness, round(avg(completeness), 6) AS completeness, round(avg(correct::INT), 6) AS refusals_right, sum(coalesce(generator, 0))::BIGINT AS generator_cost, sum(coalesce(judge, 0))::BIGINT AS judge_cost FROM gr GROUP BY ROLLUP (category)",
     "error_isolation": f"WITH {GRADED} SELECT error, count(*)::BIGINT AS n, error LIKE '%503%' AS again, false AS other_form FROM gr WHERE error IS NOT NULL GROUP BY 1",
     "rejudge": f"WITH {GRADED}, g AS (SELECT {_all}, count(*)::BIGINT AS n, avg(completeness) AS a, avg(5 - 3 * toxic) AS b, count(*) FILTER (5 - 3 * toxic > completeness)::BIGINT AS up, count(*) FILTER (5 - 3 * toxic < completeness)::BIGINT AS down FROM gr WHERE error IS NULL GROUP BY ROLLUP (category)) SELECT category, n, round(a, 6) AS old, round(b, 6) AS new, round(b - a, 6) AS delta, CASE WHEN round(b - a, 6) >= 0 THEN '+' ELSE '-' END || printf('%.2f', abs(round(round(b - a, 6), 2))) AS shown, up, down FROM g",
@@ -539,6 +618,12 @@ FROM (SELECT lang, len(regexp_extract_all(text, '[^\\s\\x{{00A0}}\\x{{0085}}\\x{
     "structured_answers": """WITH a AS (SELECT conv_id, turn, role, (conv_id * 3 + turn) % 8 AS k, CASE WHEN role IN ('user', 'assistant') THEN role END AS ok, CASE WHEN role NOT IN ('user', 'assistant') THEN 'not-allowed:category' END AS bad FROM conversations)
 SELECT conv_id, turn, CASE WHEN k IN (0, 2, 3, 7) THEN ok END AS category, CASE WHEN k IN (0, 1, 3) THEN turn / 4.0::DOUBLE WHEN k = 7 THEN turn::DOUBLE END AS confidence, CASE WHEN k IN (0, 1, 3, 7) THEN turn WHEN k = 2 AND turn % 4 = 0 THEN turn // 4 END AS said_turn, CASE WHEN k IN (0, 3) THEN 'n' END AS notes,
 CASE k WHEN 1 THEN 'missing:category' WHEN 2 THEN concat_ws(';', bad, 'wrong-type:confidence', CASE WHEN turn % 4 <> 0 THEN 'wrong-type:turn' END) WHEN 4 THEN 'empty content' WHEN 5 THEN 'json-parse' WHEN 6 THEN 'not-an-object' ELSE coalesce(bad, '') END AS faults, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS form FROM a""",
+    "retrieve_stored": f"WITH {CHUNKS}, {near('n', 5)} {ROWS}",
+    "upsert_stored": """
+WITH n AS (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS balance FROM orders GROUP BY 1)
+SELECT c_custkey, round(c_acctbal, 2) AS balance FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n""",
+    "note_run": "SELECT 's:' || doc_id::VARCHAR AS key, CASE WHEN length(text) % 11 = 0 THEN '' ELSE coalesce(lang, 'none') || ' ' || length(text)::VARCHAR END AS note, CASE WHEN length(text) % 11 = 0 THEN 3 ELSE 1 END::BIGINT AS tries, CASE WHEN length(text) % 11 = 0 THEN 'HTTP 503' END AS message FROM documents",
+    "stored_results": f"""WITH {scoring.GOLDEN} SELECT i.question AS id, i.category, (SELECT round(recall, 6) FROM rec WHERE rec.question = i.question AND k = 5) AS r5, (SELECT round(recall, 6) FROM rec WHERE rec.question = i.question AND k = 20) AS r20, round(rr, 6) AS rr, (SELECT count(*) FROM benchmark)::BIGINT AS questions, (SELECT sum(item_id % 5) FROM benchmark)::BIGINT AS total FROM items i JOIN rrs USING (question)""",
     "tool_results": """WITH e AS (SELECT event_id, user_id::DOUBLE AS a, (event_id % 3)::DOUBLE AS b, event_id % 5 AS op, CASE WHEN event_id % 11 = 10 THEN 'Model called unknown tool "divine". Available: calculate' WHEN event_id % 7 = 6 THEN 'ERROR: Invalid input for tool "calculate". wrong-type:a, missing:b'
  WHEN event_id % 5 = 4 THEN 'ERROR: Invalid input for tool "calculate". not-allowed:operation' WHEN event_id % 5 = 3 AND event_id % 3 = 0 THEN 'ERROR executing tool "calculate": Division by zero' END AS error FROM events)
 SELECT event_id, CASE WHEN error IS NULL THEN round(CASE op WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a / b END, 6) END AS value, error FROM e""",
