@@ -26,7 +26,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    return source_dimension(table(spark, sf, "documents")).select(F.col("source").alias("source_id"), F.col("source").alias("slug"), "author", "title", "year")
+    return source_dimension(table(spark, sf, "documents")).select(F.col("source").alias("source_id"), F.col("source").alias("slug"), "author", "title", "year", "translator")
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +76,16 @@ def retrieve_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     return r.many_variants([one, two], q.select("query_id", "question"), chunks.select("chunk_id", "text"), 50, 5)
 
 
+def retrieve_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """A question and a variant of it, each searched by its own vector (that of the next chunk's text
+    stands for the variant's), fused, and the pool reranked by the question itself."""
+    chunks, q = _chunks(spark, sf), _asked(spark, sf)
+    other = chunks.where("(chunk_id - 1) % 20 = 0").select((F.col("chunk_id") - 1).alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("vector"), F.col("source_id").alias("slug"))
+    other = other.join(q.select("query_id"), "query_id", "left_semi")
+    lists = [r.retrieve(x, chunks, _sources(spark, sf), top_k=50).select("query_id", "chunk_id", "rank") for x in (q, other)]
+    return r.many_variants(lists, q.select("query_id", "question"), chunks.select("chunk_id", "text"), 50, 5)
+
+
 def query_variants(spark: SparkSession, sf: str) -> DataFrame:
     """A question and its rephrasings, trimmed, none empty, three at most."""
     q = t.trimmed(F.col("text"))
@@ -87,7 +97,7 @@ def chunk_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks by a list of ids, with their source and its citation."""
     ids = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"))
     rows = ids.join(_chunks(spark, sf).drop("embedding"), "chunk_id").join(_sources(spark, sf), "source_id")
-    return rows.select("chunk_id", "slug", t.citation(F.col("author"), F.col("title"), F.col("chapter")).alias("citation"), t.year(F.col("year")).alias("written"), F.md5("text").alias("digest"))
+    return rows.select("chunk_id", "slug", t.citation(F.col("author"), F.col("title"), F.col("chapter")).alias("citation"), t.year(F.col("year")).alias("written"), "translator", F.md5("text").alias("digest"))
 
 
 def manifest_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,7 +528,7 @@ def stored_results(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(F.broadcast(totals)).select("id", "category", F.round("recallAtK.k5", 6).alias("r5"), F.round("recallAtK.k20", 6).alias("r20"), F.round("mrr", 6).alias("rr"), "questions", "total")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results, retrieve_stored, upsert_stored, note_run, stored_results)}
+QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, retrieve_variants, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results, retrieve_stored, upsert_stored, note_run, stored_results)}
 
 TRIM = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 YEAR = "CASE WHEN year IS NULL THEN 'date unknown' WHEN year < 0 THEN '~' || (-year)::VARCHAR || ' BC' ELSE '~' || year::VARCHAR || ' AD' END"
@@ -528,7 +538,7 @@ ch AS (SELECT doc_id AS chunk_id, source AS slug, CASE WHEN doc_id % 4 = 3 THEN
   doc_id % 5 * 100 AS char_start, doc_id % 5 * 100 + n_chars AS char_end, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
 nv AS (SELECT * FROM ch WHERE version = 'naive-v1'),
 qs AS (SELECT chunk_id AS query_id, text AS question, v, slug FROM ch WHERE chunk_id % 20 = 0),
-src AS (SELECT source AS slug, author, title, year FROM dim)"""
+src AS (SELECT source AS slug, author, title, year, translator FROM dim)"""
 
 
 def near(name: str, k: int, scoped: bool = False) -> str:
@@ -566,12 +576,18 @@ FROM p QUALIFY NOT has OR row_number() OVER (PARTITION BY query_id, has, slug, p
 f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(variant * 1000000 + rank) AS seen FROM u GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, chunk_id)::BIGINT AS first_rank FROM f QUALIFY first_rank <= 50),
 s AS (SELECT query_id, chunk_id, rrf, first_rank, {OVERLAP('q.question', 'c.text')} AS rerank FROM p JOIN ch c USING (chunk_id) JOIN qs q USING (query_id))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank)::BIGINT AS rank FROM s QUALIFY rank <= 5""",
+    "retrieve_variants": f"""WITH {CHUNKS}, q2 AS (SELECT c.chunk_id - 1 AS query_id, c.v FROM ch c JOIN qs ON qs.query_id = c.chunk_id - 1), {near('v', 50)}, {near('w', 50).replace('FROM qs q', 'FROM q2 q')},
+u AS (SELECT query_id, chunk_id, rank, 0 AS variant FROM v UNION ALL SELECT query_id, chunk_id, rank, 1 FROM w),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(variant * 1000000 + rank) AS seen FROM u GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, chunk_id)::BIGINT AS first_rank FROM f QUALIFY first_rank <= 50),
+s AS (SELECT query_id, chunk_id, rrf, first_rank, {OVERLAP('q.question', 'c.text')} AS rerank FROM p JOIN ch c USING (chunk_id) JOIN qs q USING (query_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank)::BIGINT AS rank FROM s QUALIFY rank <= 5""",
     "query_variants": r"""
 WITH w AS (SELECT item_id, text, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
 v AS (SELECT item_id, list_concat([trim(text)], list_filter([array_to_string(w[2:], ' '), array_to_string(w[:len(w) - 1], ' '), array_to_string(w[2:len(w) - 1], ' ')], lambda x: length(x) > 0)[1:3]) AS v FROM w)
 SELECT item_id, (generate_subscripts(v, 1) - 1)::BIGINT AS at, md5(unnest(v)) AS digest FROM v""",
-    "chunk_lookup": f"WITH {CHUNKS} SELECT chunk_id, c.slug, {CITED} AS citation, {YEAR} AS written, md5(text) AS digest FROM ch c JOIN src s ON s.slug = c.slug JOIN labels ON doc_id = chunk_id",
+    "chunk_lookup": f"WITH {CHUNKS} SELECT chunk_id, c.slug, {CITED} AS citation, {YEAR} AS written, translator, md5(text) AS digest FROM ch c JOIN src s ON s.slug = c.slug JOIN labels ON doc_id = chunk_id",
     "manifest_lookup": f"WITH {DIM} SELECT source, count(*)::BIGINT AS docs, any_value(title) AS title FROM documents JOIN dim USING (source) GROUP BY 1",
     "distinct_fetch": "SELECT doc_id, 'https://example.org/texts/' || (doc_id % 50)::VARCHAR || '/' || (doc_id % 50)::VARCHAR || '.txt' AS url FROM documents",
     "user_message": f"WITH {SHOWN}, b AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || author || ', ' || title || ' (' || {YEAR} || '), ' || chapter || chr(10) || {TRIM('text')} || chr(10), chr(10) ORDER BY rank) AS b FROM sh GROUP BY 1) SELECT query_id, md5('Sources:' || chr(10) || chr(10) || b || chr(10) || 'Question: ' || question) AS digest FROM qs JOIN b USING (query_id)",

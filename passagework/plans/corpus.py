@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +112,12 @@ def chunk_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     held = segment.listed(table(spark, sf, "documents"))
-    rows = [segment.cut(held, *segment.VARIANTS[v][:2]).select(F.lit(v).alias("version"), "token_count") for v in ("naive", "small", "section")]
-    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    # Variants that cut alike, as those with and without parents do, are cut once.
+    alike: dict[tuple, list[str]] = {}
+    for name, (target, overlap, _) in segment.VARIANTS.items():
+        alike.setdefault((target, overlap), []).append(name)
+    rows = [segment.cut(held, *cut).select(F.explode(F.array(*map(F.lit, names))).alias("version"), "token_count") for cut, names in alike.items()]
+    every = reduce(DataFrame.unionByName, rows)
     return every.groupBy("version").agg(
         F.count("*").alias("chunks"), F.round(F.avg("token_count"), 4).alias("avg_tokens"), F.max("token_count").alias("max_tokens"), F.sum("token_count").alias("tokens")
     )
@@ -302,7 +308,6 @@ CASE WHEN item IS NOT NULL THEN string_split(item, '</li>')[1] END AS second_ite
     "chunk_variant_stats": " UNION ALL ".join(
         f"SELECT '{v}' AS version, count(*)::BIGINT AS chunks, round(avg(token_count), 4) AS avg_tokens, max(token_count) AS max_tokens, sum(token_count)::BIGINT AS tokens FROM (WITH RECURSIVE {chunk_ctes(a, b)} SELECT * FROM chunks)"
         for v, (a, b, _) in segment.VARIANTS.items()
-        if v != "parent"
     ),
     "chunk_parent_child": f"WITH RECURSIVE {chunk_ctes(500, 50)} SELECT c.doc_id, chunk_index, char_start, char_end, 0::BIGINT AS parent_start, length(d.text)::BIGINT AS parent_end FROM chunks c JOIN documents d ON d.doc_id = c.doc_id",
     "book_sections": f"WITH RECURSIVE {marked_ctes()} SELECT doc_id, section, book, numeral, char_start, char_end, md5(text) AS digest FROM sect",

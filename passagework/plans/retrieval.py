@@ -45,6 +45,20 @@ def _verdicts(e: DataFrame, p: DataFrame) -> DataFrame:
     return g.select("query_id", "label", F.col("hits").cast("long").alias("hits"), verdict.alias("verdict"))
 
 
+def probe_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes with a list of expected clusters, which may be empty: how many of the five nearest are in
+    them, and the verdict in the words that a report shows."""
+    e, i = table(spark, sf, "embeddings"), F.col("query_id") / 20 % 3
+    expected = F.when(i == 0, F.array().cast("array<bigint>")).when(i == 1, F.array("label")).otherwise(F.array(F.col("label"), F.col("label") + 1))
+    p = _every(e).withColumn("label", F.col("label").cast("long")).withColumn("expected", expected)
+    near = vector.top_k(p, e, 5).join(e.select("vec_id", F.col("label").cast("long").alias("found")), "vec_id").join(lexical.small(p.select("query_id", "expected")), "query_id")
+    hit = F.array_contains("expected", F.col("found"))
+    g = near.groupBy("query_id").agg(F.first("expected").alias("expected"), F.count_if(hit).alias("hits"), F.max_by(hit, -F.col("rank")).alias("first"), F.max_by("found", -F.col("rank")).alias("top"))
+    said = F.when(F.size("expected") == 0, "EXPLORATORY (no fixed expectation)").when(F.col("first") & (F.col("hits") >= 4), "CLEAN WIN")
+    said = said.when(F.col("first"), F.format_string("PARTIAL (top-1 ok, %d/5 in expected clusters)", "hits")).otherwise(F.format_string("MISS (top-1 is %d, %d/5 in expected)", "top", "hits"))
+    return g.select("query_id", "hits", said.alias("verdict"))
+
+
 def knn_probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return _verdicts(e, _probes(e))
@@ -156,7 +170,7 @@ def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, ann_every_cell, ann_recall, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
+QUERIES = {f.__name__: f for f in (knn_topk_every, knn_scoped_every, knn_verdict_every, ann_every_cell, ann_recall, probe_verdicts, rrf_hybrid_every, knn_topk, knn_scoped_by_label, knn_probe_verdict, vector_dim_check, bm25_topk, rrf_hybrid, rrf_multi_query, parent_dedupe, rerank_lexical)}
 QUERIES |= {f"{f.__name__}_whole": f for f in (bm25_topk, rrf_multi_query, parent_dedupe, rerank_lexical)}  # earlier names of the same plans
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -214,6 +228,10 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_r
 
 SQL |= {
     "knn_topk_every": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
+    "probe_verdicts": f"""WITH {knn(5, probes=EVERY)},
+p AS (SELECT query_id, CASE query_id // 20 % 3 WHEN 0 THEN [] WHEN 1 THEN [label] ELSE [label, label + 1] END AS expected FROM probes),
+g AS (SELECT n.query_id, any_value(expected) AS expected, count(*) FILTER (list_contains(expected, e.label))::BIGINT AS hits, max(CASE WHEN rank = 1 THEN e.label END) AS top FROM near n JOIN p USING (query_id) JOIN embeddings e ON e.vec_id = n.vec_id GROUP BY 1)
+SELECT query_id, hits, CASE WHEN len(expected) = 0 THEN 'EXPLORATORY (no fixed expectation)' WHEN NOT list_contains(expected, top) THEN 'MISS (top-1 is ' || top::VARCHAR || ', ' || hits::VARCHAR || '/5 in expected)' WHEN hits >= 4 THEN 'CLEAN WIN' ELSE 'PARTIAL (top-1 ok, ' || hits::VARCHAR || '/5 in expected clusters)' END AS verdict FROM g""",
     "ann_every_cell": f"WITH {knn(5, probes=EVERY)} SELECT * FROM near",
     "ann_recall": "SELECT count(*)::BIGINT AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "knn_scoped_every": f"WITH {knn(5, True, EVERY)} SELECT * FROM near",
