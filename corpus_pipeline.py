@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a
 DataFrame that is written as Parquet and read again for the next; all but the last return the
 columns of documents. Only the first reads another table, the labels.
+
+Defined cases: a null or empty text is a document without words: the classifier scores it like any
+other, no near duplicate is found for it, the mix counts it as 0 words and never takes it. Rows without a
+doc_id, or with one that others have, are rows of their own; of rows alike in id and text one stays.
+A null source or lang is a value like others. Very long texts are read whole. Other columns pass all
+stages but the last, whatever their names. An empty table of documents gives an empty result; without
+labels of both classes every document scores the share of label 1, so all stay or all go.
 """
 
 from __future__ import annotations
