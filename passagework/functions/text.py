@@ -202,3 +202,8 @@ def calculated(op: Column, a: Column, b: Column) -> Column:
 
 def none_if_empty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
+
+
+def message_role(role: Column) -> Column:
+    """System and assistant as they are, any other role as the user's."""
+    return F.when(role.isin("system", "assistant"), role).otherwise("user")

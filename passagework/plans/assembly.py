@@ -471,6 +471,28 @@ def tool_results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", F.round("r.value", 6).alias("value"), "r.error")
 
 
+def retrieve_other_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval by the second vector column, that of another model; the first is not read."""
+    other = lambda c: F.transform(c, lambda x: F.abs(x))
+    chunks = _chunks(spark, sf).withColumn("embedding_b", other("embedding"))
+    return r.retrieve(_asked(spark, sf).withColumn("vector", other("vector")), chunks, _sources(spark, sf), column="embedding_b").select(*PROJECTION)
+
+
+def golden_by_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of some categories that are also on a list of ids, both as comma lists."""
+    categories, ids = (x.split(",") for x in ("literal,synthesis,multi-hop", "0,2,3,6,8,9,12,14,15,20,21"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.element_at(F.array(*map(F.lit, scoring.CATEGORIES)), (F.col("item_id") % 6 + 1).cast("int")).alias("category"))
+    return rows.where(F.col("category").isin(categories) & F.col("item_id").cast("string").isin(ids))
+
+
+def provider_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as a provider takes them: system texts first, then user and assistant in order, any
+    other role as the user's."""
+    said = F.struct((F.col("role") != "system").alias("after"), "turn", t.message_role(F.col("role")).alias("role"), "text")
+    m = F.transform(F.array_sort(F.collect_list(said)), lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(m, "\n")).alias("digest"), F.count("*").alias("messages"))
+
+
 # -- stored tables --------------------------------------------------------------------------------
 
 
@@ -528,7 +550,7 @@ def stored_results(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(F.broadcast(totals)).select("id", "category", F.round("recallAtK.k5", 6).alias("r5"), F.round("recallAtK.k20", 6).alias("r20"), F.round("mrr", 6).alias("rr"), "questions", "total")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, retrieve_variants, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results, retrieve_stored, upsert_stored, note_run, stored_results)}
+QUERIES = {f.__name__: f for f in (retrieve_vector, retrieve_scoped, retrieve_hybrid, retrieve_reranked, retrieve_parent, retrieve_multi_query, retrieve_variants, query_variants, chunk_lookup, manifest_lookup, distinct_fetch, user_message, result_list, faithfulness_prompt, judge_prompts, frozen_cases, tag_blocks, source_index, prefix_completion, gold_coverage, run_rollup, error_isolation, rejudge, agent_rollup, top_gold_marks, prompt_ab, ab_merge, call_stats, golden_filters, gold_migration, migration_totals, notes_cache, consulted_by_source, consulted_union, trace_kinds, retry_log, json_props, tagged_knn, nested_records, usage_functions, message_functions, embedded_texts, structured_answers, tool_results, retrieve_stored, upsert_stored, note_run, stored_results, retrieve_other_column, golden_by_ids, provider_messages)}
 
 TRIM = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 YEAR = "CASE WHEN year IS NULL THEN 'date unknown' WHEN year < 0 THEN '~' || (-year)::VARCHAR || ' BC' ELSE '~' || year::VARCHAR || ' AD' END"
@@ -634,6 +656,9 @@ FROM (SELECT lang, len(regexp_extract_all(text, '[^\\s\\x{{00A0}}\\x{{0085}}\\x{
     "structured_answers": """WITH a AS (SELECT conv_id, turn, role, (conv_id * 3 + turn) % 8 AS k, CASE WHEN role IN ('user', 'assistant') THEN role END AS ok, CASE WHEN role NOT IN ('user', 'assistant') THEN 'not-allowed:category' END AS bad FROM conversations)
 SELECT conv_id, turn, CASE WHEN k IN (0, 2, 3, 7) THEN ok END AS category, CASE WHEN k IN (0, 1, 3) THEN turn / 4.0::DOUBLE WHEN k = 7 THEN turn::DOUBLE END AS confidence, CASE WHEN k IN (0, 1, 3, 7) THEN turn WHEN k = 2 AND turn % 4 = 0 THEN turn // 4 END AS said_turn, CASE WHEN k IN (0, 3) THEN 'n' END AS notes,
 CASE k WHEN 1 THEN 'missing:category' WHEN 2 THEN concat_ws(';', bad, 'wrong-type:confidence', CASE WHEN turn % 4 <> 0 THEN 'wrong-type:turn' END) WHEN 4 THEN 'empty content' WHEN 5 THEN 'json-parse' WHEN 6 THEN 'not-an-object' ELSE coalesce(bad, '') END AS faults, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS form FROM a""",
+    "retrieve_other_column": f"WITH {CHUNKS.replace('embedding::DOUBLE[] AS v', 'list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS v')}, {near('n', 5)} {ROWS}",
+    "golden_by_ids": f"SELECT item_id, category FROM (SELECT item_id, CASE item_id % 6 {scoring._case} END AS category FROM benchmark) WHERE category IN ('literal', 'synthesis', 'multi-hop') AND item_id IN (0, 2, 3, 6, 8, 9, 12, 14, 15, 20, 21)",
+    "provider_messages": "SELECT conv_id, md5(string_agg(CASE WHEN role IN ('system', 'assistant') THEN role ELSE 'user' END || ':' || text, chr(10) ORDER BY role <> 'system', turn)) AS digest, count(*)::BIGINT AS messages FROM conversations GROUP BY 1",
     "retrieve_stored": f"WITH {CHUNKS}, {near('n', 5)} {ROWS}",
     "upsert_stored": """
 WITH n AS (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS balance FROM orders GROUP BY 1)

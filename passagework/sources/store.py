@@ -33,18 +33,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def built_once(source: DataFrame, kind: str, build) -> str:
-    """The path of what ``build(path)`` made of a table of files; made once a session and set of files."""
+def built_once(source: DataFrame, kind: str, build: Callable[[str], None]) -> str:
+    """The path of what ``build(path)`` made of a table of files; made once a session and set of files.
+
+    A mark is written when it is whole; where that is gone, as after a clearing of the folder, it is made anew.
+    """
     spark = source.sparkSession
     name = hashlib.md5("\n".join([kind, *sorted(source.inputFiles())]).encode()).hexdigest()
     path = spark.conf.get(f"passagework.built.{name}", None)
-    if path is None:
+    if path is None or not _is_there(spark, f"{path}/made"):
         path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
         build(path)
+        spark.range(1).coalesce(1).write.json(f"{path}/made")
         spark.conf.set(f"passagework.built.{name}", path)
     return path
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("id long").json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def there(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``, empty where nothing was written yet."""
     try:

@@ -200,3 +200,16 @@ def test_run_totals_come_with_its_rows(spark, tmp_path):
     assert store.write_run(run, path, ["generator", "judge"]) == {"questions": 4, "generator": 40, "judge": 4}
     assert {r["id"]: r["generation"]["faithfulness"] for r in spark.read.json(path).collect()} == {f"q{i}": float(i) for i in range(4)}
     assert store.write_run(run.limit(0), path, ["generator"]) == {"questions": 0, "generator": 0}
+
+
+def test_what_is_built_is_built_once_and_again_when_lost(spark, tmp_path):
+    import shutil
+
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    source, made = spark.read.parquet(f"{tmp_path}/t"), []
+    build = lambda at: made.append(at) or source.write.parquet(f"{at}/rows")
+    first = store.built_once(source, "copy", build)
+    assert store.built_once(source, "copy", build) == first and made == [first]
+    shutil.rmtree(first.removeprefix("file://"))
+    second = store.built_once(source, "copy", build)
+    assert second != first and made == [first, second] and spark.read.parquet(f"{second}/rows").count() == 5
