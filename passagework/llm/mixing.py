@@ -12,6 +12,11 @@ The selection needs no sort of a whole source: documents fall into slices of a s
 sums give the slice in which the amount is met, and only that slice's documents, about
 ``SLICE_DOCS``, are looked at one by one.
 
+Very many patterns make a tree of flows: groups of patterns get words from the quotas as one pattern
+would, and deal what they get among their own groups in turn. A source draws on no more than its own
+documents in either, so a quota that one flow meets is met by the tree too; only which of its
+patterns repeats its words is decided group by group.
+
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; rows
 without any word are taken zero times; a very long text is one document like any other; repeated
 rows count as separate documents of one text, ties in the seeded order fall to doc_id and size, and
@@ -31,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import met, written
 
 MAX_REPEATS = 3
 #: Cost of the first, second and third use of a word.
@@ -42,8 +47,8 @@ SLICE_DOCS = 1024
 FEW_DOCS = 64
 #: Uses of a pattern's words that are priced apart; from the last one on each costs alike.
 LEVELS = 12
-#: The flow is solved on the driver over (pattern, source) pairs, so their number is checked: beyond
-#: it each document counts as its own source's alone.
+#: One flow is solved over so many (pattern, source) pairs, on the driver. Of more pairs patterns are
+#: put together to groups, and the flows of groups, of their groups and last of patterns are solved in tasks.
 MAX_PATTERNS = 200_000
 #: Texts of several sources up to this number are broadcast, more are joined by a shuffle in SALTS parts.
 SMALL_TEXTS, SALTS = 200_000, 16
@@ -239,26 +244,29 @@ def _order(name: str | None) -> tuple:
 def plan(sized: DataFrame, weights: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns, sources) for rows with doc_id, key, size, source and ``members`` (all sources of the text).
 
-    ``patterns`` has a row per membership pattern and source, at most MAX_PATTERNS: members, source,
-    slices, copies, part, open. A document in a slice below ``part`` is taken copies + 1 times, above
-    it copies times; the documents of slice ``part`` have ``open`` words of a further copy among them.
+    ``patterns`` has a row per membership pattern and source: members, source, slices, copies, part,
+    open, and where there are more than MAX_PATTERNS also ``n``, the number of its documents. A document in a slice
+    below ``part`` is taken copies + 1 times, above it copies times; the documents of slice ``part`` have ``open`` words
+    of a further copy among them. The driver holds a name and two numbers of each source.
     """
     spark = sized.sparkSession
-    found = sized.groupBy("members", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
-    found.sort(key=lambda r: ([_order(m) for m in r["members"]], _order(r["source"])))
+    pairs = written(sized.groupBy("members", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     once = sized.where("size > 0").select("members", "key", "size").distinct().groupBy("members").agg(F.sum("size").alias("words"))
+    few = pairs.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS
+    own = {r["source"]: r["words"] for r in pairs.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    names = sorted(own, key=_order)
+    goal = targets({s: own[s] for s in names}, weights or {s: 1 + i % 3 for i, s in enumerate(names)})
+    quotas = {s: round(goal[s]) for s in names}
+    sources = spark.createDataFrame([(s, own[s], goal[s]) for s in names], "source string, source_size long, target double")
+    if not few:
+        return _many(sized, _routed(pairs, once, quotas)), sources
+    found = sorted(pairs.collect(), key=lambda r: ([_order(m) for m in r["members"]], _order(r["source"])))
     distinct = {tuple(r["members"]): r["words"] for r in once.collect()}  # no more than the pairs above
-    own: dict[str | None, int] = {}
     rooms: dict[tuple, dict] = {}
     for r in found:
-        own[r["source"]] = own.get(r["source"], 0) + r["words"]
         rooms.setdefault(tuple(r["members"]), {})[r["source"]] = MAX_REPEATS * r["words"]
-    names = sorted(own, key=_order)
-    wanted = weights or {s: 1 + i % 3 for i, s in enumerate(names)}
-    goal = targets({s: own[s] for s in names}, wanted)
-    flow = dict(zip(rooms, route([(distinct.get(m, 0), r) for m, r in rooms.items()], {s: round(goal[s]) for s in names}), strict=True))
+    flow = dict(zip(rooms, route([(distinct.get(m, 0), r) for m, r in rooms.items()], quotas), strict=True))
     amounts = [flow[tuple(r["members"])].get(r["source"], 0) for r in found]
-    sources = spark.createDataFrame([(s, own[s], goal[s]) for s in names], "source string, source_size long, target double")
     # Whole documents miss an amount by a part of one. A source's largest pattern makes up for its others.
     main: dict[str | None, int] = {}
     for i, r in enumerate(found):
@@ -272,7 +280,72 @@ def plan(sized: DataFrame, weights: dict | None = None) -> tuple[DataFrame, Data
             short[found[i]["source"]] = short.get(found[i]["source"], 0) + amounts[i]
         for s, missing in short.items():
             amounts[main[s]] = min(max(0, amounts[main[s]] + missing), MAX_REPEATS * found[main[s]]["words"])
-    return _amounts(sized, found, amounts, range(len(found))), sources
+    return _amounts(sized, found, amounts, range(len(found))), F.broadcast(sources)  # MAX_PATTERNS sources at most
+
+
+def _solve(group: pa.Table) -> pa.Table:
+    """What the children of one node give each source: rows of (child, source, words, room, quota)."""
+    rows = sorted(group.to_pylist(), key=lambda r: (r["child"], _order(r["source"])))
+    words: dict[str, int] = {}
+    rooms: dict[str, dict] = {}
+    for r in rows:
+        words[r["child"]] = words.get(r["child"], 0) + r["words"]
+        rooms.setdefault(r["child"], {})[r["source"]] = r["room"]
+    quotas = {s: q for s, q in sorted({r["source"]: r["quota"] for r in rows}.items(), key=lambda x: _order(x[0]))}
+    flow = dict(zip(rooms, route([(words[c], rooms[c]) for c in rooms], quotas), strict=True))
+    return pa.table({k: pa.array([r[k] for r in rows], pa.string()) for k in ("child", "source")} | {"quota": pa.array([flow[r["child"]].get(r["source"], 0) for r in rows], pa.int64())})
+
+
+def _routed(pairs: DataFrame, once: DataFrame, quotas: dict) -> DataFrame:
+    """``pairs`` with ``amount``, by a tree of flows whose nodes have about MAX_PATTERNS pairs each, or
+    two of each source."""
+    spark = pairs.sparkSession
+    own = once.select(F.to_json("members").alias("own"), F.col("words").alias("distinct"))
+    # A pattern's distinct words stand with its first source.
+    rows = written(
+        pairs.withColumn("own", F.to_json("members")).join(own, "own", "left")
+        .withColumn("distinct", F.when(F.col("source").eqNullSafe(F.col("members")[0]), F.coalesce("distinct", F.lit(0))).otherwise(0))
+        .withColumn("at", F.pmod(F.xxhash64("own"), F.lit(1 << 62)))
+    )
+    fan, depth, many = max(2, MAX_PATTERNS // len(quotas)), 0, rows.select("own").distinct().count()
+    while fan ** (depth + 1) < many:
+        depth += 1
+    nodes = spark.createDataFrame([("0", s, q) for s, q in quotas.items()], "node string, source string, quota long")
+    for level in range(depth + 1):
+        child = F.col("own") if level == depth else (F.col("at") % fan ** (level + 1)).cast("string")
+        parts = rows.groupBy((F.col("at") % fan**level).cast("string").alias("node"), child.alias("child"), "source").agg(
+            F.sum("distinct").alias("words"), (MAX_REPEATS * F.sum("words")).alias("room")
+        )
+        asked = nodes.withColumnsRenamed({"node": "_node", "source": "_source"})
+        met = parts.join(asked, (F.col("node") == F.col("_node")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_node", "_source")
+        nodes = written(met.groupBy("node").applyInArrow(_solve, "child string, source string, quota long").withColumnRenamed("child", "node"))
+    got = nodes.select(F.col("node").alias("_node"), F.col("source").alias("_source"), F.col("quota").alias("amount"))
+    return written(
+        rows.join(got, (F.col("own") == F.col("_node")) & F.col("source").eqNullSafe(F.col("_source")))
+        .select(F.monotonically_increasing_id().alias("pattern"), "members", "own", "source", "n", "words", "amount")
+    )
+
+
+def _many(sized: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``plan``'s patterns where they are too many for the driver: a source's largest makes up for its others."""
+    main = pairs.groupBy("source").agg(F.max(F.struct("words", "own", "pattern")).alias("m")).select("m.pattern")
+    others = pairs.join(main, "pattern", "left_anti")
+    took = taken(sized, _sliced(sized, _resting(others))).groupBy("source").agg((-F.sum(F.col("copies") * F.col("size"))).alias("short"))
+    wanted = others.groupBy("source").agg(F.sum("amount").alias("short"))
+    short = took.unionByName(wanted).groupBy(F.col("source").alias("_source")).agg(F.sum("short").alias("short"))
+    mended = pairs.join(main, "pattern", "left_semi").join(short, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn(
+        "amount", F.least(F.greatest(F.col("amount") + F.coalesce("short", F.lit(0)), F.lit(0)), MAX_REPEATS * F.col("words"))
+    )
+    return written(_sliced(sized, _resting(others.unionByName(mended.select(others.columns)))))
+
+
+def _resting(pairs: DataFrame) -> DataFrame:
+    """Patterns with the number of their slices, whole copies, and the words of a further copy."""
+    copies = F.when(F.col("words") > 0, F.floor(F.col("amount") / F.col("words"))).otherwise(0)
+    return pairs.withColumn("copies", copies.cast("long")).select(
+        "pattern", "members", "source", "n", F.greatest(F.lit(1), F.floor(F.col("n") / SLICE_DOCS)).cast("long").alias("slices"), "copies",
+        F.when(F.col("words") > 0, F.col("amount") - F.col("copies") * F.col("words")).otherwise(0).alias("rest"),
+    )
 
 
 def _amounts(sized: DataFrame, found: list[Row], amounts: list[int], chosen: Iterable[int]) -> DataFrame:
@@ -282,22 +355,28 @@ def _amounts(sized: DataFrame, found: list[Row], amounts: list[int], chosen: Ite
         r = found[i]
         copies = amounts[i] // r["words"] if r["words"] else 0
         rows.append((i, r["members"], r["source"], max(1, r["n"] // SLICE_DOCS), copies, amounts[i] - copies * r["words"]))
-    patterns = sized.sparkSession.createDataFrame(rows, "pattern long, members array<string>, source string, slices long, copies long, rest long")
+    return _sliced(sized, sized.sparkSession.createDataFrame(rows, "pattern long, members array<string>, source string, slices long, copies long, rest long"))
+
+
+def _sliced(sized: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``patterns`` with the slice in which the rest is met, and what of the rest is open before it."""
     slices = _placed(sized, patterns).groupBy("pattern", "rest", "at").agg(F.sum("size").alias("words"))
-    # The slice in which a pattern's rest is met, and what of the rest is open before it.
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("at"))
     met = slices.withColumn("upto", upto).where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
     edges = met.groupBy("pattern").agg(F.min(F.struct(F.col("at").alias("part"), (F.col("rest") - F.col("upto") + F.col("words")).alias("open"))).alias("e")).select("pattern", "e.*")
-    return patterns.join(edges, "pattern", "left").select(
-        "pattern", "members", "source", "slices", "copies", "rest", F.coalesce("part", F.lit(-1)).alias("part"), F.coalesce("open", F.lit(0)).alias("open")
-    )
+    return patterns.join(edges, "pattern", "left").select(*patterns.columns, F.coalesce("part", F.lit(-1)).alias("part"), F.coalesce("open", F.lit(0)).alias("open"))
 
 
 def _placed(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """``rows`` with their pattern's columns and their slice ``at``."""
-    p = F.broadcast(patterns.withColumnsRenamed({"members": "own", "source": "of"}))  # MAX_PATTERNS rows at most
-    at = F.least(F.floor(_unit() * F.col("slices")), F.col("slices") - 1)
-    return rows.join(p, F.col("members").eqNullSafe(F.col("own")) & F.col("source").eqNullSafe(F.col("of"))).drop("own", "of").withColumn("at", at)
+    if "n" in patterns.columns:
+        name = F.to_json(F.struct("members", "source"))
+        side = patterns.withColumn("_pattern", name).drop("members", "source").withColumnRenamed("n", "_n")
+        placed = met(rows.withColumn("_pattern", name), side, "_pattern", "_n").drop("_pattern", "_n")
+    else:
+        p = F.broadcast(patterns.withColumnsRenamed({"members": "own", "source": "of"}))  # MAX_PATTERNS rows at most
+        placed = rows.join(p, F.col("members").eqNullSafe(F.col("own")) & F.col("source").eqNullSafe(F.col("of"))).drop("own", "of")
+    return placed.withColumn("at", F.least(F.floor(_unit() * F.col("slices")), F.col("slices") - 1))
 
 
 def taken(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -344,9 +423,6 @@ def _planned(docs: DataFrame, source: str, weights: dict | None) -> tuple[DataFr
     sized = written(_sized(docs, source))
     shared = written(shared_texts(sized))
     rows = with_members(sized, shared)
-    if rows.select("members", "source").distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        shared = shared.limit(0)
-        rows = with_members(sized, shared)
     return rows, shared, *plan(rows, weights)
 
 
@@ -359,7 +435,7 @@ def mix(docs: DataFrame, source: str = "source", weights: dict | None = None) ->
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's row of every document."""
     rows, sources = mix(docs)
-    s = F.broadcast(sources.withColumnRenamed("source", "of"))  # as many sources as patterns at most
+    s = sources.withColumnRenamed("source", "of")
     return rows.join(s, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

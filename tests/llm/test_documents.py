@@ -458,6 +458,46 @@ def test_shared_texts_by_shuffle_and_beyond_the_patterns(spark, docs, monkeypatc
     assert len(rows) == len(want) and all(r["taken"] <= 3 * r["size"] for r in rows)
 
 
+def test_a_tree_of_flows_meets_what_one_flow_meets(spark, monkeypatch):
+    """Forty sources and texts shared by random sets of them: each source's words are the same by one
+    flow and by flows of a few pairs each, and so are near their targets."""
+    rng, rows = random.Random(11), []
+    for i in range(600):
+        text = " ".join(f"t{i}w{k}" for k in range(rng.randrange(1, 60)))
+        for s in rng.sample(range(40), rng.choice([1, 1, 2, 3])):
+            rows.append((len(rows), text, f"s{s}" if s else None))
+    docs = spark.createDataFrame([*rows, (None, "no id here", "s1"), (None, None, "s2")], "doc_id long, text string, source string")
+
+    def sums():
+        found = mixing.digest(docs).collect()
+        assert len(found) == len(rows) + 2 and all(r["taken"] <= 3 * r["size"] for r in found)
+        by = collections.Counter()
+        for r in found:
+            by[r["target"], r["source_size"]] += r["taken"]
+        assert all(abs(t - target) <= 0.02 * target + 30 for (target, _), t in by.items())
+        return by, {r["doc_id"]: r["taken"] // r["size"] for r in found if r["taken"]}
+
+    sized = mixing._sized(docs, "source")
+    sized = mixing.with_members(sized, mixing.shared_texts(sized))
+    pairs = sized.groupBy("members", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    once = sized.where("size > 0").select("members", "key", "size").distinct().groupBy("members").agg(F.sum("size").alias("words"))
+    own = {r["source"]: r["s"] for r in pairs.groupBy("source").agg(F.sum("words").alias("s")).collect()}
+    goal = {s: round(t) for s, t in mixing.targets(own, {s: 1 + i % 3 for i, s in enumerate(own)}).items()}
+    one, _ = sums()
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 120)  # three groups a node, several levels
+    assert pairs.count() > 120
+    routed = mixing._routed(pairs, once, goal).collect()
+    got = collections.Counter()
+    for r in routed:
+        assert 0 <= r["amount"] <= 3 * r["words"]
+        got[r["source"]] += r["amount"]
+    assert len(routed) == pairs.count() and got == collections.Counter(goal)
+    many, copies = sums()
+    assert many.keys() == one.keys()
+    kept = mixing.selected(docs).groupBy("doc_id").count().collect()  # a run of its own
+    assert {r["doc_id"]: r["count"] for r in kept} == copies
+
+
 def test_discriminant_by_its_formula():
     """The margin against densities from explicit covariances, inverses and determinants."""
     rng = np.random.default_rng(7)
