@@ -12,8 +12,9 @@ null; a null host, declaration, suffix or path is a value of its own that carrie
 its counts; null or empty markup is an empty page, and of malformed markup what opens and never closes
 is text; a very long text or page is read whole, in time that grows with its length; of equally likely
 languages the first in code point order is said; repeated rows each give their row; without labelled
-text every language is null (``train`` alone stops with a message, also beyond MAX_LANGUAGES); an empty
-table of records gives an empty result; other columns of the input are ignored.
+text every language is null (``train`` alone stops with a message); languages beyond BLOCK_LANGUAGES
+are scored in further passes over the texts; an empty table of records gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, slices, written
+from .common import HOT_SHARE, once, slices, written
 
 SLOTS = 1 << 14
-MAX_LANGUAGES = 400
+#: So many languages are held at once, by the driver and by a task: 131 KB each.
+BLOCK_LANGUAGES = 400
 #: Trigrams of a text count as this many independent ones at most.
 EVIDENCE = 60.0
 #: Weight, in records, of the level above in a host's or domain's prior; of evenness in a likelihood.
 KAPPA, FLAT = 5.0, 2.0
-#: Parts in which the records of one host, domain or suffix meet their sums.
-SALTS = 16
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -48,17 +49,34 @@ _HTML = re.compile(r"<html\b[^>]*", re.IGNORECASE)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
-def _slots(text: bytes) -> np.ndarray:
+def _slots(text: bytes, several: bool = False) -> np.ndarray:
+    """The slots of a text's trigrams, or of ``several`` texts' with a byte 255, which UTF-8 hasn't, between them."""
     a = _FOLD[np.frombuffer(text, np.uint8)].astype(np.uint32)
     if len(a) < 3:
         return np.zeros(0, np.int64)
     v = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
-    v = v[v != 0x202020]  # blanks tell nothing
+    told = v != 0x202020  # blanks tell nothing
+    v = v[told & (a[:-2] != 255) & (a[1:-1] != 255) & (a[2:] != 255)] if several else v[told]
     return ((v * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)).astype(np.int64)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each slot by language), from all rows with a language."""
+class Model:
+    """Log probability of each slot by language, read from a table of counts a block of languages at a time."""
+
+    def __init__(self, counts: DataFrame, languages: list[str]):
+        self.counts, self.languages = counts, languages
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.languages), BLOCK_LANGUAGES):
+            names = self.languages[at : at + BLOCK_LANGUAGES]
+            found = self.counts.where(F.col("lang").isin(names)).toArrow()  # SLOTS rows a language at most
+            counts = np.full((len(names), SLOTS), 0.5)
+            counts[pc.index_in(found["lang"], pa.array(names)).to_numpy(), found["slot"].to_numpy()] += found["n"].to_numpy()
+            yield np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], Model]:
+    """(languages, their model), from all rows with a language."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -72,24 +90,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 for i, t in enumerate(own):
                     size += len(t)
                     if size > 1 << 20 or i == len(own) - 1:
-                        held += np.bincount(_slots(b"  ".join(own[at : i + 1])), minlength=SLOTS)
+                        held += np.bincount(_slots(b"\xff".join(own[at : i + 1]), several=True), minlength=SLOTS)
                         at, size = i + 1, 0
         for k, held in counts.items():
             used = np.flatnonzero(held)
             yield pa.record_batch([pa.array([k] * len(used), pa.string()), pa.array(used), pa.array(held[used])], names=["lang", "slot", "n"])
 
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(go, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("held"))  # SLOTS entries at most
-    found = packed.limit(MAX_LANGUAGES + 1).collect()
-    if not found or len(found) > MAX_LANGUAGES:
-        raise ValueError(f"there are {len(found)} languages with text; 1 to {MAX_LANGUAGES} are allowed")
-    found.sort(key=lambda r: r["lang"])
-    counts = np.full((len(found), SLOTS), 0.5)
-    for i, r in enumerate(found):
-        for s, n in r["held"]:
-            counts[i, s] += n
-    return [r["lang"] for r in found], np.log(counts / counts.sum(axis=1, keepdims=True))
+    sums = written(rows.mapInArrow(go, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    languages = sorted(r["lang"] for r in sums.select("lang").distinct().collect())
+    if not languages:
+        raise ValueError("no language has text")
+    return languages, Model(sums, languages)
 
 
 def visible(html: str) -> str:
@@ -148,9 +160,20 @@ def documents_as_records(docs: DataFrame) -> DataFrame:
     )
 
 
-def _text_evidence(records: DataFrame, model: np.ndarray) -> DataFrame:
+def _text_evidence(records: DataFrame, model: Model) -> DataFrame:
     """Records with ``ll``, the log likelihood by language, in place of the text."""
-    held = records.sparkSession.sparkContext.broadcast(model)  # languages x SLOTS numbers
+    rows, more = records, len(model.languages) > BLOCK_LANGUAGES
+    for i, block in enumerate(model.blocks()):
+        rows = _scored(rows, block, i)
+        rows = written(rows) if more else rows  # a task holds one block only
+    ll = F.concat(*(F.col(f"_ll{j}") for j in range(i + 1)))
+    top = lambda a: once(F.array_max(a), lambda m: F.transform(a, lambda x: x - m))
+    return rows.select(*(c for c in records.columns if c != "text"), once(ll, top).alias("ll"))
+
+
+def _scored(records: DataFrame, block: np.ndarray, i: int) -> DataFrame:
+    """Records with ``_ll{i}``, the log likelihood by the languages of a block."""
+    held = records.sparkSession.sparkContext.broadcast(block)  # BLOCK_LANGUAGES x SLOTS numbers at most
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = held.value
@@ -160,15 +183,13 @@ def _text_evidence(records: DataFrame, model: np.ndarray) -> DataFrame:
                 s = _slots(t or b"")
                 if len(s):
                     at, n = np.unique(s, return_counts=True)
-                    ll = logs[:, at] @ n * (min(1.0, EVIDENCE / len(s)))
-                    out.append((ll - ll.max()).tolist())
+                    out.append((logs[:, at] @ n * (min(1.0, EVIDENCE / len(s)))).tolist())
                 else:
                     out.append([0.0] * len(logs))
-            rest = [c for c in b.schema.names if c != "text"]
-            yield pa.record_batch([*(b.column(c) for c in rest), pa.array(out, pa.list_(pa.float64()))], names=[*rest, "ll"])
+            yield b.append_column(f"_ll{i}", pa.array(out, pa.list_(pa.float64())))
 
-    kinds = ", ".join(f"{c} {t}" for c, t in records.dtypes if c != "text")
-    return records.mapInArrow(go, f"{kinds}, ll array<double>")
+    kinds = ", ".join(f"{c} {t}" for c, t in records.dtypes)
+    return records.mapInArrow(go, f"{kinds}, _ll{i} array<double>")
 
 
 def _normal(logs: Column) -> Column:
@@ -177,30 +198,37 @@ def _normal(logs: Column) -> Column:
     return once(e, lambda a: once(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
-def _with_sums(out: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``out`` with ``key_sum``, the languages' sums over all ``rows`` of their key, and ``key_sum_n``.
+def _with_sums(out: DataFrame, rows: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """``out`` with ``key_sum``, the languages' sums over all ``n`` ``rows`` of their key, and ``key_sum_n``.
 
-    A key that a third of the rows share meets its sums in SALTS parts.
+    Keys that more than a HOT_SHARE-th of the rows have are broadcast; their rows are dealt out evenly
+    where the others meet their sums.
     """
     sums = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)))
-    side = sums.select(F.col(key).alias("_key"), F.col("n").alias(f"{key}_sum_n"), F.array(*(F.col(f"s{i}") for i in range(k))).alias(f"{key}_sum"))
+    side = sums.select(F.col(key).alias("_key"), F.struct(F.col("n"), F.array(*(F.col(f"s{i}") for i in range(k))).alias("s")).alias("_sums"))
     if key in ("markup", "path"):  # two or three letters: 18,278 values and null at most
-        return out.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    side = side.withColumn("_part", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return out.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))).drop("_key", "_part")
-
-
-def identify(records: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+        met = out.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    else:
+        side = written(side)
+        hot = F.broadcast(side.where(F.col("_sums.n") > n // HOT_SHARE).withColumnRenamed("_sums", "_hot"))
+        # No key of ``side`` starts with two blanks.
+        rare = side.where(F.col("_sums.n") <= n // HOT_SHARE).withColumn("_key", F.coalesce(F.concat(F.lit(" ="), "_key"), F.lit(" ")))
+        met = out.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        own = F.when(F.col("_hot").isNull(), F.coalesce(F.concat(F.lit(" ="), key), F.lit(" "))).otherwise(F.concat(F.lit("  "), F.xxhash64("doc_id", "page_id", "ll").cast("string")))
+        met = met.withColumn("_own", own).join(rare, F.col("_own") == F.col("_key"), "left").withColumn("_sums", F.coalesce("_hot", "_sums")).drop("_own", "_key", "_hot")
+    return met.withColumns({f"{key}_sum_n": F.col("_sums.n"), f"{key}_sum": F.col("_sums.s")}).drop("_sums")
+
+
+def identify(records: DataFrame, languages: list[str], model: Model) -> DataFrame:
     """(doc_id, page_id, lang, probability, text_lang, markup, host) of every record."""
     k = len(languages)
-    part = F.pmod(F.xxhash64("doc_id", "page_id", "ll"), F.lit(SALTS)).cast("int")
-    rows = written(_text_evidence(records, model).withColumns({"p": _normal(F.col("ll")), "part": part}))
+    rows = written(_text_evidence(records, model).withColumn("p", _normal(F.col("ll"))))
     whole = rows.agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k))).first()
     n = whole["n"] or 0
     base = F.array(*(F.lit(((whole[f"s{i}"] or 0.0) + 1.0) / (n + k)) for i in range(k)))
     out = rows
     for key in ("markup", "suffix", "path", "host", "domain"):
-        out = _with_sums(out, rows, key, k)
+        out = _with_sums(out, rows, key, k, n)
 
     def prior(i: Column) -> Column:
         own = F.get("p", i)

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,3 +247,65 @@ def test_ten_times_the_languages(spark):
     logs = spark.createDataFrame([([rng.uniform(-9, 0) for _ in range(300)],) for _ in range(400)], "ll array<double>")
     p = logs.select(language._normal(F.col("ll")).alias("p")).collect()
     assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in p)
+
+
+def _fused(labelled, records):
+    """Languages and probabilities by the formula, in plain numbers."""
+    names = sorted({lang for _, lang in labelled})
+    counts = np.full((len(names), language.SLOTS), 0.5)
+    for text, lang in labelled:
+        np.add.at(counts[names.index(lang)], language._slots(text.encode()), 1)
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    ll = []
+    for r in records:
+        s = language._slots((r["text"] or "").encode())
+        ll.append(sum((logs[:, x] for x in s), np.zeros(len(names))) * (min(1.0, language.EVIDENCE / len(s)) if len(s) else 0))
+    ll = [x - x.max() for x in ll]
+    p = [np.exp(x) / np.exp(x).sum() for x in ll]
+    base = (sum(p) + 1) / (len(records) + len(names))
+    out = []
+    for i, r in enumerate(records):
+        def of(key):
+            same = [j for j, x in enumerate(records) if x[key] == r[key] and j != i]
+            return sum((p[j] for j in same), np.zeros(len(names))), len(same)
+        (d, dn), (h, hn) = of("domain"), of("host")
+        domain = (d + language.KAPPA * base) / (dn + language.KAPPA)
+        score = ll[i] + np.log(np.maximum((h + language.KAPPA * domain) / (hn + language.KAPPA), 1e-9))
+        for key in ("markup", "suffix", "path"):
+            if r[key] is not None:
+                v, n = of(key)
+                score = score + np.log(np.maximum((v + language.FLAT * base) / ((n + language.FLAT) * base), 1e-9))
+        post = np.exp(score - score.max())
+        out.append((names[int(np.argmax(post))], post.max() / post.sum()))
+    return out
+
+
+@pytest.mark.parametrize(("block", "share"), [(400, 1000), (3, 4), (1, 1)])
+def test_languages_by_the_formula(spark, monkeypatch, block, share):
+    """Whatever the blocks of languages and the keys that count as hot; nulls are keys of their own."""
+    rng = random.Random(3)
+    tongues = ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
+    say = lambda k, n: " ".join(rng.choice(["ba", "do", "ki", "lu", "me"]) + tongues[k] * rng.randrange(3) for _ in range(n))
+    labelled = [(say(k, 30), tongues[k]) for k in range(7) for _ in range(3)]
+    any_of = lambda *x: rng.choice([None, *x])
+    records = [
+        dict(doc_id=i, page_id=any_of(1), text=any_of("", say(i % 7, 4), say(i % 7, 40)), markup=any_of("aa", "bb"), suffix=any_of("org", "x", " "), path=any_of("cc"),
+             host=any_of("h.one.org", "h.one.org", "k.one.org", " =", ""), domain=any_of("one.org", ""))
+        for i in range(60)
+    ]
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", block)
+    monkeypatch.setattr(language, "HOT_SHARE", share)
+    names, model = language.train(spark.createDataFrame(labelled, "text string, lang string"))
+    assert names == tongues
+    rows = spark.createDataFrame(records, "doc_id long, page_id long, text string, markup string, suffix string, path string, host string, domain string")
+    got = {r["doc_id"]: r for r in language.identify(rows, names, model).collect()}
+    want = _fused(labelled, records)
+    assert len(got) == len(records)
+    for i, (lang, probability) in enumerate(want):
+        assert got[i]["lang"] == lang and abs(got[i]["probability"] - probability) < 1e-9
+
+
+def test_over_four_hundred_languages(spark):
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * 3 + chr(97 + i // 26) * 3, f"l{i:03}", "s") for i in range(405)], "doc_id long, text string, lang string, source string")
+    got = language.digest(docs, spark.createDataFrame([], "page_id long, url string, html string")).collect()
+    assert len(got) == 405 and sum(r["lang"] == f"l{r['doc_id']:03}" for r in got) >= 400
