@@ -38,31 +38,40 @@ def _lists(rows: list[list[tuple]], names: tuple[str, ...]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(len(names))], list(names)))
 
 
-_PARAGRAPHS = "p array<struct<para:bigint,piece:bigint,char_start:bigint,char_end:bigint>>"
+_PARAGRAPH = ("para", "piece", "char_start", "char_end")
 
 
-def offsets(docs: DataFrame, separator: str = "\n", text: bool = False) -> DataFrame:
-    """(doc_id, size, p): per row the array of its paragraphs (para, char_start, char_end); with ``text`` the text too.
+def offsets(docs: DataFrame, separator: str = "\n", text: bool = False, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """(doc_id, size, p): per row the array of its paragraphs (para, char_start, char_end); with ``text`` the text too,
+    with ``count`` each paragraph's ``tokens`` by it.
 
     Offsets are added up within the row, so nothing is shuffled and rows of one doc_id don't mix;
     only they come back from Python, texts of paragraphs are cut where they are asked for.
     """
     cut = re.compile(re.escape(separator))
     kept = ["doc_id", "size", *(["text"] if text else [])]
+    names = (*_PARAGRAPH, "tokens") if count else _PARAGRAPH
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):  # Python copies of so many texts at a time
                 own = b.slice(at, 1000)
-                found = [[(k, *x) for k, x in enumerate(blocks(t, cut))] for t in own.column("text").to_pylist()]
-                yield pa.record_batch([*(own.column(c) for c in kept), _lists(found, ("para", "piece", "char_start", "char_end"))], names=[*kept, "p"])
+                whole = own.column("text").to_pylist()
+                found = [[(k, *x) for k, x in enumerate(blocks(t, cut))] for t in whole]
+                if count:
+                    tokens = iter(count([t[x[2] : x[3]] for t, row in zip(whole, found, strict=True) for x in row]))
+                    found = [[(*x, next(tokens)) for x in row] for row in found]
+                yield pa.record_batch([*(own.column(c) for c in kept), _lists(found, names)], names=[*kept, "p"])
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("size"), "text")
-    return rows.mapInArrow(go, f"doc_id long, size long, {'text string, ' if text else ''}{_PARAGRAPHS}")
+    return rows.mapInArrow(go, f"doc_id long, size long, {'text string, ' if text else ''}p array<struct<{','.join(f'{n}:bigint' for n in names)}>>")
 
 
-def listed(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """``offsets`` with the text, and the tokens of each paragraph."""
+def listed(docs: DataFrame, separator: str = "\n", count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """``offsets`` with the text, and the tokens of each paragraph: runs of word characters, or what
+    ``count`` says, which is told the paragraphs of many texts at once (``ids.counter``)."""
+    if count:
+        return offsets(docs, separator, text=True, count=count).select("doc_id", "size", "text", "p")
     tokens = pieced(F.col("text"), separator, F.col("p"), token_count, lambda x, n: x.withField("tokens", n))
     return offsets(docs, separator, text=True).select("doc_id", "size", "text", tokens.alias("p"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions import text as t
 from ..operators import segment
 from ..sources import writers
@@ -187,6 +188,17 @@ def clamp_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(t.clamp(F.col("text"), 100)).alias("digest"))
 
 
+def chunk_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy chunks whose tokens are ids of a rank table, here the one without merges."""
+    return segment.cut(segment.listed(table(spark, sf, "documents"), count=ids.counter(ids.BYTES)), 2000, 200)
+
+
+def clamp_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts after their 200th id of the same table, cut and decoded."""
+    rows = ids.clamped(table(spark, sf, "documents").select("doc_id", "text"), "text", 200, ids.BYTES)
+    return rows.select("doc_id", "tokens", F.md5("text").alias("digest"))
+
+
 def context_text(spark: SparkSession, sf: str) -> DataFrame:
     docs, dim = table(spark, sf, "documents"), source_dimension(table(spark, sf, "documents"))
     cited = t.citation(F.col("author"), F.col("title"), t.chapter_label(F.col("lang"), F.col("doc_id")))
@@ -241,7 +253,7 @@ def count_non_null(spark: SparkSession, sf: str) -> DataFrame:
     return dim.join(es, "source", "left").groupBy("source").agg(F.count("doc_id").alias("chunks"), F.sum("n_chars").cast("long").alias("chars"), F.first("year").alias("year"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, line_paragraphs, token_counts, snippet, marker_extract, roman_to_int, monotone_sections, section_bounds, chunk_greedy, book_sections, flat_sections, section_chunks, ingest_stats, neighbour_context, chunk_variant_stats, chunk_parent_child, group_document, context_profile, clamp_tokens, context_text, upsert_latest, latest_order, replace_partition, dup_keys, orphans, source_inventory, chapter_listing, count_non_null)}
+QUERIES = {f.__name__: f for f in (normalize_text, line_paragraphs, token_counts, snippet, marker_extract, roman_to_int, monotone_sections, section_bounds, chunk_greedy, book_sections, flat_sections, section_chunks, ingest_stats, neighbour_context, chunk_variant_stats, chunk_parent_child, group_document, context_profile, clamp_tokens, chunk_bytes, clamp_bytes, context_text, upsert_latest, latest_order, replace_partition, dup_keys, orphans, source_inventory, chapter_listing, count_non_null)}
 
 _roman = lambda n: f"(['" + "','".join(SMALL_ROMAN) + f"'])[{n}]"
 
@@ -287,6 +299,8 @@ dim AS (SELECT source, 'Author ' || upper(source) AS author, 'Title of ' || sour
 FROM (SELECT DISTINCT source, try_cast(regexp_extract(source, '(\d+)$', 1) AS INT) AS k FROM documents WHERE source IS NOT NULL))
 """
 
+BYTE_LINES = LINES.replace(r"len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))", "strlen(text)")
+
 SQL = {
     "normalize_text": rf"""
 WITH r AS (SELECT doc_id, ' ' || chr(10) || replace(text, chr(10), ' ' || chr(9) || chr(13) || chr(10)) || repeat(chr(10), 4) || 'end ' || chr(10) AS t FROM documents),
@@ -304,6 +318,10 @@ CASE WHEN item IS NOT NULL THEN string_split(item, '</li>')[1] END AS second_ite
     "roman_to_int": "SELECT event_id, (event_id % 3999 + 1)::BIGINT AS value FROM events",
     "monotone_sections": f"WITH RECURSIVE {ACCEPTED} SELECT doc_id, para, value::BIGINT AS value FROM accepted",
     "section_bounds": f"WITH RECURSIVE {ACCEPTED} SELECT a.doc_id, value::BIGINT AS value, char_start, coalesce(lead(char_start) OVER (PARTITION BY a.doc_id ORDER BY char_start), length(d.text))::BIGINT AS char_end FROM accepted a JOIN documents d ON d.doc_id = a.doc_id",
+    "chunk_bytes": f"WITH RECURSIVE {chunk_ctes(2000, 200, BYTE_LINES)} SELECT * FROM chunks",
+    "clamp_bytes": """
+WITH p AS (SELECT doc_id, text, list_max(list_filter(range(0, 201), lambda n: strlen(substring(text, 1, n)) <= 200)) AS n FROM documents)
+SELECT doc_id, strlen(text)::BIGINT AS tokens, md5(CASE WHEN strlen(text) <= 200 THEN text ELSE substring(text, 1, n) || CASE WHEN strlen(substring(text, 1, n)) < 200 THEN chr(65533) ELSE '' END END) AS digest FROM p""",
     "chunk_greedy": f"WITH RECURSIVE {chunk_ctes(500, 50)} SELECT * FROM chunks",
     "chunk_variant_stats": " UNION ALL ".join(
         f"SELECT '{v}' AS version, count(*)::BIGINT AS chunks, round(avg(token_count), 4) AS avg_tokens, max(token_count) AS max_tokens, sum(token_count)::BIGINT AS tokens FROM (WITH RECURSIVE {chunk_ctes(a, b)} SELECT * FROM chunks)"
