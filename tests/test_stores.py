@@ -213,3 +213,14 @@ def test_what_is_built_is_built_once_and_again_when_lost(spark, tmp_path):
     shutil.rmtree(first.removeprefix("file://"))
     second = store.built_once(source, "copy", build)
     assert second != first and made == [first, second] and spark.read.parquet(f"{second}/rows").count() == 5
+
+
+def test_a_table_in_the_very_folder_that_is_built_is_read_again(spark, tmp_path):
+    """Its partitions are folders beside the mark."""
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    source = spark.read.parquet(f"{tmp_path}/t")
+    rows = [(i, f"s{i % 2}", "naive-v1", [float(i)]) for i in range(6)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_id string, chunking_version string, embedding array<double>")
+    for _ in range(2):
+        path = store.built_once(source, "parts", lambda at: writers.write_chunks(chunks, at))
+        assert store.stored_chunks(spark, path, "naive-v1").count() == 6
