@@ -1,8 +1,11 @@
 """Structured answers, errors as values and batched providers, as literals."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passagework import plans
 from passagework.functions.answers import Field, executed, structured
 from passagework.operators import providers
 
@@ -67,3 +70,22 @@ def test_requests_keep_rows_in_order(spark, batch):
 def test_a_provider_that_loses_an_answer_stops_the_task(spark):
     with pytest.raises(Exception, match="2 texts were sent, 1 vectors came back"):
         providers.embedded(spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1), "text", lambda texts: ([(0, [1.0])], 1)).collect()
+
+
+def test_a_text_whose_counts_cancel_has_a_vector_of_unit_length():
+    """'w0' and 'w133' fall on one dimension with opposite signs."""
+    (found, _) = providers.hashed_embedding()(["w0 w133", "w0", "  \x1c"])
+    v = {i: np.array(x) for i, x in found}
+    assert abs(np.linalg.norm(v[0]) - 1) < 1e-6 and (v[0] == v[1]).all() and not v[2].any()
+
+
+def test_embedded_texts_equal_their_sql_on_any_white_space(spark, tmp_path):
+    blanks = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+    rows = [(i, f"a{x}b", "en") for i, x in enumerate(blanks + "\u200b\ufeff\x01")] + [(90, blanks, "en"), (91, "w0 w133", None), (92, None, "de"), (93, "", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["lang", "n", "unit", "wrong", "tokens", "cost_e9"]
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({plans.SQL['embedded_texts']})").fetchall()
+    got = [tuple(r) for r in plans.QUERIES["embedded_texts"](spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
