@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from passagework import plans
 from passagework.operators import cells, evaluate, fusion, inverted, lexical, vector
 from passagework.sources import store, writers
 
@@ -224,3 +226,27 @@ def test_a_table_in_the_very_folder_that_is_built_is_read_again(spark, tmp_path)
     for _ in range(2):
         path = store.built_once(source, "parts", lambda at: writers.write_chunks(chunks, at))
         assert store.stored_chunks(spark, path, "naive-v1").count() == 6
+
+
+def test_blocks_of_the_index_are_bounded_by_tokens(monkeypatch):
+    """Long texts make a block of fewer documents, across Arrow batches; none is lost, the order stays."""
+    monkeypatch.setattr(inverted, "TOKENS", 10)
+    sizes = [3, 4, 3, 1, 25, 2, 0, 0, 9, 1, 1]
+    rows = pa.record_batch([pa.array([["w"] * n for n in sizes]), pa.array(range(len(sizes)))], names=["w", "k"])
+    made = [t["k"].to_pylist() for t in inverted._cut(iter([rows.slice(0, 2), rows.slice(2)]), 4)]
+    assert made == [[0, 1, 2], [3], [4], [5, 6, 7], [8, 9], [10]]
+
+
+def test_hybrid_retrieval_makes_no_row_of_each_query_and_posting(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a row of each query and posting")
+
+    monkeypatch.setattr(lexical, "bm25", refused)
+    for name in ("retrieve_hybrid", "retrieve_multi_query"):
+        assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_task_of_a_vector_search_cuts_no_blocks(spark):
+    e = vectors(spark, 300)
+    q = e.where("vec_id % 20 = 0 and embedding is not null").selectExpr("vec_id query_id", "embedding vector")
+    assert "MapInArrow" not in vector.top_k(q, e, 3)._jdf.queryExecution().toString()
