@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ ABSTENTIONS = (
     r"\bclarify\b[^.?!]*\bscope\b",
     r"\b(cannot|can't|unable\s+to)\b[^.?!]*\b(answer|find|locate|provide)\b",
 )
+# What a text must hold for each of them to occur, one of every group: a look for plain strings goes before the pattern.
+NEEDED = (
+    (("not", "n't"), ("contain", "cover", "include", "provide", "address", "mention", "find")),
+    (("corpus",),),
+    (("outside", "beyond", "within"), ("scope",)),
+    (("specialized", "scoped", "limited", "focus"), ("caesar", "corpus", "source")),
+    (("no",), ("information", "passage", "source", "evidence", "mention")),
+    (("clarify",), ("scope",)),
+    (("cannot", "can't", "unable"), ("answer", "find", "locate", "provide")),
+)
 # Parts of the messages of errors that pass, and of those that another call form may avoid.
 TRANSIENT = ("timeout", "timed out", "econnreset", "rate limit", "429", "502", "503", "504")
 UNPARSED = ("json-parse", "empty content")
@@ -36,7 +48,8 @@ UNPARSED = ("json-parse", "empty content")
 def pattern(p: str) -> str:
     """A rule for Spark: word bounds are ASCII ones, so that accented letters don't shift them."""
     word = "[A-Za-z0-9_]"
-    return "(?i)" + p.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))").replace(r"\s", SPACE)
+    head = f"(?<!{word})" if p.startswith(r"\b") else ""  # every rule begins with a word
+    return "(?i)" + head + p.removeprefix(r"\b").replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))").replace(r"\s", SPACE)
 
 
 def stopped(question: Column) -> Column:
@@ -71,10 +84,16 @@ def citations(answer: Column) -> Column:
 
 
 def abstains(answer: Column) -> Column:
-    found = F.lit(False)
-    for p in ABSTENTIONS:
-        found = found | answer.rlike(pattern(p))
-    return found
+    def told(low: Column) -> Column:
+        found = F.lit(False)
+        for p, groups in zip(ABSTENTIONS, NEEDED, strict=True):
+            held = F.lit(True)
+            for group in groups:
+                held = held & reduce(Column.__or__, [low.contains(x) for x in group])
+            found = found | (held & answer.rlike(pattern(p)))
+        return found
+
+    return once(F.lower(answer), told)
 
 
 def output_guard(answer: Column, allowed: Column | None = None) -> Column:
