@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def most_apart(a: int, b: int) -> int:
     """The largest symmetric difference of linked sets of a and b shingles."""
-    return int((a + b) * (1 - THRESHOLD) / (1 + THRESHOLD))
+    t, u = THRESHOLD.numerator, THRESHOLD.denominator
+    return (a + b) * (u - t) // (u + t)
 
 
 def band(n: int) -> tuple[int, int]:
@@ -72,6 +74,7 @@ def band(n: int) -> tuple[int, int]:
     return k, top
 
 
+@lru_cache(1 << 16)
 def bands_of(n: int) -> list[tuple[int, int]]:
     """(band, D) in which a set of ``n`` takes part: a pair meets in its smaller set's band."""
     out, (k, top) = [], band(n)
@@ -109,22 +112,30 @@ def apart_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
 
 
+@lru_cache(32)
+def _salt(k: int, m: int) -> np.ndarray:
+    """A number of each place of band ``k``, whose wide sketch has ``m`` of them."""
+    return mix(np.arange(m, dtype=np.uint64) * _SPREAD + np.uint64(k))
+
+
 def segments(s: np.ndarray, commonness: np.ndarray) -> np.ndarray:
     """Signatures of the segments on which a set takes part in the join."""
     out = []
-    slots = commonness[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    slots = commonness[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+    mixed = mix(s + _SPREAD)
     for k, d in bands_of(len(s)):
         m = 2 * (d + 1)
         at = (mix(s ^ np.uint64((k + 1) * 0x51ED270B)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        place, first = np.unique(at[order], return_index=True)
         content = np.zeros(m, np.uint64)
-        content[place] = np.bitwise_xor.reduceat(mix(s[order] + _SPREAD), first)
+        np.add.at(content, at, mixed)
         # The rarest shingle of a segment ranks it; an empty one is the commonest of all.
-        rank = np.full(m, 256, np.int64)
-        rank[place] = np.minimum.reduceat(slots[order], first)
-        chosen = np.lexsort((np.arange(m), content, rank))[: d + 1]
-        out.append(mix(content[chosen] + mix(chosen.astype(np.uint64) * _SPREAD + np.uint64(k))))
+        rank = np.full(m, 256, np.uint64)
+        np.minimum.at(rank, at, slots)
+        # One number orders a segment by rank, content and place, and ends in its place.
+        low = np.uint64((m - 1).bit_length())
+        order = rank << np.uint64(55) | content >> np.uint64(9) >> low << low | np.arange(m, dtype=np.uint64)
+        chosen = (np.sort(order)[: d + 1] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        out.append(mix(content[chosen] + _salt(k, m)[chosen]))
     return np.concatenate(out)
 
 

@@ -17,11 +17,13 @@ _powers: dict[str, np.ndarray] = {}
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on uint64 that spreads every bit."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    out = h >> np.uint64(33)  # one array of its own, changed in place
+    out ^= h
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xC4CEB9FE1A85EC53)
+    out ^= out >> np.uint64(33)
+    return out
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,11 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(rolled[a : b - k + 1]))
+            own = np.sort(rolled[a : b - k + 1])
+            fresh = np.empty(len(own), bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
         elif b > a:
             v = np.array([b - a], np.uint64)
             for j in range(a, b):

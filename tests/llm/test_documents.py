@@ -542,3 +542,24 @@ def test_ids_that_many_texts_share_bring_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_shingled", lambda texts: moved.append(texts.count()) or plain(texts))
     found = jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert moved == [60] and len(found) == 65 and {r["component_id"] for r in found} == {7}
+
+
+def test_segments_are_the_best_by_rarity_content_and_place():
+    """Content is what a place's shingles add up to; half the places are kept, the rarest shingle's first, empty ones last."""
+    rng = np.random.default_rng(3)
+    ranks = rng.integers(0, 9, jaccard.SLOTS, dtype=np.uint8)
+    for n in (1, 2, 40, 900):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        want = []
+        for k, d in jaccard.bands_of(len(s)):
+            m = 2 * (d + 1)
+            low = (m - 1).bit_length()
+            held = {p: [256, 0] for p in range(m)}
+            for x, at, v in zip(s.tolist(), (jaccard.mix(s ^ np.uint64((k + 1) * 0x51ED270B)) % np.uint64(m)).tolist(), jaccard.mix(s + jaccard._SPREAD).tolist(), strict=True):
+                held[at] = [min(held[at][0], int(ranks[x % jaccard.SLOTS])), (held[at][1] + v) % (1 << 64)]
+            best = sorted(held, key=lambda p: (held[p][0], held[p][1] >> 9 >> low, p))[: d + 1]
+            salt = jaccard.mix(np.array(best, np.uint64) * jaccard._SPREAD + np.uint64(k))
+            want += jaccard.mix(np.array([held[p][1] for p in best], np.uint64) + salt).tolist()
+        assert jaccard.segments(s, ranks).tolist() == want
+    t, u = jaccard.THRESHOLD.numerator, jaccard.THRESHOLD.denominator
+    assert all(jaccard.most_apart(a, b) * (u + t) <= (a + b) * (u - t) < (jaccard.most_apart(a, b) + 1) * (u + t) for a in range(1, 60) for b in range(1, 60))
