@@ -143,3 +143,11 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(r["hour"], r["event_type"]): r["n"] for r in replay.hourly(source).collect()}
+
+
+def test_sections_with_their_paragraphs_chunk_alike_with_one_worker_less(spark):
+    docs = spark.createDataFrame([(k, "BOOK I\n\nI.--one two\n\n \t\n\nthree four five\n\nII.--six\n\n\n\nseven eight") for k in range(600)] + [(700, None), (701, "no head")], "doc_id long, text string")
+    plain, blocked = (segment.section_chunks(segment.sections_of(docs, "books", blocked=b), 3, 1) for b in (False, True))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, blocked.collect())) and blocked.count() > 1200
+    workers = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert workers(blocked) < workers(plain)
