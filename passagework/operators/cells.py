@@ -16,7 +16,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import CORPUS_BLOCK, QUERY_BLOCK, best_of, meetings
+from ..sources.store import small_batches, written
+from .vector import CORPUS_BLOCK, FEW_BLOCKS, QUERY_BLOCK, best_of, meetings
+from .vector import _blocks as whole_blocks
 from .vector import top_k as exact
 
 #: Rows that centroids are fitted on, at most; cells, at most.
@@ -127,6 +129,11 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: in
     if not found:
         return spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank long")
     centroids = np.array([r["centroid"] for r in found])
+    if probes >= len(centroids):  # every block of queries meets every cell; no vector is sent once a cell
+        asked = written(whole_blocks(queries, "query_id", "vector", None, QUERY_BLOCK).repartition(F.xxhash64("ids")))
+        asked = F.broadcast(asked) if asked.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS else asked
+        with small_batches(spark, 4):
+            return best_of(written(meetings(spark.read.schema("own binary, held binary").parquet(f"{path}/cells").crossJoin(asked), k, include_self=include_self, whole=True)), k)
     asked = _blocks(_dealt(queries, "query_id", "vector", centroids, probes).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell", "id"), QUERY_BLOCK, ("ids", "vectors"))
     held = spark.read.schema("own binary, held binary, cell int").parquet(f"{path}/cells")
     few = asked.limit(2001).count() <= 2000  # some hundred bytes to half a megabyte a block

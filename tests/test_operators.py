@@ -151,3 +151,15 @@ def test_sections_with_their_paragraphs_chunk_alike_with_one_worker_less(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, blocked.collect())) and blocked.count() > 1200
     workers = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
     assert workers(blocked) < workers(plain)
+
+
+def test_a_task_leaves_out_what_an_earlier_block_beat(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((900, 8))
+    e = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    q = e.where("vec_id < 50").selectExpr("vec_id query_id", "embedding vector")
+    asked, held = vector._blocks(q, "query_id", "vector", None, 64), vector._blocks(e, "vec_id", "embedding", None, 100).toDF("own", "held", "within")
+    pairs = held.crossJoin(asked).coalesce(1)
+    every, fewer = vector.meetings(pairs, 5), vector.meetings(pairs, 5, whole=True)
+    assert every.count() == 9 * 50 * 5 and fewer.count() < 1500
+    assert sorted(map(tuple, vector.best_of(every, 5).collect())) == sorted(map(tuple, vector.best_of(fewer, 5).collect()))
