@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework import plans
+from passagework.functions import latin
+from passagework.functions.text import words
 from passagework.operators import cells, evaluate, fusion, inverted, lexical, vector
 from passagework.sources import store, writers
 
@@ -250,3 +252,34 @@ def test_a_task_of_a_vector_search_cuts_no_blocks(spark):
     e = vectors(spark, 300)
     q = e.where("vec_id % 20 = 0 and embedding is not null").selectExpr("vec_id query_id", "embedding vector")
     assert "MapInArrow" not in vector.top_k(q, e, 3)._jdf.queryExecution().toString()
+
+
+def test_a_block_of_the_index_is_written_by_the_task_that_reads_it(spark, tmp_path, monkeypatch):
+    """One row holds a block's postings, none is dealt out anew."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("postings are shuffled")
+
+    for name in ("repartition", "sortWithinPartitions"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    inverted.append(corpus(spark, range(100)).coalesce(1), "doc_id", f"file://{tmp_path}/index", block=10)
+    stored = spark.read.parquet(f"{tmp_path}/index/postings")
+    assert stored.count() == 10
+    assert stored.agg(F.sum(F.length("keys"))).first()[0] == 8 * 100
+
+
+def test_latin_texts_are_cut_as_all_texts(spark, tmp_path):
+    """Every character up to U+017F within and beside words, and others beside them in the same index."""
+    texts = [f"x{chr(c)}Y {chr(c)} {chr(c)}{chr(c)}9_É" for c in range(1, 0x180) if c != 0x130] + ["", " ", "end", "Next end.", "ΣΑΣ ΑΣ, İx", "naïve 東京 ab１ ǅ", "tail’s ΣΑΣ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", words(F.col("text")).alias("w"), latin.is_latin(F.col("text")).alias("latin")).collect()
+    assert [r["text"] for r in rows if not r["latin"]] == texts[-3:]
+    plain = [r for r in rows if r["latin"]]
+    assert latin.words(pa.array([r["text"] for r in plain])).to_pylist() == [r["w"] for r in plain]
+    docs, path = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows] + [(-1, None)], "doc_id long, text string"), f"file://{tmp_path}/index"
+    inverted.append(docs, "doc_id", path, block=50)
+    terms = terms_of(spark, "end next", "σας", "東京 ab１", "xéy", "ÿÿ9_é x")
+    assert best(inverted.search(spark, path, terms, "query_id", "doc_id", 9), 9) == best(lexical.bm25(docs.fillna({"text": ""}), "doc_id", terms, "query_id"), 9)
+    held = {(r["id"], r["doc_id"]) for r in inverted.holders(spark, path, terms.select("term"), "doc_id").collect()}
+    asked = {r["term"]: r["id"] for r in terms.select("term", F.xxhash64("term").alias("id")).collect()}
+    assert held == {(asked[w], r["doc_id"]) for r in rows for w in r["w"] if w in asked}
