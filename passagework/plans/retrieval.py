@@ -114,10 +114,13 @@ def _whole(spark: SparkSession, sf: str, head: int = 0, tail: int = 0) -> DataFr
     return b.select(F.col("item_id").alias("query_id"), F.explode(cut).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def _lexical(spark: SparkSession, sf: str, terms: DataFrame, pool: int) -> DataFrame:
+def _index(spark: SparkSession, sf: str) -> str:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    path = store.built_once(docs, "lexical", lambda at: inverted.append(docs, "doc_id", at))
-    s = inverted.search(spark, path, terms, "query_id", "doc_id", pool).withColumn("score", F.round("score", 6))
+    return store.built_once(docs, "lexical", lambda at: inverted.append(docs, "doc_id", at))
+
+
+def _lexical(spark: SparkSession, sf: str, terms: DataFrame, pool: int) -> DataFrame:
+    s = inverted.search(spark, _index(spark, sf), terms, "query_id", "doc_id", pool).withColumn("score", F.round("score", 6))
     return fusion.ranked(s, "query_id", "doc_id", "score", pool)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards, text as t
-from ..operators import agentlog, cost, evaluate, segment
+from ..operators import agentlog, cost, evaluate, inverted, lexical, segment
 from ..sources.tables import table
 from ..streaming import replay
 from . import retrieval
@@ -15,17 +15,23 @@ from .corpus import LINES, S
 CATEGORIES = ("literal", "synonym", "multi-hop", "synthesis", "contradiction", "out-of-scope")
 
 
-def gold(spark: SparkSession, sf: str) -> DataFrame:
+def gold(spark: SparkSession, sf: str, index: str | None = None) -> DataFrame:
     """(item_id, doc_id, span_start, span_end): every passage that occurs verbatim in a document.
 
-    A passage is looked for only in documents that have its longest inner token, by an equi-join.
+    A passage is looked for only in documents that have its longest inner token, by an equi-join, or
+    as the inverted index at ``index`` tells where there is one.
     """
     b = table(spark, sf, "benchmark").select("item_id", "text")
     inner = F.slice(t.words(F.col("text")), 2, F.greatest(F.size(t.words(F.col("text"))) - 2, F.lit(1)))
     b = b.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    held = docs.select("doc_id", F.explode_outer(F.array_distinct(t.words(F.col("body")))).alias("anchor"))
-    pairs = held.join(b.select("item_id", "anchor"), "anchor").select("doc_id", "item_id")
+    if index is None:
+        held = docs.select("doc_id", F.explode_outer(F.array_distinct(t.words(F.col("body")))).alias("anchor"))
+        pairs = held.join(b.select("item_id", "anchor"), "anchor").select("doc_id", "item_id")
+    else:
+        anchors = b.where("anchor is not null").select(F.col("anchor").alias("term"))
+        held = inverted.holders(spark, index, anchors, "doc_id")
+        pairs = lexical.small(held.join(b.select("item_id", F.xxhash64("anchor").alias("id")), "id").select("doc_id", "item_id").distinct())
     found = pairs.join(docs, "doc_id").join(b.select("item_id", "text"), "item_id").where(F.expr("instr(body, text) > 0"))
     start = (F.expr("instr(body, text)") - 1).cast("long")
     return found.select("item_id", "doc_id", start.alias("span_start"), (start + F.length("text")).alias("span_end"))
@@ -58,7 +64,7 @@ def _golden(spark: SparkSession, sf: str) -> DataFrame:
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("item_id") % 6 + 1).cast("int"))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), category.alias("category"))
     ranks = retrieval._lexical(spark, sf, retrieval._whole(spark, sf), 20).select("query_id", F.col("doc_id").alias("hit"), "rank")
-    g = gold(spark, sf)
+    g = gold(spark, sf, retrieval._index(spark, sf))
     spans = g.join(ranks, (F.col("query_id") == F.col("item_id")) & (F.col("hit") == F.col("doc_id")), "left")
     return evaluate.scores(spans.select(F.col("item_id").alias("question"), F.col("doc_id").alias("span"), "rank"), items)
 

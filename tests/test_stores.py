@@ -11,6 +11,7 @@ from passagework import plans
 from passagework.functions import latin
 from passagework.functions.text import words
 from passagework.operators import cells, evaluate, fusion, inverted, lexical, vector
+from passagework.plans import retrieval, scoring
 from passagework.sources import store, writers
 
 
@@ -283,3 +284,12 @@ def test_latin_texts_are_cut_as_all_texts(spark, tmp_path):
     held = {(r["id"], r["doc_id"]) for r in inverted.holders(spark, path, terms.select("term"), "doc_id").collect()}
     asked = {r["term"]: r["id"] for r in terms.select("term", F.xxhash64("term").alias("id")).collect()}
     assert held == {(asked[w], r["doc_id"]) for r in rows for w in r["w"] if w in asked}
+
+
+def test_scores_of_passages_ask_the_index_for_their_documents(spark):
+    """No document is cut into words again, and the passages found are those of the plan without an index."""
+    sf = "/root/testdata/sf0.001"
+    plan = plans.QUERIES["mrr"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    rows = lambda df: sorted(tuple(r) for r in df.select("item_id", "doc_id", "span_start", "span_end").collect())
+    assert rows(scoring.gold(spark, sf, retrieval._index(spark, sf))) == rows(scoring.gold(spark, sf)) != []
