@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagework import plans
 from passagework.functions import latin
 from passagework.functions.text import words
-from passagework.operators import cells, evaluate, fusion, inverted, lexical, vector
+from passagework.operators import cells, evaluate, fusion, inverted, lexical, rounds, vector
 from passagework.plans import retrieval, scoring
 from passagework.sources import store, writers
 
@@ -293,3 +293,130 @@ def test_scores_of_passages_ask_the_index_for_their_documents(spark):
     assert "Generate" not in plan
     rows = lambda df: sorted(tuple(r) for r in df.select("item_id", "doc_id", "span_start", "span_end").collect())
     assert rows(scoring.gold(spark, sf, retrieval._index(spark, sf))) == rows(scoring.gold(spark, sf)) != []
+
+
+# -- rounds of a search -----------------------------------------------------------------------------
+
+
+def few_at_first(monkeypatch):
+    for name, value in (("FIRST", 2), ("GROWTH", 4), ("FEW_ROWS", 1), ("WAVES", 100)):
+        monkeypatch.setattr(rounds, name, value)
+
+
+def given_on(monkeypatch, module, columns):
+    """The rows that tasks of a search give on, a number a round."""
+    found, plain = [], module.written
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == columns:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    return found
+
+
+def test_later_rounds_of_a_lexical_search_give_on_few_rows(spark, tmp_path, monkeypatch):
+    """Each block is a task of its own, and would give on its best five of every query."""
+    few_at_first(monkeypatch)
+    found = given_on(monkeypatch, inverted, ["query", "key", "score"])
+    docs, path = corpus(spark, range(480)).repartition(4), f"file://{tmp_path}/index"
+    inverted.append(docs, "doc_id", path, block=8)
+    r = random.Random(2)
+    terms = terms_of(spark, *(" ".join(f"w{r.randint(0, 59)}" for _ in range(r.randint(1, 30))) for _ in range(40)))
+    got = best(inverted.search(spark, path, terms, "query_id", "doc_id", 5), 5)
+    assert got == best(lexical.bm25(docs.fillna({"text": ""}), "doc_id", terms, "query_id"), 5)
+    assert len(found) == 3 and found[0] <= 2 * 40 * 8 and sum(found) < 60 * 40 * 5 / 2
+
+
+def test_later_rounds_of_a_vector_search_give_on_few_rows(spark, monkeypatch):
+    few_at_first(monkeypatch)
+    found = given_on(monkeypatch, vector, ["query_id", "vec_id", "similarity"])
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 10)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(400, 8)).round(1)
+    v[300:] = v[:100]  # ties
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 10 = 0").selectExpr("vec_id query_id", "embedding vector")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"]) for x in vector.top_k(q, e, 5).collect())
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(u[::10] @ u.T, 6)
+    sim[np.arange(40), np.arange(0, 400, 10)] = -np.inf
+    near = [np.lexsort((np.arange(400), -s))[:5].tolist() for s in sim]
+    assert got == sorted((10 * i, n + 1, j) for i, own in enumerate(near) for n, j in enumerate(own))
+    assert len(found) > 1 and sum(found) < 40 * 40 * 5 / 2
+
+
+def test_each_block_is_of_one_round(spark, monkeypatch):
+    few_at_first(monkeypatch)
+    blocks = spark.range(100).select(F.col("id").cast("string").alias("block")).unionByName(spark.range(60).selectExpr("'alike' block"))
+    found = [(blocks.where(own).count(), n) for own, n in rounds.parts(blocks, "block", 1)]
+    assert sum(n for n, _ in found) == sum(n for _, n in found) == 160 and len(found) == 4
+    assert rounds.parts(blocks.limit(4), "block", 10**9)[0][1] == 4 and len(rounds.parts(blocks.limit(4), "block", 10**9)) == 1
+
+
+def test_a_task_is_handed_postings_and_queries_once(spark):
+    packed = spark.range(6).selectExpr("string(id) block", "binary('p') ids").repartition(2)
+    asks = spark.range(3).selectExpr("id ask", "binary('q') queries")
+    pairs = inverted._pairs(packed, asks.coalesce(1), 3)
+    rows = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 18 and len({(r["block"], r["ask"]) for r in rows}) == 18
+    assert sum(r["ids"] is not None for r in rows) == 6
+    for task in {r["task"] for r in rows}:
+        own = [r for r in rows if r["task"] == task]
+        seen = set()
+        for at, r in enumerate(own):  # the first row that names a block or a query's block brings it
+            assert (r["ids"] is not None) == (r["block"] not in seen) and (r["queries"] is not None) == (at < 3)
+            seen.add(r["block"])
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_scores_of_a_meeting_equal_all_products(monkeypatch, known):
+    """Strips of queries and parts of documents, frequent and rare terms, each weight of a term by itself."""
+    for name, value in (("STRIP", 5), ("PART", 7), ("MOST_DENSE", 3), ("FEW_USES", 16), ("COLUMN", 1), ("PRODUCTS", 3)):
+        monkeypatch.setattr(inverted, name, value)
+    r = np.random.default_rng(5)
+    uses = r.poisson(0.4, size=(40, 30)) * (r.random((40, 30)) < r.random(40)[:, None])
+    uses[:, 29] = uses[:, 28]  # ties
+    weight = np.where(r.random((23, 40)) < 0.4, r.integers(1, 3, (23, 40)) * np.linspace(0.5, 4, 40), 0)
+    weight[:, 0] = 1.0
+    lengths = uses.sum(axis=0)
+    term, place = np.nonzero(uses)
+    held = np.flatnonzero(uses.any(axis=1))
+    x = {"ids": held * 10, "counts": np.bincount(term, minlength=40)[held], "places": place, "uses": uses[term, place], "keys": np.arange(30) + 100, "lengths": lengths}
+    of, at = np.nonzero(weight)
+    order = np.lexsort((of, weight[of, at], at, of // inverted._strip(23)))
+    q = {"queries": np.arange(23) + 1000, "terms": np.arange(40) * 10, "of": of[order], "at": at[order], "weights": weight[of, at][order]}
+    part = lexical.K1 * (1 - lexical.B + lexical.B * lengths / lengths.mean())
+    scores = weight @ (uses * (lexical.K1 + 1) / (uses + part))
+    last = np.sort(scores, axis=1)[:, -4]
+    q["least"] = last.copy() if known else np.full(23, inverted.SLACK)
+    found = {}
+    for b in inverted._meeting(inverted._documents(x, lengths.mean()), q, 4, inverted._Room()):
+        for i, j, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[i - 1000, j - 100] = s
+    assert all(abs(scores[p] - s) < 1e-9 for p, s in found.items())
+    assert set(found) == {(i, j) for i, j in zip(*np.nonzero((scores >= last[:, None] - inverted.SLACK) & (scores > 0)))} or not known
+    assert set(found) >= {(i, j) for i, j in zip(*np.nonzero((scores >= last[:, None]) & (scores > 0)))}
+    assert np.allclose(q["least"], last)
+
+
+def test_texts_of_one_language_lie_beside_each_other():
+    r = np.random.default_rng(6)
+    language = r.integers(0, 3, 900)
+    rows = [(i, w) for i, x in enumerate(language) for w in {*(x * 20 + r.integers(0, 20, 15)).tolist(), *r.integers(60, 400, 5).tolist()}]
+    order = inverted._beside(*map(np.array, zip(*rows)), 900)
+    assert sorted(order) == list(range(900))
+    assert np.count_nonzero(np.diff(language[order])) < 30 < 500 < np.count_nonzero(np.diff(language))
+    assert inverted._beside(np.array([], int), np.array([], int), 3).tolist() == [0, 1, 2]
+
+
+def test_counts_of_terms_are_those_of_all_blocks(spark, tmp_path, monkeypatch):
+    docs, path = corpus(spark, range(200)), f"file://{tmp_path}/index"
+    inverted.append(docs, "doc_id", path, block=9)
+    counted = inverted._counted(inverted._stored(spark, path)[1])
+    got = {r["id"]: r["df"] for r in counted.groupBy("id").agg(F.sum("df").alias("df")).collect()}
+    want = docs.fillna({"text": ""}).select("doc_id", F.explode(words(F.col("text"))).alias("t")).distinct().groupBy(F.xxhash64("t").alias("id")).count()
+    assert got == {r["id"]: r["count"] for r in want.collect()}
