@@ -330,6 +330,19 @@ def test_later_rounds_of_a_lexical_search_give_on_few_rows(spark, tmp_path, monk
     assert len(found) == 3 and found[0] <= 2 * 40 * 8 and sum(found) < 60 * 40 * 5 / 2
 
 
+@pytest.mark.parametrize("few", [1, 2, 100])
+def test_many_blocks_of_queries_meet_all_postings(spark, tmp_path, monkeypatch, few):
+    few_at_first(monkeypatch)
+    monkeypatch.setattr(inverted, "QUERIES", 6)
+    monkeypatch.setattr(inverted, "FEW_BLOCKS", few)
+    docs, path = corpus(spark, range(150)).repartition(3), f"file://{tmp_path}/index"
+    inverted.append(docs, "doc_id", path, block=9)
+    r = random.Random(7)
+    terms = terms_of(spark, *(" ".join(f"w{r.randint(0, 59)}" for _ in range(r.randint(1, 12))) for _ in range(31)))
+    got = best(inverted.search(spark, path, terms, "query_id", "doc_id", 4), 4)
+    assert got == best(lexical.bm25(docs.fillna({"text": ""}), "doc_id", terms, "query_id"), 4)
+
+
 def test_later_rounds_of_a_vector_search_give_on_few_rows(spark, monkeypatch):
     few_at_first(monkeypatch)
     found = given_on(monkeypatch, vector, ["query_id", "vec_id", "similarity"])
